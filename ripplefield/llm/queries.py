@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplefield.llm import quality_rules, secrets
+from ripplefield.llm import mixing, packing, quality_rules, secrets, simhash
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,9 +43,35 @@ def op8_secret_scan(spark, sf_dir):
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality_rules": op1_quality_rules, "op8_secret_scan": op8_secret_scan}
+def op9_source_mixing(spark, sf_dir):
+    """Sampling decision of every document after raking sources, languages and topics."""
+    docs = _docs(spark, sf_dir).select("doc_id", "text", "lang", "source")
+    rows, names = mixing.mix(docs)
+    return rows.select(
+        "doc_id", names["topic"], names["tokens"], F.round(names["probability"], 6).alias("probability"), names["sampled"]
+    )
+
+
+def op4_best_fit_packing(spark, sf_dir):
+    """Every document packed into sequences of 2048 tokens."""
+    return packing.pack(_docs(spark, sf_dir))
+
+
+def op10_simhash_near_dedup(spark, sf_dir):
+    """Fingerprint and near-duplicate component of every document."""
+    rows = simhash.near_duplicates(_docs(spark, sf_dir))
+    return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
+    "op4_best_fit_packing": op4_best_fit_packing,
+    "op8_secret_scan": op8_secret_scan,
+    "op9_source_mixing": op9_source_mixing,
+    "op10_simhash_near_dedup": op10_simhash_near_dedup,
+}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_source_mixing": mixing.oracle()}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
