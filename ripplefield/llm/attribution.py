@@ -102,7 +102,10 @@ def attribute(
     paths = paths or default_paths()
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
-    own = [F.transform(F.col(sections_col), lambda s: F.struct(s[0].cast("long").alias("s"), s[1].cast("long").alias("e"))).alias("sections")] if sections_col else []
+    own, given_sections = [], sections_col is not None
+    if given_sections:
+        start, end = docs.schema[sections_col].dataType.elementType.names[:2]
+        own.append(F.transform(F.col(sections_col), lambda s: F.struct(s[start].cast("long").alias("s"), s[end].cast("long").alias("e"))).alias("sections"))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *own)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +114,7 @@ def attribute(
             rows_of, out = [], [[], [], [], [], []]
             for i, t in enumerate(b.column(1)):
                 text = t.as_py() or ""
-                if own:
+                if given_sections:
                     given = b.column(2)[i].as_py() or []
                     starts, ends = np.array([s["s"] for s in given], np.int64), np.array([s["e"] for s in given], np.int64)
                 else:

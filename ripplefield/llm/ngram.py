@@ -380,7 +380,7 @@ class Scorer:
         left = left_of(ids, sizes, v)
         distinct, back = np.unique(np.concatenate([ids, left]), return_inverse=True)
         total, n1, n2, n3, cont = self.statistics(distinct)
-        base = m.uniform / (v + 1) + (np.maximum(cont - self.discount(cont, m.unigram_discounts), 0) / m.types if m.types else 0)
+        base = m.uniform / (v + 1) + np.maximum(cont - self.discount(cont, m.unigram_discounts), 0) / max(m.types, 1)
         d = m.discounts
         with np.errstate(divide="ignore", invalid="ignore"):
             free = np.where(total > 0, (d[0] * n1 + d[1] * n2 + d[2] * n3) / total, 1.0)

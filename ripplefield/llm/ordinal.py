@@ -86,7 +86,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, top: int, steps: int = 300, rate: float = 0.3, ridge: float = 1e-4) -> Model:
     """Maximum penalised likelihood by full-batch adaptive gradient steps; the same rows give the same model."""
-    n, sizes = len(rows), np.array([len(a) for a, _ in rows])
+    n, sizes = len(rows), np.array([len(a) for a, _ in rows], np.int64)
     doc = np.repeat(np.arange(n), sizes)
     at, x = (np.concatenate([r[k] for r in rows]) for k in (0, 1)) if n else (np.empty(0, np.int32), np.empty(0))
     used, col = np.unique(at, return_inverse=True)

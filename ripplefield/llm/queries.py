@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplefield.llm import mixing, packing, quality_rules, secrets, simhash
+from ripplefield.llm import attribution, media, mixing, ngram, ordinal, packing, quality_rules, secrets, simhash, toxicity
+from ripplefield.llm.common import crc_bucket
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +30,47 @@ def op1_quality_rules(spark, sf_dir):
     )
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op2_toxicity(spark, sf_dir):
+    """Compression-distance score of every document; fitted on labelled rows that aren't held out."""
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    model = toxicity.train(docs, _labels(spark, sf_dir).select("doc_id", "toxic"))
+    rows = toxicity.score(docs, model)
+    return rows.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op3_media_columns(spark, sf_dir):
+    """Every text stored as an ISO media container, read back through its boxes and described."""
+    return media.round_trip(_docs(spark, sf_dir))
+
+
+def op5_lm_scoring(spark, sf_dir):
+    """Kneser-Ney score of every document by a model of the documents that aren't held out."""
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    out = crc_bucket("doc_id", 5) == 1
+    model = ngram.train(docs.where(~out))
+    rows = ngram.score(docs, model)
+    return rows.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def op6_token_counts(spark, sf_dir):
+    """Tokens of every line of every document; boundary tokens go to the line of their first character."""
+    rows = attribution.attribute(_docs(spark, sf_dir))
+    return rows.select("doc_id", "section", "start", "end", F.col("tokens").cast("long").alias("tokens"), "crossing")
+
+
+def op7_ordinal_quality(spark, sf_dir):
+    """Expected grade and tail probability of every document; at least grade 1 is selected."""
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    ratings = ordinal.graded(_labels(spark, sf_dir)).where(~ordinal.held_out())
+    rows = ordinal.score(docs, ordinal.train(docs, ratings, top=2))
+    tail = F.col("tails")[0]
+    return rows.select("doc_id", ordinal.held_out().alias("held_out"), "expected_grade", tail.alias("tail_probability"), (tail >= 0.5).alias("selected"))
+
+
 def op8_secret_scan(spark, sf_dir):
     """Spans of every rule in every document, with the base rules' counts and digest."""
     rows, name = secrets.spans(_docs(spark, sf_dir).select("doc_id", "text"))
@@ -65,7 +107,12 @@ def op10_simhash_near_dedup(spark, sf_dir):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_toxicity": op2_toxicity,
+    "op3_media_columns": op3_media_columns,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_lm_scoring": op5_lm_scoring,
+    "op6_token_counts": op6_token_counts,
+    "op7_ordinal_quality": op7_ordinal_quality,
     "op8_secret_scan": op8_secret_scan,
     "op9_source_mixing": op9_source_mixing,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,

@@ -1,24 +1,27 @@
 """Toxicity by compression distance with zstandard dictionaries.
 
-Two dictionaries are trained on windows of labelled text, one on toxic and one on ordinary documents.  A
-window's distance is its compressed length under the ordinary dictionary minus that under the toxic one:
-words that only toxic text repeats are found in the toxic dictionary alone and cost fewer bytes there.
+Two dictionaries are trained on labelled text: one on windows of ordinary documents; one that holds the same
+content and, nearest to the window, what was trained on toxic text.  Both therefore treat ordinary words
+alike, and a window's distance, its compressed length under the ordinary dictionary minus that under the
+toxic one, grows with what only toxic text repeats.
 
-Documents are labelled as wholes although most of their windows are ordinary, so training runs in rounds:
-after the first dictionaries, toxic documents contribute the windows of greatest distance only.  A
-logistic calibration on the most telling windows' distances turns them into a score; 0.5 is its threshold.
+Documents are labelled as wholes although most of their words are ordinary, so the toxic training text is
+what is typical of the class: words that hold a byte gram whose document frequencies differ between the
+classes with a z-score of ``least_z`` or more.  A logistic calibration on the distances of a document's
+windows turns them into a score; 0.5 is its threshold.
 
 Fitting uses at most ``most_toxic`` and ``most_ordinary`` labelled documents that aren't held out, by the MD5
 of their id (a documented bound; they reach the driver).  Scoring covers every window of every text where it
-lies; a model is two dictionaries of a few KB and a handful of numbers.
+lies; a model is two dictionaries of some KB and a handful of numbers.
 
-Defined cases: null and empty texts have distance 0 everywhere and get the calibrated score of that; without
-labels of both kinds every score is the share of toxic labels (0 if none); repeated rows are scored each;
-language, source, id and labels are no inputs of a score; other columns are not read.
+Defined cases: null and empty texts have distance 0 and get the calibrated score of that; without labels of
+both kinds, or without typical words, every score is the share of toxic labels (0 if none); repeated rows
+are scored each; language, source, id and labels are no inputs of a score; other columns are not read.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -30,27 +33,62 @@ from pyspark.sql import functions as F
 
 from ripplefield.llm.common import crc_bucket
 
-#: Words of a window, and how many words the next one starts later.
-WINDOW, STEP = 6, 3
-#: The most telling windows whose distances are features.
-TOP = 4
+#: Words of a window.
+WINDOW = 8
+#: The most telling windows, whose distances are features and which are compressed together once more.
+TOP, JOINED = 4, 8
+#: Bytes that a window must save to count as telling.
+TELLING = 3
 LEVEL = 3
 #: Longest stretch of a word that enters a window whole; longer words are cut into such stretches.
 LONGEST = 256
+#: Lengths of the byte grams whose class frequencies are compared.
+GRAMS = (6, 8)
+#: Where the content of a trained dictionary begins: after its last header field, the three repeat offsets.
+CONTENT = (1).to_bytes(4, "little") + (4).to_bytes(4, "little") + (8).to_bytes(4, "little")
+
+
+def lower_words(text: str | None) -> list[bytes]:
+    """Lower-cased words of a text."""
+    return (text or "").lower().encode("utf-8", "surrogatepass").split()
 
 
 def windows(text: str | None) -> list[bytes]:
-    """Overlapping windows of lower-cased words, over the whole text."""
-    w = (text or "").lower().encode("utf-8", "surrogatepass").split()
+    """The text's words, eight at a time, over the whole text."""
+    w = lower_words(text)
     if any(len(x) > LONGEST for x in w):
         w = [x[i : i + LONGEST] for x in w for i in range(0, len(x), LONGEST)]
-    return [b" " + b" ".join(w[i : i + WINDOW]) + b" " for i in range(0, max(len(w) - WINDOW + STEP, 1), STEP)] if w else []
+    return [b" " + b" ".join(w[i : i + WINDOW]) + b" " for i in range(0, len(w), WINDOW)]
+
+
+def dictionary(samples: list[bytes], size: int, segment: int) -> bytes:
+    """Content of a dictionary trained on samples."""
+    trained = zstandard.train_dictionary(size, samples, k=segment, d=6, level=LEVEL).as_bytes()
+    return trained[trained.index(CONTENT) + len(CONTENT) :]
+
+
+def word_grams(word: bytes) -> set[bytes]:
+    """Byte grams of a word between blanks."""
+    w = b" " + word[:LONGEST] + b" "
+    return {w[i : i + n] for n in GRAMS for i in range(len(w) - n + 1)}
 
 
-def dictionary(samples: list[bytes], size: int) -> bytes:
-    """A raw-content dictionary trained on samples."""
-    trained = zstandard.train_dictionary(size, samples, k=24, d=6, level=LEVEL, threads=0)
-    return trained.as_bytes()
+def typical_grams(toxic: list[str], ordinary: list[str], least_z: float) -> set[bytes]:
+    """Grams that more toxic than ordinary documents hold, by a two-proportion z-score."""
+    counts = []
+    for texts in (toxic, ordinary):
+        c: Counter[bytes] = Counter()
+        for t in texts:
+            c.update(set().union(*map(word_grams, set(lower_words(t)))))
+        counts.append(c)
+    a, b = counts
+    n1, n0 = len(toxic), len(ordinary)
+    out = set()
+    for g, k in a.items():
+        q = (k + b[g]) / (n1 + n0)
+        if k / n1 - b[g] / n0 >= least_z * np.sqrt(q * (1 - q) * (1 / n1 + 1 / n0)) > 0:
+            out.add(g)
+    return out
 
 
 @dataclass(frozen=True)
@@ -69,8 +107,8 @@ class Model:
     def _compressors(self) -> tuple:
         if not self._cached:
             params = zstandard.ZstdCompressionParameters.from_level(LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
-            for name, raw in (("t", self.toxic), ("o", self.ordinary)):
-                d = zstandard.ZstdCompressionDict(raw)
+            for name, raw in (("t", self.ordinary + self.toxic), ("o", self.ordinary)):
+                d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 d.precompute_compress(compression_params=params)
                 self._cached[name] = zstandard.ZstdCompressor(dict_data=d, compression_params=params).compress
         return self._cached["t"], self._cached["o"]
@@ -81,12 +119,16 @@ class Model:
         return np.array([len(ordinary(w)) - len(toxic(w)) for w in wins], np.float64)
 
     def features(self, text: str | None) -> np.ndarray:
-        """Constant, the TOP greatest distances, the share of clearly toxic windows and the windows' log."""
-        d = self.distances(windows(text))
+        """Constant, greatest distances, distance of the most telling windows together, telling windows, all windows, mean."""
+        wins = windows(text)
+        d = self.distances(wins)
+        best = np.argsort(-d, kind="stable")
         top = np.zeros(TOP)
-        best = np.sort(d)[::-1][:TOP]
-        top[: len(best)] = best
-        return np.r_[1.0, top, 10 * (d >= 4).mean() if len(d) else 0.0, (d >= 4).sum() / 4, np.log1p(len(d))]
+        top[: len(best)] = d[best[:TOP]]
+        joined = self.distances([b"".join(wins[i] for i in np.sort(best[:JOINED]))])[0] if wins else 0.0
+        telling = d >= TELLING
+        many = len(d) or 1
+        return np.r_[1.0, top, joined, np.log1p(telling.sum()), 10 * telling.sum() / many, np.log1p(len(d)), min(d.sum() / many, 5.0)]
 
     def score(self, text: str | None) -> float:
         """Probability that the text is toxic."""
@@ -97,9 +139,10 @@ class Model:
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> np.ndarray:
-    """Penalised logistic regression by Newton steps; both classes weigh the same."""
+    """Penalised logistic regression by Newton steps; the rarer class weighs more, by the root of the odds."""
     w = np.zeros(x.shape[1])
-    mass = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
+    odds = max(1 - y.mean(), 1e-9) / max(y.mean(), 1e-9)
+    mass = np.where(y == 1, np.sqrt(odds), 1.0)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         g = x.T @ (mass * (p - y)) + ridge * w
@@ -111,24 +154,20 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50)
     return w
 
 
-def fit(toxic: list[str], ordinary: list[str], size: int = 4096, rounds: int = 3) -> Model:
-    """Train dictionaries on windows and calibrate on the same documents."""
+def fit(toxic: list[str], ordinary: list[str], base: int = 32768, own: int = 1024, least_z: float = 7.0, seed: int = 11) -> Model:
+    """Train the dictionaries (``base`` and ``own`` bytes) and calibrate on the same documents."""
     total = len(toxic) + len(ordinary)
-    if min(len(toxic), len(ordinary)) < 2:
-        return Model(prior=len(toxic) / total if total else 0.0)
-    tox, plain = [windows(t) for t in toxic], [windows(t) for t in ordinary]
-    flat = [w for ws in plain for w in ws]
-    chosen = [w for ws in tox for w in ws]
-    if min(len(flat), len(chosen)) < 32:
-        return Model(prior=len(toxic) / total)
-    base = dictionary(flat, size)
-    model = Model(dictionary(chosen, size), base)
-    for _ in range(rounds):
-        picked = []
-        for ws in tox:
-            d = model.distances(ws)
-            picked += [ws[i] for i in np.argsort(-d, kind="stable")[: max(2, len(ws) // 10)]]
-        model = Model(dictionary(picked, size), base)
+    prior = len(toxic) / total if total else 0.0
+    plain = [w for t in ordinary for w in windows(t)]
+    if not toxic or len(plain) < 100:
+        return Model(prior=prior)
+    typical = typical_grams(toxic, ordinary, least_z)
+    telling = [w[:LONGEST] for t in toxic for w in lower_words(t) if word_grams(w) & typical]
+    if len(telling) < 20:
+        return Model(prior=prior)
+    rng = np.random.default_rng(seed)
+    samples = [b" " + b" ".join(telling[i] for i in rng.integers(0, len(telling), 12)) + b" " for _ in range(2000)]
+    model = Model(dictionary(samples, own, 64), dictionary(plain, base, 32))
     x = np.array([model.features(t) for t in toxic + ordinary])
     y = np.r_[np.ones(len(toxic)), np.zeros(len(ordinary))]
     return Model(model.toxic, model.ordinary, tuple(logistic(x, y).tolist()))
@@ -145,7 +184,7 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most_
     return [r.text or "" for r in rows if r.toxic == 1], [r.text or "" for r in rows if r.toxic != 1]
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_toxic: int = 1200, most_ordinary: int = 1800) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_toxic: int = 2000, most_ordinary: int = 3000) -> Model:
     """Fit on a bounded sample of labelled documents."""
     return fit(*sample(docs, labels, id_col, text_col, most_toxic, most_ordinary))
 
