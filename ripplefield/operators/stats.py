@@ -61,3 +61,80 @@ def statistics(df: DataFrame) -> DataFrame:
             F.sum("_c").alias("zero_crossings"),
         )
     )
+
+
+def midpoint_sample(df: DataFrame) -> DataFrame:
+    """The sample in the middle by position (two middle ones averaged); null for more than one channel."""
+    n = F.max("idx").over(Window.partitionBy("clip_id")) + 1
+    channels = F.max("ch").over(Window.partitionBy("clip_id")) + 1
+    marked = df.select("clip_id", "idx", "v", n.alias("n"), channels.alias("c"))
+    middle = (F.col("idx") == F.floor(F.col("n") / 2)) | ((F.col("n") % 2 == 0) & (F.col("idx") == F.floor(F.col("n") / 2) - 1))
+    return marked.groupBy("clip_id").agg(F.avg(F.when(middle & (F.col("c") == 1), F.col("v"))).alias("midpoint"))
+
+
+def mean_by_channel(df: DataFrame) -> DataFrame:
+    """Mean of each channel."""
+    return df.groupBy("clip_id", "ch").agg(F.avg("v").alias("mean"))
+
+
+def mean_by_instant(df: DataFrame) -> DataFrame:
+    """Mean over the channels at each instant."""
+    return df.groupBy("clip_id", "idx").agg(F.avg("v").alias("mean"))
+
+
+def variance_by_channel(df: DataFrame, ddof: int = 0) -> DataFrame:
+    """Variance and deviation of each channel with ``n - ddof`` as divisor."""
+    moments = df.groupBy("clip_id", "ch").agg(F.var_pop("v").alias("p"), F.count("*").alias("n"))
+    var = F.try_divide(F.col("p") * F.col("n"), F.col("n") - ddof)
+    return moments.select("clip_id", "ch", var.alias("variance"), F.sqrt(var).alias("std_dev"))
+
+
+def variance(df: DataFrame, compat: bool = False) -> DataFrame:
+    """Population variance of a clip; ``compat`` takes deviations from the mean over channels at each instant,
+    divided by all samples and averaged over channels, as the original does for more than one channel."""
+    if not compat:
+        return df.groupBy("clip_id").agg(F.var_pop("v").alias("variance"))
+    centre = F.avg("v").over(Window.partitionBy("clip_id", "idx"))
+    d = df.select("clip_id", "ch", F.pow(F.col("v") - centre, F.lit(2.0)).alias("d"))
+    one = d.groupBy("clip_id").agg(F.sum("d").alias("s"), F.count("*").alias("n"), (F.max("ch") + 1).alias("c"))
+    return one.select("clip_id", (F.col("s") / F.col("n") / F.col("c")).alias("variance"))
+
+
+def lagged(df: DataFrame, other: DataFrame, max_lag: int) -> DataFrame:
+    """Products of ``df[i]`` and ``other[i + lag]`` for lags 0..max_lag: an equi-join on the shifted index."""
+    shifted = other.select("clip_id", F.col("v").alias("w"), F.explode(F.sequence(F.lit(0), F.lit(max_lag))).alias("lag"), "idx").withColumn("idx", F.col("idx") - F.col("lag")).where("idx >= 0")
+    return df.select("clip_id", "idx", "v").join(shifted, ["clip_id", "idx"])
+
+
+def autocorrelation(df: DataFrame, max_lag: int) -> DataFrame:
+    """Unbiased autocorrelation of the first channel: mean product at each lag up to min(max_lag, n - 1)."""
+    if max_lag < 1:
+        raise ValueError("at least one lag")
+    first = df.where("ch = 0")
+    return lagged(first, first, max_lag).groupBy("clip_id", "lag").agg(F.avg(F.col("v") * F.col("w")).alias("r"))
+
+
+def cross_correlation(a: DataFrame, b: DataFrame, max_lag: int) -> DataFrame:
+    """Mean product of ``a[i]`` and ``b[i + lag]`` over their common samples, first channels, lags below both lengths."""
+    if max_lag < 1:
+        raise ValueError("at least one lag")
+    a, b = a.where("ch = 0"), b.where("ch = 0")
+    shorter = a.groupBy("clip_id").agg(F.count("*").alias("n")).join(b.groupBy("clip_id").agg(F.count("*").alias("m")), "clip_id").select("clip_id", F.least("n", "m").alias("most"))
+    r = lagged(a, b, max_lag).groupBy("clip_id", "lag").agg(F.avg(F.col("v") * F.col("w")).alias("r"))
+    return r.join(shorter, "clip_id").where("lag < most").select("clip_id", "lag", "r")
+
+
+def alignment_lag(reference: DataFrame, query: DataFrame, max_lag: int) -> DataFrame:
+    """The lag within +-max_lag of greatest correlation sum; ties go to the smaller, then the positive lag."""
+    shift = F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag))).alias("lag")
+    moved = query.where("ch = 0").select("clip_id", F.col("v").alias("w"), "idx", shift).withColumn("idx", F.col("idx") - F.col("lag"))
+    sums = reference.where("ch = 0").join(moved, ["clip_id", "idx"]).groupBy("clip_id", "lag").agg(F.sum(F.col("v") * F.col("w")).alias("s"))
+    order = F.struct("s", -F.abs("lag"), "lag")
+    return sums.groupBy("clip_id").agg(F.max_by("lag", order).cast("long").alias("lag"))
+
+
+def feature_report(df: DataFrame) -> DataFrame:
+    """Levels by channel, by clip and over all, in one rollup."""
+    v = F.col("v")
+    g = df.rollup("clip_id", "ch").agg(F.count("*").alias("n"), F.sqrt(F.avg(v * v)).alias("rms"), F.max(F.abs(v)).alias("peak"))
+    return g

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ripplefield.plans import basics
+from ripplefield.plans import basics, scalars, signals, spectra, windows
 
-MODULES = [basics]
+MODULES = [basics, scalars, signals, windows, spectra]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
