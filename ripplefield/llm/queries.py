@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplefield.llm import attribution, media, mixing, ngram, ordinal, packing, quality_rules, secrets, simhash, toxicity
+from ripplefield.llm import attribution, media, mixing, ngram, oracles, ordinal, packing, quality_rules, secrets, simhash, toxicity
 from ripplefield.llm.common import crc_bucket
 
 
@@ -118,7 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
-ORACLES: dict[str, str] = {"op9_source_mixing": mixing.oracle()}
+ORACLES: dict[str, str] = dict(oracles.ORACLES)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
