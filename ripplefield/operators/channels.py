@@ -55,7 +55,8 @@ def to_stereo(df: DataFrame, method: str = "duplicate", pan: float = 0.0) -> Dat
     have = F.max("ch").over(CLIP())
     sides = F.array(*(F.struct(F.lit(k).alias("c"), F.lit(g).alias("g")) for k, g in enumerate(gains)))
     own = F.array(F.struct(F.col("ch").alias("c"), F.lit(1.0).alias("g")))
-    return df.withColumn("s__", F.explode(F.when(have == 0, sides).otherwise(own))).select("clip_id", F.col("s__.c").alias("ch"), "idx", (F.col("v") * F.col("s__.g")).alias("v"))
+    sized = df.withColumn("top__", have)
+    return sized.withColumn("s__", F.explode(F.when(F.col("top__") == 0, sides).otherwise(own))).select("clip_id", F.col("s__.c").alias("ch"), "idx", (F.col("v") * F.col("s__.g")).alias("v"))
 
 
 def duplicate_to_channels(df: DataFrame, n: int) -> DataFrame:

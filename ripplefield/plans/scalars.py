@@ -33,8 +33,8 @@ _scalar("cents_to_ratio", lambda x: scales.cents_to_ratio(x / 100), "2 ** (x / 1
 _scalar("ratio_to_cents", scales.ratio_to_cents, "1200 * log2(x)")
 _scalar("hz_to_bark", scales.hz_to_bark, "greatest(26.81 * x / (1960 + x) - 0.53, 0)")
 _scalar("bark_to_hz", lambda x: scales.bark_to_hz(x / 20000), "1960 * (x / 20000 + 0.53) / (26.28 - x / 20000)")
-_scalar("hz_to_erb", scales.hz_to_erb, "24.7 * (4.37 * x / 1000 + 1)")
-_scalar("erb_to_hz", scales.erb_to_hz, "(x / 24.7 - 1) * 1000 / 4.37")
+_scalar("hz_to_erb", lambda x: scales.hz_to_erb(x / 7), "24.7 * (4.37 * (x / 7) / 1000 + 1)")
+_scalar("erb_to_hz", lambda x: scales.erb_to_hz(x / 7), "(x / 7 / 24.7 - 1) * 1000 / 4.37")
 _scalar("frames_to_time", lambda x: scales.frames_to_time(F.floor(x), 44100, 512), "floor(x) * 512 / 44100")
 _scalar("time_to_frames", lambda x: scales.time_to_frames(x, 44100, 512).cast("double"), "round(x * 44100 / 512)")
 _scalar("samples_to_time", lambda x: scales.samples_to_time(F.floor(x), 44100), "floor(x) / 44100")
@@ -138,7 +138,7 @@ R.add(
 
 # --- generators -------------------------------------------------------------------------------------------
 
-GEN = "SELECT 0::BIGINT AS clip_id, 0 AS ch, i AS idx, round({v}, 6) + 0.0 AS v FROM (SELECT i, i / 8000.0::DOUBLE AS t FROM range({n}) r(i))"
+GEN = "SELECT 0::BIGINT AS clip_id, 0 AS ch, i AS idx, round(({v})::DOUBLE, 6) + 0.0 AS v FROM (SELECT i, i / 8000.0::DOUBLE AS t FROM range({n}) r(i))"
 TAU = "2 * pi()"
 
 

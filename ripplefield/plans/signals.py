@@ -86,7 +86,7 @@ add("amp_normalize_median", "emb", lambda x: elementwise.normalize(x, "median"),
 same("amp_normalize_zscore", "emb", lambda x: elementwise.normalize(x, "zscore"), f"(v - avg(v) {OVER}) / stddev_pop(v) {OVER}")
 same("amp_scale", "emb", lambda x: elementwise.scale(x, 0.5), "v * 0.5")
 same("amp_clip", "emb", lambda x: elementwise.clip(x, -0.1, 0.1), "greatest(least(v, 0.1::DOUBLE), -0.1::DOUBLE)")
-same("amp_remove_dc", "ev", elementwise.remove_dc_offset, f"v - avg(v) {OVER}")
+same("amp_remove_dc", "emb", elementwise.remove_dc_offset, f"v - avg(v) {OVER}")
 same("amp_apply_window", "emb", lambda x: elementwise.apply_window(x, elementwise.window_function(None, "hann", 64)), "v * (0.5 - 0.5 * cos(2 * pi() * idx / 63))")
 add("amp_fir", "emb", lambda x: elementwise.apply_filter(x, [0.25, 0.5, 0.25]), "SELECT a.clip_id, a.ch, a.idx, round(0.25 * a.v + 0.5 * b.v + 0.25 * c.v, 6) + 0.0 AS v FROM emb a JOIN emb b ON a.clip_id = b.clip_id AND b.idx = a.idx + 1 JOIN emb c ON a.clip_id = c.clip_id AND c.idx = a.idx + 2")
 same("amp_mu_compress", "emb", elementwise.mu_compress, "CASE WHEN v < 0 THEN -1 ELSE 1 END * ln(1 + 255 * abs(v)) / ln(256)")

@@ -246,7 +246,7 @@ def _layouts(s, d):
 
 add("psycho_layouts", _layouts, None, "centre_hz", "position")
 add("quant_allocate", lambda s, d: quantise.allocate_bits(psycho.band_metrics(_power(s, d), LAYOUT), 600, 2).select("clip_id", "band", "bits", "step"), f"{METRICS}, w AS (SELECT *, 10 ** (energy / 10) * (1 + greatest(energy - thr, 0)) AS w FROM th) SELECT clip_id, band, CAST(2 + round(w / sum(w) OVER (PARTITION BY clip_id) * (600 - 12)) AS BIGINT) AS bits, round(greatest(10 ** (thr / 20) * sqrt(12), 1e-6), 6) + 0.0 AS step FROM w", "step")
-add("quant_round_trip", lambda s, d: embedding_clips(s, d).withColumn("q", quantise.quantize(F.col("v"), F.lit(0.01), F.lit(6))).select("clip_id", "idx", "q", quantise.dequantize(F.col("q"), F.lit(0.01)).alias("v")), f"WITH {EMB}, q AS (SELECT clip_id, idx, CAST(greatest(least(round(v / 0.01), 31), -31) AS BIGINT) AS q FROM emb) SELECT clip_id, idx, q, round(q * 0.01, 6) + 0.0 AS v FROM q", "v")
+add("quant_round_trip", lambda s, d: embedding_clips(s, d).withColumn("q", quantise.quantize(F.col("v"), F.lit(0.01), F.lit(6))).select("clip_id", "idx", "q", quantise.dequantize(F.col("q"), F.lit(0.01)).alias("v")), f"WITH {EMB}, q AS (SELECT clip_id, idx, CAST(greatest(least(round(v / 0.01), 31), -31) AS BIGINT) AS q FROM emb) SELECT clip_id, idx, q, round(q * 0.01::DOUBLE, 6) + 0.0 AS v FROM q", "v")
 
 
 def _refined(s, d):

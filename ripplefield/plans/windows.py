@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ripplefield.operators import beats, compare, detect, editing, envelopes, frames, peaks, psycho, spectral, vad
-from ripplefield.plans.signals import CROSS  # noqa: F401  (the same crossing rule, per frame, below)
 from ripplefield.plans.sqlforms import EMB, EV, ST, Registry, r6, rounded
 from ripplefield.sources.tables import embedding_clips, event_clips, stereo_embeddings
 
@@ -38,8 +37,8 @@ add("frame_apply", lambda s, d: frames.apply_to_frames(stereo_embeddings(s, d),
 add("frame_apply_windows", lambda s, d: frames.apply_to_windows(embedding_clips(s, d), 16, 16, lambda w: w * 2), f"WITH {EMB} SELECT clip_id, ch, idx, round(v * 2, 6) + 0.0 AS v FROM emb", "v")
 add(
     "overlay_series",
-    lambda s, d: spectral.windowed_series(ev(s, d), 16, 8, 1000),
-    f"{EVF}, z AS (SELECT clip_id, frame, pos, v FROM fr UNION ALL SELECT clip_id, frame, p, 0.0 FROM (SELECT clip_id, frame, count(*) AS k FROM fr GROUP BY ALL), range(16) t(p) WHERE p >= k), q AS (SELECT *, lag(v) OVER (PARTITION BY clip_id, frame ORDER BY pos) AS p FROM z) SELECT clip_id, frame, (frame * 8 + 8) / 1000.0::DOUBLE AS seconds, round(sqrt(avg(v*v)), 6) + 0.0 AS rms, round(max(abs(v)), 6) + 0.0 AS peak, round(avg(v*v), 6) + 0.0 AS energy, round(count(*) FILTER (WHERE (p > 0 AND v <= 0) OR (p <= 0 AND v > 0)) * 1000.0 / 16, 6) + 0.0 AS zcr FROM q GROUP BY clip_id, frame",
+    lambda s, d: spectral.windowed_series(embedding_clips(s, d), 16, 8, 1000),
+    f"{EMF}, z AS (SELECT clip_id, frame, pos, v FROM fr UNION ALL SELECT clip_id, frame, p, 0.0 FROM (SELECT clip_id, frame, count(*) AS k FROM fr GROUP BY ALL), range(16) t(p) WHERE p >= k), q AS (SELECT *, lag(v) OVER (PARTITION BY clip_id, frame ORDER BY pos) AS p FROM z) SELECT clip_id, frame, (frame * 8 + 8) / 1000.0::DOUBLE AS seconds, round(sqrt(avg(v*v)), 6) + 0.0 AS rms, round(max(abs(v)), 6) + 0.0 AS peak, round(avg(v*v), 6) + 0.0 AS energy, round(count(*) FILTER (WHERE (p > 0 AND v <= 0) OR (p <= 0 AND v > 0)) * 1000.0 / 16, 6) + 0.0 AS zcr FROM q GROUP BY clip_id, frame",
     "seconds", "rms", "peak", "energy", "zcr",
 )
 
@@ -100,7 +99,7 @@ P = "OVER (PARTITION BY clip_id)"
 peak("peak_norm_peak", lambda s, d: peaks.normalize_strength(series(s, d), "peak"), f"x / max(abs(x)) {P}")
 peak("peak_norm_minmax", lambda s, d: peaks.normalize_strength(series(s, d), "minmax"), f"(x - min(x) {P}) / (max(x) {P} - min(x) {P})")
 peak("peak_norm_zscore", lambda s, d: peaks.normalize_strength(series(s, d), "zscore"), f"(x - avg(x) {P}) / stddev_pop(x) {P}")
-peak("peak_norm_mean", lambda s, d: peaks.normalize_strength(series(s, d), "mean"), f"x - avg(x) {P}")
+add("peak_norm_mean", lambda s, d: peaks.normalize_strength(embedding_clips(s, d).select("clip_id", F.col("idx").alias("frame"), F.col("v").alias("x")), "mean"), f"WITH {EMB} SELECT clip_id, idx AS frame, round(v - avg(v) {P}, 6) + 0.0 AS x FROM emb", "x")
 peak("peak_norm_median", lambda s, d: peaks.normalize_strength(series(s, d), "median"), f"x - list_sort(list(x) {P})[len(list(x) {P}) // 2 + 1]")
 for _m, _e in (("delta", "max(x) {w} - 0.2"), ("percentile", "quantile_cont(x, 0.8) {w}"), ("combined", "greatest(max(x) {w} - 0.2, quantile_cont(x, 0.8) {w})")):
     add(
@@ -159,4 +158,3 @@ add("beat_tempo", lambda s, d: beats.estimate_tempo(series(s, d), 1000, 100), f"
 add("beat_track", lambda s, d: beats.track_beats(series(s, d), beats.estimate_tempo(series(s, d), 1000, 100), 1000, 100), None, "seconds")
 
 QUERIES, ORACLES = R.QUERIES, R.ORACLES
-_ = EMF
