@@ -3,7 +3,8 @@
 One weight vector over hashed text features is shared by all grades; ordered thresholds cut its score:
 ``P(grade <= k) = sigmoid(threshold_k - score)``.  The expected grade ranks documents, the tail probability
 ``P(grade >= k)`` selects them.  Features are the shares of a text's words (hashed, A-Z lower-cased) and of
-their shapes (letter case, digits and symbols, runs collapsed), so they don't grow with the text.
+their shapes (letter case, digits and symbols, runs collapsed), and hashed tokens for the classes of its
+length, its share of distinct words and its share of repeated lines; none grows with the text.
 
 Fitting uses at most ``most_labelled`` rated documents, taken by the MD5 of their id (a bound whatever the
 corpus; their sparse features, not their texts, reach the driver).  Scoring reads all texts where they lie.
@@ -32,7 +33,9 @@ SIZE = 1 << 18
 #: Entries of the worker's word cache before it starts anew.
 CACHE = 400_000
 
-_SHAPES = ((re.compile(rb"[a-z\x80-\xff]+"), b"a"), (re.compile(rb"[A-Z]{2,}"), b"AA"), (re.compile(rb"[0-9]+"), b"0"), (re.compile(rb"([^A-Za-z0-9\x80-\xff])\1+"), rb"\1\1"))
+#: Bytes by class: letters and all beyond ASCII, capitals, digits; symbols stand for themselves.
+_CLASSES = bytes(97 if chr(c).islower() or c > 127 else 65 if chr(c).isupper() else 48 if chr(c).isdigit() else c for c in range(256))
+_RUN = re.compile(rb"(.)\1+", re.DOTALL)
 
 _cache: dict[bytes, tuple[int, int]] = {}
 
@@ -43,24 +46,31 @@ def _places(word: bytes) -> tuple[int, int]:
     if got is None:
         if len(_cache) >= CACHE:
             _cache.clear()
-        shape = word
-        for pattern, short in _SHAPES:
-            shape = pattern.sub(short, shape)
+        shape = _RUN.sub(rb"\1\1", word[:256].translate(_CLASSES))
         half = SIZE // 2
         got = _cache[word] = (xxhash.xxh64_intdigest(word.lower()) % half * 2, xxhash.xxh64_intdigest(shape[:12]) % half * 2 + 1)
     return got
 
 
+def _summary(text: bytes, words: int, distinct: int) -> list[int]:
+    """Feature numbers of the classes of length, distinct words and repeated lines."""
+    lines = [x for x in text.split(b"\n") if x.strip()]
+    classes = (words.bit_length(), 10 * distinct // words, 10 * (len(lines) - len(set(lines))) // max(len(lines), 1))
+    return [xxhash.xxh64_intdigest(b"class %d %d" % (k, c)) % (SIZE // 2) * 2 + 1 for k, c in enumerate(classes)]
+
+
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Feature numbers (repeats allowed) and shares of a text."""
-    counts = Counter((text or "").encode("utf-8", "surrogatepass").split())
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    counts = Counter(raw.split())
     if not counts:
         return np.empty(0, np.int32), np.empty(0, np.float32)
     at = np.array([_places(w) for w in counts], np.int32)
     share = np.fromiter(counts.values(), np.float32, len(counts)) / sum(counts.values())
     shapes = np.bincount(at[:, 1] // 2, weights=share, minlength=1)
     some = np.flatnonzero(shapes)
-    return np.r_[at[:, 0], some.astype(np.int32) * 2 + 1], np.r_[share, shapes[some].astype(np.float32)]
+    total = _summary(raw, sum(counts.values()), len(counts))
+    return np.r_[at[:, 0], some.astype(np.int32) * 2 + 1, np.array(total, np.int32)], np.r_[share, shapes[some].astype(np.float32), np.full(len(total), 0.5, np.float32)]
 
 
 @dataclass(frozen=True)
@@ -84,11 +94,16 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, top: int, steps: int = 300, rate: float = 0.3, ridge: float = 1e-4) -> Model:
-    """Maximum penalised likelihood by full-batch adaptive gradient steps; the same rows give the same model."""
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, top: int, steps: int = 150, rate: float = 0.3, ridge: float = 3e-4, least_rows: int = 3) -> Model:
+    """Maximum penalised likelihood by full-batch adaptive gradient steps; the same rows give the same model.
+
+    Features of fewer than ``least_rows`` rows have no weight.
+    """
     n, sizes = len(rows), np.array([len(a) for a, _ in rows], np.int64)
     doc = np.repeat(np.arange(n), sizes)
     at, x = (np.concatenate([r[k] for r in rows]) for k in (0, 1)) if n else (np.empty(0, np.int32), np.empty(0))
+    often = np.bincount(at, minlength=SIZE)[at] >= least_rows if n else np.empty(0, bool)
+    doc, at, x = doc[often], at[often], x[often]
     used, col = np.unique(at, return_inverse=True)
     spread = np.maximum(np.bincount(col, weights=x * x, minlength=len(used)) / max(n, 1), 1e-8)
     x = x / np.sqrt(spread)[col] ** 0.5  # rare features count, common ones don't drown them
