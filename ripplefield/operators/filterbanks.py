@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ripplefield.operators import spectral
-from ripplefield.operators.kernels import LONG  # noqa: F401  (the form that banks start from)
 
 #: A bank of more rows than this is joined by shuffle instead.
 BROADCAST_ROWS = 1_000_000
