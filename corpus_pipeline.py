@@ -23,8 +23,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least id of each near-duplicate component, once; no decision can name a document
     without an id, so these stay, once a text."""
     found = simhash.near_duplicates(docs.where("doc_id is not null"))
-    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.join(keep, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
+    name = fresh(docs, "kept_id")
+    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
+    kept = docs.join(keep, F.col("doc_id") == F.col(name), "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
 
 
