@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ripplefield import sinks
-from ripplefield.operators import codec, compare, dynamics, editing, eq, filterbanks, hpss, iir, onsets, pitch, psycho, quantise, resampling, spectral
+from ripplefield.operators import chunks, codec, compare, dynamics, editing, eq, filterbanks, hpss, iir, onsets, pitch, psycho, quantise, resampling, spectral
 from ripplefield.plans.sqlforms import EMB, EV, ST, Registry, r6, rounded
 from ripplefield.sources import generate
 from ripplefield.sources.tables import embedding_clips, event_clips, stereo_embeddings
@@ -183,6 +183,10 @@ for _family in iir.FAMILIES:
             _section_sql(iir.design(_family, _response, _order, _corner, 64.0)),
             "v",
         )
+LONG_CLIP = iir.design("butterworth", "lowpass", 3, 8.0, 64.0)
+add("long_recursive_filter", lambda s, d: chunks.recursive_filter(embedding_clips(s, d), LONG_CLIP, 10), _section_sql(LONG_CLIP), "v")
+add("long_fir", lambda s, d: chunks.fir(embedding_clips(s, d), [0.25, 0.5, 0.25], 10), f"WITH {EMB} SELECT a.clip_id, a.ch, a.idx, round(0.25 * a.v + 0.5 * b.v + 0.25 * c.v, 6) + 0.0 AS v FROM emb a JOIN emb b ON a.clip_id = b.clip_id AND b.idx = a.idx + 1 JOIN emb c ON a.clip_id = c.clip_id AND c.idx = a.idx + 2", "v")
+R.add("long_crossings", lambda s, d: chunks.crossings(stereo_embeddings(s, d), 7), f"WITH {ST}, p AS (SELECT *, lag(v) OVER (PARTITION BY clip_id, ch ORDER BY idx) AS p FROM st) SELECT clip_id, CAST(sum(CASE WHEN (p > 0 AND v <= 0) OR (p <= 0 AND v > 0) THEN 1 ELSE 0 END) AS BIGINT) AS zero_crossings FROM p GROUP BY clip_id")
 add("iir_filtfilt", lambda s, d: iir.filtfilt(embedding_clips(s, d), "butterworth", "lowpass", 2, 8.0, 64.0), None, "v")
 BANDS = {
     "peak": eq.Band("peak", 8.0, 6.0, 1.0),
