@@ -23,6 +23,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def scan(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """Running results of an associative operation over an array, by doubling: O(n log n), no growing copies."""
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)).cast("double"))).cast("int"))
+
+    def double(a: Column, k: Column) -> Column:
+        back = F.pow(F.lit(2.0), k).cast("int")
+        return F.transform(a, lambda x, i: F.when(i >= back, op(x, F.get(a, i - back))).otherwise(x))
+
+    return F.aggregate(rounds, values, double)
+
+
 def text_of(col: str | Column) -> Column:
     """The text as a string; null reads as empty."""
     return F.coalesce((F.col(col) if isinstance(col, str) else col).cast("string"), F.lit(""))

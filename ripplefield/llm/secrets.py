@@ -25,7 +25,7 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ripplefield.llm.common import fresh, let, text_of
+from ripplefield.llm.common import fresh, let, scan, text_of
 
 
 @dataclass(frozen=True)
@@ -186,7 +186,6 @@ def candidate(query: Query, bits: Column, grams: list[str]) -> Column:
 
 def _found(text: Column, rule: Rule, order: int) -> Column:
     """Spans of one rule: array of (start, ord, end)."""
-    empty = F.array().cast("array<struct<start:int,ord:int,end:int>>")
 
     def place(t: Column) -> Column:
         gaps = F.transform(F.split(t, rule.pattern, -1), lambda p: F.length(p))
@@ -200,15 +199,14 @@ def _found(text: Column, rule: Rule, order: int) -> Column:
         )
 
         def walk(both: Column) -> Column:
-            start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-            indexed = F.transform(both["hits"], lambda m, i: F.struct(m["n"].alias("n"), m["g"].alias("g"), F.get(both["gaps"], i).alias("gap")))
-
-            def add(a: Column, m: Column) -> Column:
-                begin = a["at"] + m["gap"]
-                span = F.struct(begin.alias("start"), F.lit(order).alias("ord"), (begin + m["n"]).alias("end"))
-                return F.struct((begin + m["n"]).alias("at"), F.when(m["g"] >= rule.least, F.concat(a["out"], F.array(span))).otherwise(a["out"]).alias("out"))
-
-            return F.aggregate(indexed, start, add, lambda a: a["out"])
+            steps = F.transform(both["hits"], lambda m, i: m["n"] + F.get(both["gaps"], i))
+            ends = lambda e: F.transform(
+                both["hits"],
+                lambda m, i: F.struct((F.get(e, i) - m["n"]).alias("start"), F.lit(order).alias("ord"), F.get(e, i).alias("end"), m["g"].alias("g")),
+            )
+            found = let(let(steps, lambda s: scan(s, lambda x, y: x + y)), ends)
+            kept = F.filter(found, lambda s: s["g"] >= rule.least)
+            return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["ord"].alias("ord"), s["end"].alias("end")))
 
         return let(F.struct(gaps.alias("gaps"), sized.alias("hits")), walk)
 
@@ -241,20 +239,22 @@ def as_string(spans_col: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 
 
 def redact(text: Column, spans_col: Column, mark: str = "[SECRET]") -> Column:
-    """The text with the union of its spans replaced by ``mark``."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def by_text(t: Column) -> Column:
-        def add(a: Column, s: Column) -> Column:
-            fresh_span = s["start"] >= a["at"]
-            piece = F.concat(F.substring(t, a["at"] + 1, s["start"] - a["at"]), F.lit(mark))
-            return F.struct(
-                F.greatest(a["at"], s["end"]).alias("at"),
-                F.when(fresh_span, F.concat(a["out"], F.array(piece))).otherwise(a["out"]).alias("out"),
-            )
-
-        return F.aggregate(
-            spans_col, start, add, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(t, a["at"] + 1, F.length(t)))
+    """The text with the union of its spans replaced by ``mark``.
+
+    The text is cut as UTF-32, where a place is found at once; all is linear but for a logarithm of the spans.
+    """
+    wide = lambda t: F.encode(t, "UTF-32")
+    cut = lambda w, a, n: F.decode(F.substring(w, a * 4 + 1, n * 4), "UTF-32")
+
+    def by_reach(w: Column, reach: Column) -> Column:
+        before = lambda i: F.when(i > 0, F.get(reach, i - 1)).otherwise(F.lit(0))
+        pieces = F.transform(
+            spans_col,
+            lambda s, i: F.when(s["start"] >= before(i), F.concat(cut(w, before(i), s["start"] - before(i)), F.lit(mark))).otherwise(F.lit("")),
         )
+        last = F.element_at(reach, -1)
+        return F.concat(F.array_join(pieces, ""), cut(w, last, F.length(w)))
 
-    return F.when(F.size(spans_col) == 0, text).otherwise(let(text, by_text))
+    reach = scan(F.transform(spans_col, lambda s: s["end"]), lambda x, y: F.greatest(x, y))
+    both = F.struct(wide(text).alias("w"), reach.alias("r"))
+    return F.when(F.size(spans_col) == 0, text).otherwise(let(both, lambda b: by_reach(b["w"], b["r"])))
