@@ -225,7 +225,7 @@ def train(docs: DataFrame, text_col: str = "text", tokens_per_shard: int = 2_000
     spark = docs.sparkSession
     path = shared_path(spark, "ngram")
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    word_shards = max(8, texts.rdd.getNumPartitions() // 4)
+    word_shards = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []

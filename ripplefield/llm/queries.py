@@ -63,12 +63,12 @@ def op6_token_counts(spark, sf_dir):
 
 
 def op7_ordinal_quality(spark, sf_dir):
-    """Expected grade and tail probability of every document; at least grade 1 is selected."""
+    """Expected grade and tail probability of every document; documents likely of grade 1 at least are kept."""
     docs = _docs(spark, sf_dir).select("doc_id", "text")
     ratings = ordinal.graded(_labels(spark, sf_dir)).where(~ordinal.held_out())
     rows = ordinal.score(docs, ordinal.train(docs, ratings, top=2))
     tail = F.col("tails")[0]
-    return rows.select("doc_id", ordinal.held_out().alias("held_out"), "expected_grade", tail.alias("tail_probability"), (tail >= 0.5).alias("selected"))
+    return rows.select("doc_id", ordinal.held_out().alias("held_out"), "expected_grade", tail.alias("tail_probability"), (tail >= 0.5).alias("kept"))
 
 
 def op8_secret_scan(spark, sf_dir):

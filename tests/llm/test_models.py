@@ -143,8 +143,8 @@ def test_ordinal_grades_on_held_out_rows(spark, tmp_path):
     got = queries.op7_ordinal_quality(spark, d).collect()
     assert len(got) == len(rows) + 4
     for r in got:
-        assert 0 <= r.tail_probability <= 1 and r.tail_probability <= r.expected_grade + 1e-9 <= 2 + 1e-6 and r.selected == (r.tail_probability >= 0.5)
-    judged = [(r.selected, quality[r.doc_id]) for r in got if r.held_out and r.doc_id > 4]
+        assert 0 <= r.tail_probability <= 1 and r.tail_probability <= r.expected_grade + 1e-9 <= 2 + 1e-6 and r.kept == (r.tail_probability >= 0.5)
+    judged = [(r.kept, quality[r.doc_id]) for r in got if r.held_out and r.doc_id > 4]
     assert sum(a == bool(b) for a, b in judged) / len(judged) > 0.95
 
 
