@@ -193,3 +193,32 @@ def from_clips(clips: DataFrame) -> DataFrame:
     """Long form of the clip form; narrow."""
     one = clips.select("clip_id", F.posexplode("samples").alias("ch", "s"))
     return one.select("clip_id", "ch", F.posexplode("s").alias("idx", "v")).select("clip_id", "ch", F.col("idx").cast("long").alias("idx"), F.col("v").cast("double").alias("v"))
+
+
+def replace_samples(df: DataFrame, new: DataFrame) -> DataFrame:
+    """The samples of ``new`` in place of a clip's; another number of channels stops the query."""
+    have = df.groupBy("clip_id").agg((F.max("ch") + 1).alias("c__"))
+    got = new.groupBy("clip_id").agg((F.max("ch") + 1).alias("k__"))
+    same = have.join(got, "clip_id").select("clip_id", F.when(F.col("c__") == F.col("k__"), F.lit(True)).otherwise(F.raise_error(F.lit("another number of channels")).cast("boolean")).alias("ok__"))
+    return new.join(same, "clip_id").where("ok__").select("clip_id", "ch", "idx", "v")
+
+
+def replace_interleaved(df: DataFrame, samples: Sequence[float], channels: int, clip_id: int = 0) -> DataFrame:
+    """Interleaved samples in place of one clip's; the channels must agree."""
+    return replace_samples(df, from_interleaved(df.sparkSession, samples, channels, clip_id))
+
+
+def left_right_columns(df: DataFrame) -> DataFrame:
+    """Stereo with a row per instant: ``(clip_id, idx, left, right)``."""
+    sides = (F.max(F.when(F.col("ch") == k, F.col("v"))).alias(n) for k, n in ((0, "left"), (1, "right")))
+    return require_channels(df, 2).groupBy("clip_id", "idx").agg(*sides)
+
+
+def with_stereo(df: DataFrame, f: Callable[[Column, Column], Column]) -> DataFrame:
+    """An expression over left and right at each instant: ``(clip_id, idx, v)``."""
+    return left_right_columns(df).select("clip_id", "idx", f(F.col("left"), F.col("right")).alias("v"))
+
+
+def fixed_length(df: DataFrame, n: int) -> DataFrame:
+    """Fail in the plan unless every clip has ``n`` samples a channel."""
+    return df.withColumn("n__", frame_count()).withColumn("idx", F.when(F.col("n__") == n, F.col("idx")).otherwise(fail(f"exactly {n} samples are needed"))).drop("n__")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CLIP = ["clip_id"]
@@ -30,12 +30,20 @@ def levels(df: DataFrame) -> DataFrame:
     )
 
 
+def sign_change() -> Column:
+    """Whether a sample crosses zero against the one before it; zero counts with the negative side.
+
+    The window is partitioned by clip alone and ordered by channel, so that it shares its exchange with
+    aggregates by clip (and with adapters that number samples by clip).
+    """
+    w = Window.partitionBy("clip_id").orderBy("ch", "idx")
+    prev, v = F.when(F.lag("ch").over(w) == F.col("ch"), F.lag("v").over(w)), F.col("v")
+    return F.coalesce(((prev > 0) & (v <= 0)) | ((prev <= 0) & (v > 0)), F.lit(False)).cast("long")
+
+
 def crossings(df: DataFrame) -> DataFrame:
-    """Sign changes per clip, summed over channels; zero counts with the negative side."""
-    prev = F.lag("v").over(along())
-    crossed = ((prev > 0) & (F.col("v") <= 0)) | ((prev <= 0) & (F.col("v") > 0))
-    flagged = df.select("clip_id", "ch", "idx", F.coalesce(crossed, F.lit(False)).cast("long").alias("c"))
-    return flagged.groupBy("clip_id").agg(F.sum("c").alias("zero_crossings"))
+    """Sign changes per clip, summed over channels."""
+    return df.select("clip_id", "ch", "idx", "v").withColumn("c", sign_change()).groupBy("clip_id").agg(F.sum("c").alias("zero_crossings"))
 
 
 def crossing_rate(df: DataFrame, sample_rate: float) -> DataFrame:
@@ -45,12 +53,10 @@ def crossing_rate(df: DataFrame, sample_rate: float) -> DataFrame:
 
 
 def statistics(df: DataFrame) -> DataFrame:
-    """``levels`` and ``crossings`` together; the window and the aggregate share one exchange by clip."""
-    prev = F.lag("v").over(along("clip_id", "ch"))
+    """``levels`` and ``crossings`` together, over one exchange by clip."""
     v = F.col("v")
-    crossed = ((prev > 0) & (v <= 0)) | ((prev <= 0) & (v > 0))
     return (
-        df.withColumn("_c", F.coalesce(crossed, F.lit(False)).cast("long"))
+        df.withColumn("_c", sign_change())
         .groupBy("clip_id")
         .agg(
             F.count("*").alias("n"),

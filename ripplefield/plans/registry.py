@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ripplefield.plans import basics, scalars, signals, spectra, windows
+from ripplefield.plans import basics, more, scalars, signals, spectra, windows
 
-MODULES = [basics, scalars, signals, windows, spectra]
+MODULES = [basics, scalars, signals, windows, spectra, more]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
