@@ -10,8 +10,8 @@ Fitting uses at most ``most_labelled`` rated documents, taken by the MD5 of thei
 corpus; their sparse features, not their texts, reach the driver).  Scoring reads all texts where they lie.
 
 Defined cases: null and empty texts have no features and score by the thresholds alone; unrated documents
-are scored all the same; ratings of missing documents are ignored; with fewer than two grades in the sample
-every document has that grade; repeated rows are scored each; other columns are not read.
+are scored all the same; ratings of missing documents are ignored; without any rating all weights are 0 and
+the thresholds 0, 1, ..; with one grade only, that grade is likely for all; repeated rows are scored each; other columns are not read.
 """
 
 from __future__ import annotations
@@ -99,15 +99,17 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, top: int,
 
     Features of fewer than ``least_rows`` rows have no weight.
     """
+    if not rows:
+        return Model(np.zeros(SIZE, np.float32), np.arange(top, dtype=float))
     n, sizes = len(rows), np.array([len(a) for a, _ in rows], np.int64)
     doc = np.repeat(np.arange(n), sizes)
-    at, x = (np.concatenate([r[k] for r in rows]) for k in (0, 1)) if n else (np.empty(0, np.int32), np.empty(0))
-    often = np.bincount(at, minlength=SIZE)[at] >= least_rows if n else np.empty(0, bool)
+    at, x = (np.concatenate([r[k] for r in rows]) for k in (0, 1))
+    often = np.bincount(at, minlength=SIZE)[at] >= least_rows
     doc, at, x = doc[often], at[often], x[often]
     used, col = np.unique(at, return_inverse=True)
-    spread = np.maximum(np.bincount(col, weights=x * x, minlength=len(used)) / max(n, 1), 1e-8)
+    spread = np.maximum(np.bincount(col, weights=x * x, minlength=len(used)) / n, 1e-8)
     x = x / np.sqrt(spread)[col] ** 0.5  # rare features count, common ones don't drown them
-    share = np.array([(grades <= k).mean() if n else 0.5 for k in range(top)]).clip(0.01, 0.99)
+    share = np.array([(grades <= k).mean() for k in range(top)]).clip(0.01, 0.99)
     theta = np.log(share / (1 - share))
     first, gaps = theta[0], np.log(np.maximum(np.diff(theta), 0.05))
     w = np.zeros(len(used))
