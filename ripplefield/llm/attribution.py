@@ -42,7 +42,7 @@ def line_sections(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 def token_spans(text: str, enc: Encoder) -> tuple[np.ndarray, np.ndarray]:
     """First and past-the-last character of each token of a text."""
-    widths = enc.widths[enc.ids(text)]
+    widths = enc.widths[enc.array(text)]
     ends = np.cumsum(widths)
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
     if len(ends) and ends[-1] != len(raw):

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +19,21 @@ SPACE = r"[\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+#: Texts beyond this size are worked on in slices, so that a worker's memory doesn't grow with their words.
+LONG = 4_000_000
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def slices(raw: bytes, size: int | None = None) -> Iterator[bytes]:
+    """A text's bytes in slices of about ``size``, cut at white space, so that no word is parted."""
+    size, start = size or LONG, 0
+    while start < len(raw):
+        gap = _BLANK.search(raw, start + size)
+        end = gap.start() if gap else len(raw)
+        yield raw[start:end]
+        start = end
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Bind ``value`` to a name inside one expression, so that it is evaluated once however often used."""
     return F.element_at(F.transform(F.array(value), body), 1)

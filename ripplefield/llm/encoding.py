@@ -13,11 +13,16 @@ import re
 
 import numpy as np
 
+from ripplefield.llm.common import LONG
+
 #: Special strings that the JSON vocabulary knows.
 SPECIAL = "<|endoftext|>"
 #: Runs from this length on are left to the slower library, whose time doesn't grow with a run's square.
 LONG_RUN = re.compile(r"[^\s]{4000}|[^\S ]{4000}| {4000}")
 
+#: A blank between two letters: words on both sides are encoded apart.
+BETWEEN = re.compile(r"(?<=[a-z]) (?=[a-z])")
+
 
 def default_paths() -> tuple[str, str]:
     """The JSON vocabulary and its ranks among the installed public tokenizers."""
@@ -45,6 +50,17 @@ class Encoder:
         if (i := self.exact.token_to_id(SPECIAL)) is not None:
             self.widths[i] = len(SPECIAL)
 
+    def array(self, text: str | None, size: int | None = None) -> np.ndarray:
+        """Token ids as an array.  Long texts are encoded in slices that begin with a blank between two letters,
+        where every encoding of the whole has a boundary too."""
+        size, start, out = size or LONG, 0, []
+        while text and start < len(text):
+            gap = BETWEEN.search(text, start + size)
+            end = gap.start() if gap else len(text)
+            out.append(np.array(self.ids(text[start:end]), "<u4"))
+            start = end
+        return out[0] if len(out) == 1 else np.concatenate(out) if out else np.empty(0, "<u4")
+
     def ids(self, text: str | None) -> list[int]:
         """Token ids of a text, without added special tokens; null: none."""
         if not text:

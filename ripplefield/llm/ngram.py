@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ripplefield.llm.common import cut, shared_path
+from ripplefield.llm.common import cut, shared_path, slices
 
 #: Hash of the end token and of the start context; with their spaces they are no words.
 END = xxhash.xxh64_intdigest(b" end")
@@ -50,19 +50,22 @@ CHUNK = 2_000_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def words(text: str | None) -> list[bytes]:
-    """Words of a text with A-Z lower-cased; bytes.split() parts exactly at the six ASCII white spaces."""
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+def word_hashes(text: str | None) -> np.ndarray:
+    """Hashes of a text's words with A-Z lower-cased; bytes.split() parts exactly at the six ASCII white spaces."""
+    digest, out = xxhash.xxh64_intdigest, []
+    for piece in slices(text.encode("utf-8", "surrogatepass").lower()) if text else ():
+        w = piece.split()
+        out.append(np.fromiter(map(digest, w), np.uint64, len(w)))
+    return out[0] if len(out) == 1 else np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
 def token_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens, each text closed by the end token, and the tokens of each text."""
-    digest, out, sizes = xxhash.xxh64_intdigest, [], np.empty(len(texts), np.int64)
+    out, sizes = [], np.empty(len(texts), np.int64)
     for i, t in enumerate(texts):
-        w = words(t)
+        w = word_hashes(t)
         h = np.empty(len(w) + 1, np.uint64)
-        h[:-1] = np.fromiter(map(digest, w), np.uint64, len(w))
-        h[-1] = END
+        h[:-1], h[-1] = w, END
         out.append(h)
         sizes[i] = len(h)
     return (np.concatenate(out) if out else np.empty(0, np.uint64)), sizes

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ripplefield.llm.common import crc_bucket
+from ripplefield.llm.common import crc_bucket, slices
 
 SIZE = 1 << 18
 #: Entries of the worker's word cache before it starts anew.
@@ -62,7 +62,9 @@ def _summary(text: bytes, words: int, distinct: int) -> list[int]:
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Feature numbers (repeats allowed) and shares of a text."""
     raw = (text or "").encode("utf-8", "surrogatepass")
-    counts = Counter(raw.split())
+    counts: Counter[bytes] = Counter()
+    for piece in slices(raw):
+        counts.update(piece.split())
     if not counts:
         return np.empty(0, np.int32), np.empty(0, np.float32)
     at = np.array([_places(w) for w in counts], np.int32)

@@ -57,7 +57,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, separator
         for b in batches:
             out: list[tuple[int, int, int, int, int]] = []
             for row, t in enumerate(b.column(1)):
-                ids = np.array([*enc.ids(t.as_py()), separator], "<u4")
+                ids = np.append(enc.array(t.as_py()), np.uint32(separator)).astype("<u4")
                 first = len(ids) % capacity or capacity
                 starts = [0, *range(first, len(ids), capacity)]
                 for k, s in enumerate(starts):

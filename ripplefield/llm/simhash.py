@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ripplefield.llm.common import cut
+from ripplefield.llm.common import cut, slices
 from ripplefield.llm.components import components
 
 BITS = 64
@@ -43,10 +43,15 @@ CHUNK = 1 << 16
 
 def fingerprint(text: str | None, width: int = 3) -> int:
     """SimHash of a text: a bit is set if it is set in over half of the shingles' hashes."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII case and white space only
-    if not words:
+    raw = (text or "").encode("utf-8", "surrogatepass").lower()  # bytes: ASCII case and white space only
+    words = itertools.chain.from_iterable(s.split() for s in slices(raw))
+    head = list(itertools.islice(words, width))
+    if not head:
         return 0
-    shingles = map(b" ".join, zip(*(words[k:] for k in range(width)), strict=False)) if len(words) >= width else iter([b" ".join(words)])
+    runs = itertools.tee(itertools.chain(head, words), width)
+    for k, run in enumerate(runs):
+        next(itertools.islice(run, k, k), None)
+    shingles = map(b" ".join, zip(*runs, strict=False)) if len(head) == width else iter([b" ".join(head)])
     ones, n = np.zeros(BITS, np.int64), 0
     digest = xxhash.xxh64_intdigest
     while chunk := [digest(s, 42) for s in itertools.islice(shingles, CHUNK)]:

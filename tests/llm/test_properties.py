@@ -6,7 +6,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from ripplefield.llm import attribution, encoding, media, ngram, packing, secrets, simhash, toxicity
+from ripplefield.llm import attribution, common, encoding, media, ngram, ordinal, packing, secrets, simhash, toxicity
 from tests.llm.test_simhash import brute_fingerprint
 
 texts = st.text(max_size=300)
@@ -48,6 +48,25 @@ def test_fingerprints(t):
     assert simhash.fingerprint(t) == brute_fingerprint(t)
 
 
+@FAST
+@given(st.text(alphabet="ab cD\n.é<1", max_size=200), st.integers(1, 20))
+def test_slices_change_nothing(t, size):
+    enc = encoding.encoder(*encoding.default_paths())
+    assert enc.array(t, size).tolist() == enc.ids(t)
+    raw = t.encode()
+    assert b"".join(common.slices(raw, size)) == raw
+    assert [w for s in common.slices(raw, size) for w in s.split()] == raw.split()
+
+
+def test_long_texts_in_slices(monkeypatch):
+    t = "The quick brown fox jumps, over 13 lazy dogs.\nAnd on " * 50
+    want = simhash.fingerprint(t), ngram.token_hashes([t, None, ""]), ordinal.features(t)
+    monkeypatch.setattr(common, "LONG", 100)
+    got = simhash.fingerprint(t), ngram.token_hashes([t, None, ""]), ordinal.features(t)
+    assert want[0] == got[0] == brute_fingerprint(t)
+    assert all((a == b).all() for a, b in zip(want[1] + want[2], got[1] + got[2]))
+
+
 @FAST
 @given(st.lists(st.integers(1, 100), min_size=1, max_size=80), st.randoms(use_true_random=False))
 def test_every_search_step_is_a_packing(lengths, rnd):
