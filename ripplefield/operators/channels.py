@@ -9,9 +9,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-def CLIP():
-    return Window.partitionBy("clip_id")
 
+def CLIP() -> Window:
+    """All samples of a clip."""
+    return Window.partitionBy("clip_id")
 
 
 def _bad(message: str, kind: str) -> Column:

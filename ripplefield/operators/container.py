@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from ripplefield.functions import formats
 
 KEYS = ["clip_id", "ch", "idx"]
-def CLIP():
-    return Window.partitionBy("clip_id")
 
 
+def CLIP() -> Window:
+    """All samples of a clip."""
+    return Window.partitionBy("clip_id")
+
 
 def frame_count() -> Column:
     """Samples per channel of a row's clip."""

@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 
 from ripplefield.operators.kernels import map_channel
 
-def CLIP():
+
+def CLIP() -> Window:
+    """All samples of a clip."""
     return Window.partitionBy("clip_id")
 
-def N():
-    return F.col("n__")
 
+def N() -> Column:
+    """Samples per channel, where ``_sized`` has added them."""
+    return F.col("n__")
 
 
 def _sized(df: DataFrame) -> DataFrame:

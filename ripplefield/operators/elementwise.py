@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 from ripplefield.operators.kernels import map_channel
 from ripplefield.operators.recurrence import biquad
 
-def CLIP():
+
+def CLIP() -> Window:
+    """All samples of a clip."""
     return Window.partitionBy("clip_id")
 
+
 METHODS = ("minmax", "peak", "mean", "median", "zscore")
 #: Filters of at least this many taps go through the frequency domain.
 LONG_TAPS = 256

@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 from ripplefield.operators import peaks, spectral
 from ripplefield.operators.filterbanks import constant_q
 
-def BIN():
+
+def BIN() -> Window:
+    """One bin over the frames."""
     return Window.partitionBy("clip_id", "ch", "bin").orderBy("frame")
 
+
 METHODS = ("energy", "magnitude", "complex", "rectified")
 
 

@@ -9,12 +9,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-def SERIES():
+
+def SERIES() -> Window:
+    """All frames of a clip."""
     return Window.partitionBy("clip_id")
 
-def ORDER():
-    return SERIES().orderBy("frame")
 
+def ORDER() -> Window:
+    """Frames of a clip in order."""
+    return SERIES().orderBy("frame")
 
 
 def centred(size: int) -> Window:

@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_WORD = 24
-def FRAME():
-    return Window.partitionBy("clip_id", "frame")
 
 
+def FRAME() -> Window:
+    """All bands of a frame."""
+    return Window.partitionBy("clip_id", "frame")
+
 
 def step_size(noise_db: Column) -> Column:
     """Step whose uniform quantisation noise has a level, at least 1e-6."""

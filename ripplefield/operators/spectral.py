@@ -189,11 +189,11 @@ def hilbert_signal(df: DataFrame) -> DataFrame:
     return map_channel(df, hilbert)
 
 
-def GROUP():
+def GROUP() -> Window:
+    """All bins of a frame."""
     return Window.partitionBy(*KEYS)
 
 
-
 def features(spec: DataFrame, rolloff: float = 0.85) -> DataFrame:
     """Centroid, bandwidth, rolloff, flatness, crest and slope of every frame from one spectrum; silent frames give 0."""
     if not 0 < rolloff < 1:

@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from ripplefield.operators.frames import frames
 
-def ORDER():
+
+def ORDER() -> Window:
+    """Frames of a clip in order."""
     return Window.partitionBy("clip_id").orderBy("frame")
 
+
 METHODS = ("energy", "zero_crossing", "combined")
 POLICIES = ("average", "any", "all")
 
