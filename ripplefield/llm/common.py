@@ -79,6 +79,11 @@ def fresh(df: DataFrame, base: str) -> str:
     return name
 
 
+def content_hash(df: DataFrame) -> Column:
+    """A hash of all columns of a row; maps, which have no hash, as JSON."""
+    return F.xxhash64(*(F.to_json(f"`{c}`") if "map<" in kind else F.col(f"`{c}`") for c, kind in df.dtypes))
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; only where none is set (tests), a local one."""
     sc = spark.sparkContext
@@ -106,5 +111,3 @@ def shared_path(spark: SparkSession, kind: str) -> str:
     path = os.path.join(url.path, f"{kind}-{uuid.uuid4().hex}")
     os.makedirs(path, exist_ok=True)
     return path
-
-

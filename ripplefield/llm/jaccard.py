@@ -1,22 +1,25 @@
-"""Near duplicates by the Jaccard similarity of word shingles: all pairs at or above a threshold, exactly.
+"""The exact rest of SimHash near-dedup: pairs of word-shingle sets at or above a Jaccard similarity.
 
-Sets of equal content share a 64-bit key; the rest is a set-similarity join on prefixes.  With the shingles of
-every set in one common order, two sets of similarity t or more share a shingle among the first n - ceil(t n) + 1
-of each, and the smaller one has its first shared shingle among n - ceil(2t / (1 + t) n) + 1 already.  Only these
-prefixes are shuffled.  Any common order gives the same result; shingles that many prefixes hold are put last,
-so that common passages seldom lead to candidates.
+Fingerprints within a few bits can't reach all pairs of similarity 0.8 (see the README for figures), so the
+operator of ``simhash`` that works by similarity verifies its candidates here and adds, by a set-similarity
+join on prefixes, the pairs that no fingerprint leads to.  With the shingles of every set in one common order,
+two sets of similarity t or more share a shingle among the first n - ceil(t n) + 1 of each, and the smaller
+one has its first shared shingle among n - ceil(2t / (1 + t) n) + 1 already.  Only these prefixes are shuffled,
+once.  Any common order gives the same result; shingles that many prefixes hold are put last, so that common
+passages seldom lead to candidates.
 
-Sets that share a prefix shingle form a bucket.  Every member is first verified against the bucket's leader (the
-least key); after that only pairs across components are left, and these are formed and verified in full.  Pairs
-are dropped unverified only if their sizes or the positions of the shared shingle rule the threshold out.
+Sets that share a prefix shingle form a bucket.  Every member is first verified against the bucket's leader (of
+the earliest place, so rather an original than its edited copies); after that only pairs across components are
+left, and these are formed and verified in full.  Pairs are dropped unverified only if their sizes or the
+positions of the shared shingle rule the threshold out.
 
 Defined cases: null and empty texts have the empty set and equal each other; texts with fewer words than a
-shingle have their whole word sequence as the one shingle.
+shingle have their whole word sequence as the one shingle; equal sets share a key and need no pair.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -69,30 +72,25 @@ def prefix(shingles: np.ndarray, threshold: Fraction, common: np.ndarray) -> np.
 
 
 def _prefixes(texts: DataFrame, width: int, threshold: Fraction, common: np.ndarray) -> DataFrame:
-    """``(token, key, n, pos)`` of the prefix of every text."""
+    """``(token, key, place)`` of the prefix of every text, place holding size and position; equal sets of a batch once."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            done: set[int] = set()
             for at in range(0, b.num_rows, 256):
-                cols = [[np.empty(0, np.int64)] for _ in range(4)]
+                cols = [[np.empty(0, np.int64)] for _ in range(3)]
                 for t in b.column(0).slice(at, 256):
                     s = shingle_set(t.as_py(), width)
+                    key = key_of(s)
+                    if key in done:
+                        continue
+                    done.add(key)
                     p = prefix(s, threshold, common)
-                    for c, x in zip(cols, (p.view(np.int64), np.full(len(p), key_of(s)), np.full(len(p), len(s)), np.arange(len(p))), strict=True):
+                    for c, x in zip(cols, (p.view(np.int64), np.full(len(p), key), (len(s) << 32) + np.arange(len(p))), strict=True):
                         c.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["token", "key", "n", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["token", "key", "place"])
 
-    return texts.mapInArrow(each, "token long, key long, n long, pos long")
-
-
-def keys(docs: DataFrame, text_col: str = "text", width: int = 5, name: str = "key") -> DataFrame:
-    """``docs`` with the key of every row's shingle set."""
-
-    @F.pandas_udf("long")
-    def key(texts):
-        return texts.map(lambda t: key_of(shingle_set(t, width)))
-
-    return docs.withColumn(name, key(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    return texts.mapInArrow(each, "token long, key long, place long")
 
 
 def _possible(x: Column, y: Column, t: Fraction) -> Column:
@@ -103,8 +101,8 @@ def _possible(x: Column, y: Column, t: Fraction) -> Column:
     return sizes & ((p + q) * most >= p * (x["n"] + y["n"]))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
-    """The pairs ``(a, b)`` of keys whose sets reach the threshold."""
+def verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
+    """The pairs ``(a, b)`` of keys whose sets ``(key, shingles)`` reach the threshold."""
     p, q = threshold.numerator, threshold.denominator
     left, right = (sets.select(F.col("key").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
 
@@ -121,54 +119,76 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFra
     return joined.mapInArrow(each, "a long, b long")
 
 
-def _sets(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """``(key, shingles)`` of the wanted keys, once each."""
-    rows = keys(texts, "text", width).join(wanted, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
+def ends(pairs: DataFrame) -> DataFrame:
+    """The distinct keys of pairs."""
+    return pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
 
-    @F.pandas_udf("binary")
-    def packed(found):
-        return found.map(lambda t: shingle_set(t, width).astype("<u8").tobytes())
 
-    return cut(rows.select("key", packed("text").alias("shingles")))
+def common_shingles(texts: DataFrame, width: int, threshold: Fraction, often: int) -> np.ndarray:
+    """The shingles that more than ``often`` prefixes hold, the most frequent ``MOST_COMMON`` of them, sorted."""
+    counted = _prefixes(texts, width, threshold, np.empty(0, np.uint64)).groupBy("token").agg(F.count("*").alias("c"))
+    top = counted.where(F.col("c") > often).orderBy(F.desc("c"), "token").limit(MOST_COMMON).select("token").toArrow()
+    return np.sort(top.column(0).to_numpy().view(np.uint64)) if top.num_rows else np.empty(0, np.uint64)
 
 
-def links(texts: DataFrame, width: int = 5, threshold: Fraction = Fraction(4, 5), often: int = 32) -> DataFrame:
+def links(
+    texts: DataFrame,
+    sets: Callable[[DataFrame], DataFrame],
+    guessed: DataFrame | None = None,
+    width: int = 5,
+    threshold: Fraction = Fraction(4, 5),
+    often: int = 32,
+) -> DataFrame:
     """Edges ``(a, b)`` between keys; they connect all sets whose similarity reaches the threshold.
 
-    Shingles in more than ``often`` prefixes go last in the order.
+    ``texts`` has the column ``text``; ``sets`` gives ``(key, shingles)`` of the keys in a frame; ``guessed`` are
+    candidates ``(a, b)`` found by other means.  Shingles in more than ``often`` prefixes go last in the order.
     """
-    counted = _prefixes(texts, width, threshold, np.empty(0, np.uint64)).groupBy("token").agg(F.count("*").alias("c"))
-    top = counted.where(F.col("c") > often).orderBy(F.desc("c"), "token").limit(MOST_COMMON).select("token").toArrow()
-    common = np.sort(top.column(0).to_numpy().view(np.uint64)) if top.num_rows else np.empty(0, np.uint64)
+    common = common_shingles(texts, width, threshold, often)
 
     # the smaller set of a pair has pos <= n - ceil(2t / (1 + t) n): a bucket without such a row has no pair
     p, q = threshold.numerator, threshold.denominator
-    rows = _prefixes(texts, width, threshold, common).distinct()
+    held = _prefixes(texts, width, threshold, common).repartition("token")  # the one exchange of prefixes
+    rows = held.select("token", "key", F.shiftright("place", 32).alias("n"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).alias("pos"))
     early = (p + q) * (F.col("n") - F.col("pos")) >= 2 * p * F.col("n")
     item = F.struct("key", "n", "pos")
-    stats = rows.groupBy("token").agg(F.count("*").alias("size"), F.max(early).alias("early"), F.min(item).alias("lead"))
-    stats = cut(stats.where("size > 1 and early").select("token", "lead"))
-    met = cut(rows.join(stats, "token"))
+    stats = rows.groupBy("token").agg(F.min("key").alias("first"), F.max("key").alias("last"), F.max(early).alias("early"), F.min_by(item, F.struct("pos", "key")).alias("lead"))
+    stats = stats.where("first != last and early").select("token", "lead")
+    met = cut(rows.join(stats, "token").distinct())
     stars = met.where((F.col("key") != F.col("lead.key")) & _possible(item, F.col("lead"), threshold))
-    stars = cut(stars.select(F.col("lead.key").alias("a"), F.col("key").alias("b")).distinct())
-    found = cut(_verified(stars, _sets(texts, _ends(stars), width), threshold))
+    stars = stars.select(F.least("lead.key", "key").alias("a"), F.greatest("lead.key", "key").alias("b"))
+    if guessed is not None:
+        stars = stars.union(guessed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b"))
+    stars = cut(stars.distinct())
+    found = cut(verified(stars, sets(ends(stars)), threshold))
 
     roots = components(found).withColumnRenamed("node", "key")
-    parts = met.join(roots, "key", "left").groupBy("token", F.coalesce("root", "key").alias("root")).agg(F.sort_array(F.collect_list(item)).alias("s"))
-    parts = cut(parts)
-    parts = cut(parts.join(parts.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token"), "token"))
-    x, y = (parts.select("token", F.col("root").alias(f"root_{c}"), F.explode("s").alias(c)) for c in "xy")
+    parts = met.join(roots, "key", "left").select("token", F.coalesce("root", "key").alias("root"), item.alias("x"))
+    several = parts.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("token")
+    parts = cut(parts.join(several, "token"))
+    x, y = (parts.select("token", F.col("root").alias(f"root_{c}"), F.col("x").alias(c)) for c in "xy")
     across = x.join(y, "token").where((F.col("root_x") < F.col("root_y")) & _possible(F.col("x"), F.col("y"), threshold))
     across = across.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
     across = cut(across.join(stars, ["a", "b"], "left_anti"))
-    return found.union(_verified(across, _sets(texts, _ends(across), width), threshold))
-
-
-def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    return found.union(verified(across, sets(ends(across)), threshold))
 
 
 def near_duplicates(docs: DataFrame, text_col: str = "text", width: int = 5, threshold: Fraction = Fraction(4, 5), often: int = 32) -> DataFrame:
     """``(node, root)`` of every key that is linked to another; keys are those of ``keys``."""
     texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return components(links(texts, width, threshold, often))
+
+    def sets(wanted: DataFrame) -> DataFrame:
+        rows = keys(texts, "text", width).join(wanted, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
+        return cut(rows.select("key", packed(width)("text").alias("shingles")))
+
+    return components(links(texts, sets, None, width, threshold, often))
+
+
+def packed(width: int):
+    """A text's shingle set as bytes."""
+
+    @F.pandas_udf("binary")
+    def one(found):
+        return found.map(lambda t: shingle_set(t, width).astype("<u8").tobytes())
+
+    return one

@@ -19,6 +19,10 @@ they share such a key, and a key has at most 65 distinct fingerprints.  No link
 Defined cases: null and empty texts have fingerprint zero and link like any other; texts with fewer words
 than a shingle use their whole word sequence; repeated rows share a component; a component of null ids
 only has a null id.
+
+``one_of_each`` works by similarity instead of bits: texts whose sets of 5-word shingles reach a Jaccard
+similarity of 0.8 are linked.  Candidates are probed as above over fingerprints of the sets and verified by
+their sets; ``jaccard`` adds exactly what fingerprints within the radius don't reach.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ from __future__ import annotations
 import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +38,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ripplefield.llm.common import cut, slices
+from ripplefield.llm import jaccard
+from ripplefield.llm.common import content_hash, cut, fresh, slices
 from ripplefield.llm.components import components
 
 BITS = 64
@@ -52,11 +58,18 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     for k, run in enumerate(runs):
         next(itertools.islice(run, k, k), None)
     shingles = map(b" ".join, zip(*runs, strict=False)) if len(head) == width else iter([b" ".join(head)])
-    ones, n = np.zeros(BITS, np.int64), 0
     digest = xxhash.xxh64_intdigest
-    while chunk := [digest(s, 42) for s in itertools.islice(shingles, CHUNK)]:
+    return majority(np.array([digest(s, 42) for s in itertools.islice(shingles, CHUNK)], "<u8") for _ in itertools.count())
+
+
+def majority(chunks: Iterator[np.ndarray]) -> int:
+    """The bits that are set in over half of the hashes; the first empty chunk ends them."""
+    ones, n = np.zeros(BITS, np.int64), 0
+    for chunk in chunks:
+        if not len(chunk):
+            break
         n += len(chunk)
-        bits = np.unpackbits(np.array(chunk, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        bits = np.unpackbits(chunk.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
@@ -237,3 +250,84 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     named = joined.join(ids, "root").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+#: A side of a join of more rows than this is not broadcast.
+BROADCAST_ROWS = 200_000
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """Written once; marked for broadcast if its counted rows are few."""
+    rows = cut(df)
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def set_prints(docs: DataFrame, id_col: str, text_col: str, row_hash: Column, width: int) -> DataFrame:
+    """``(doc_id, row, key, fp)`` of every row: hash of the row, key and fingerprint of its shingle set."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), row_hash.alias("row"), F.col(text_col).cast("string").alias("text"))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, fps = np.empty(b.num_rows, np.int64), np.empty(b.num_rows, np.uint64)
+            for i, t in enumerate(b.column(2)):
+                s = jaccard.shingle_set(t.as_py(), width)
+                keys[i], fps[i] = jaccard.key_of(s), majority(s[k : k + CHUNK] for k in range(0, len(s), CHUNK))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys), pa.array(fps.view(np.int64))], ["doc_id", "row", "key", "fp"])
+
+    return rows.mapInArrow(each, f"doc_id {dict(rows.dtypes)['doc_id']}, row long, key long, fp long")
+
+
+def probed(sets: DataFrame, radius: int = 2, bucket: int = 32) -> DataFrame:
+    """Candidates ``(a, b)`` among sets ``(key, fp)``: equal fingerprints, and those within ``radius`` bits."""
+    distinct = cut(sets.groupBy("fp").agg(F.min("key").alias("least")))
+    n, both = bit_counts(distinct)
+    equal = sets.join(distinct, "fp").select(F.col("least").alias("a"), F.col("key").alias("b")).where("a != b")
+    if n == 0:
+        return equal
+    ends = links(distinct, make_plan(both, n, radius), radius, bucket)
+    x, y = (distinct.select(F.col("fp").alias(c), F.col("least").alias(f"key_{c}")) for c in "ab")
+    return equal.union(ends.join(x, "a").join(y, "b").select(F.col("key_a").alias("a"), F.col("key_b").alias("b")))
+
+
+def one_of_each(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    width: int = 5,
+    threshold: Fraction = Fraction(4, 5),
+    radius: int = 2,
+    bucket: int = 32,
+) -> DataFrame:
+    """One row of every near-duplicate component, whole: the one of least id, then of least row hash.
+
+    Rows are told apart by a hash of all their columns, never by their id alone: different texts of one id are
+    documents of their own, and rows without an id join components like any other (an id goes before none).
+    Of rows that are equal in every column one stays.  Texts move only if more than ``BROADCAST_ROWS`` rows go.
+    """
+    mark = fresh(docs, "row_hash")
+    named = docs.withColumn(mark, content_hash(docs))
+    prints = cut(set_prints(named, id_col, text_col, F.col(mark), width))
+    copies = cut(prints.groupBy("doc_id", "row", "key", "fp").agg(F.count("*").alias("times")))
+    one = cut(copies.groupBy("key", "fp").agg(F.min_by(F.struct("doc_id", "row"), "row").alias("at")))
+
+    def sets(wanted: DataFrame) -> DataFrame:
+        spot = _small(one.join(wanted, "key").select(F.col("key").alias("set_key"), F.col("at.doc_id").alias("doc_id"), F.col("at.row").alias("row"))).alias("spot")
+        slim = named.select(F.col(f"`{id_col}`").alias("at_id"), F.col(mark).alias("at_row"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+        met = slim.join(spot, F.col("at_row").eqNullSafe(F.col("spot.row")) & F.col("at_id").eqNullSafe(F.col("spot.doc_id")))
+        rows = met.select(F.col("set_key").alias("key"), jaccard.packed(width)("text").alias("shingles"))
+        return cut(rows.groupBy("key").agg(F.first("shingles").alias("shingles")))
+
+    texts = docs.select(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    roots = components(jaccard.links(texts, sets, probed(one, radius, bucket), width, threshold)).withColumnRenamed("node", "key")
+    rows = cut(copies.join(roots, "key", "left").select("doc_id", "row", "times", F.coalesce("root", "key").alias("root")))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    best = rows.groupBy("root").agg(F.min(order).alias("best"))
+    judged = rows.join(best, "root").withColumn("stays", F.col("row").eqNullSafe(F.col("best.row")) & F.col("doc_id").eqNullSafe(F.col("best.doc_id")))
+    row, own, stays = (fresh(named, c) for c in ("judged_row", "judged_id", "judged_stays"))
+    judged = _small(judged.where("not stays or times > 1").select(F.col("row").alias(row), F.col("doc_id").alias(own), F.col("stays").alias(stays)))
+    same = F.col(mark).eqNullSafe(F.col(row)) & F.col(f"`{id_col}`").eqNullSafe(F.col(own))
+    kept = named.join(judged, same, "left_anti")
+    repeated = judged.where(stays)
+    if not repeated.isEmpty():
+        kept = kept.unionByName(named.join(repeated, same, "left_semi").dropDuplicates([mark, id_col]))
+    return kept.select(*docs.columns)

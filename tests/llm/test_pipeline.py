@@ -3,7 +3,7 @@
 import hashlib
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -13,8 +13,8 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from ripplefield.llm import mixing, secrets
 from tests.llm.fixtures import AWKWARD, SCHEMA, WORD, real_rows, write_tables
+from tests.llm.test_jaccard import components, edited_rows, shingles
 from tests.llm.test_quality_and_secrets import brute_quality, brute_spans
-from tests.llm.test_simhash import brute_fingerprint, groups, near
 
 
 def kept(row):
@@ -27,19 +27,13 @@ def kept(row):
 
 
 def dedup(rows):
-    fp = {}
-    for r in rows:
-        fp[r[0]] = brute_fingerprint(r[1])
-    comp = groups(set(fp.values()), near(sorted(set(fp.values()))))
-    least = defaultdict(lambda: 1 << 60)
-    for i, f in fp.items():
-        least[comp[f]] = min(least[comp[f]], i)
-    seen, out = set(), []
-    for r in rows:
-        if least[comp[fp[r[0]]]] == r[0] and r[0] not in seen:
-            seen.add(r[0])
-            out.append(r)
-    return out
+    """One row of each component of equal sets and 5-word Jaccard pairs of 0.8: the row of least id."""
+    best = {}
+    for r, c in zip(rows, components([shingles(r[1]) for r in rows])):
+        rank = lambda x: (x[0] is None, x[0])
+        if c not in best or rank(r) < rank(best[c]):
+            best[c] = r
+    return list(best.values())
 
 
 def redact(row):
@@ -108,7 +102,7 @@ def check_packed(got, rows):
 
 def test_awkward_rows_and_clashing_columns(spark, sf):
     docs = spark.createDataFrame(AWKWARD, SCHEMA).repartition(3)
-    for c in ("ledger", "spans", "postings", "topic", "tokens", "probability", "sampled", "kept_id", "fp"):
+    for c in ("ledger", "spans", "postings", "topic", "tokens", "probability", "sampled", "fp", "row_hash", "row", "key", "root", "text_", "at_id", "cell_source__"):
         docs = docs.withColumn(c, mixing.F.lit("own"))
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, sf)
@@ -116,6 +110,23 @@ def test_awkward_rows_and_clashing_columns(spark, sf):
         out.collect()
 
 
+def test_near_dedup_tells_rows_apart_by_content_not_by_id(spark, sf):
+    """Repeated ids with different texts, copies across ids and without ids, rows equal in every column."""
+    words = lambda k: " ".join(f"{k}w{i}" for i in range(60))
+    rows = [(1, words("a")), (1, words("b")), (1, words("c")), (2, words("b") + " end"), (5, words("a")), (None, words("d")), (None, words("d") + "\n"), (7, words("d")), (None, words("e")), (None, words("e") + " "), (8, words("f")), (8, words("f"))]
+    rows = [(i, t, "en", "web", len(t)) for i, t in rows]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    got = corpus_pipeline.near_dedup(spark, docs, sf).collect()
+    assert sorted((str(r.doc_id), r.text.split()[0]) for r in got) == [("1", "aw0"), ("1", "bw0"), ("1", "cw0"), ("7", "dw0"), ("8", "fw0"), ("None", "ew0")]
+
+
+def test_near_dedup_shuffled_and_broadcast_alike(spark, sf, monkeypatch):
+    docs = spark.createDataFrame([(i // 2, *r[1:]) for i, r in enumerate(edited_rows())], SCHEMA).repartition(4)
+    want = read(corpus_pipeline.near_dedup(spark, docs, sf))
+    monkeypatch.setattr("ripplefield.llm.simhash.BROADCAST_ROWS", 0)
+    assert read(corpus_pipeline.near_dedup(spark, docs.repartition(7), sf)) == want
+
+
 def test_empty_documents(spark, tmp_path):
     assert corpus_pipeline.run(spark, write_tables(spark, str(tmp_path), [])).collect() == []
 
