@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplefield.llm import jaccard, mixing, packing, quality_rules, secrets
-from ripplefield.llm.common import checkpoint_dir, cut, fresh
+from ripplefield.llm import mixing, packing, quality_rules, secrets, simhash
+from ripplefield.llm.common import checkpoint_dir, fresh
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,16 +20,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each near-duplicate component, once: texts whose sets of 5-word shingles have a
-    Jaccard similarity of 0.8 or more are linked.  No decision can name a document without an id, so these
-    stay, once a text."""
-    named = docs.where("doc_id is not null")
-    key, root, least = (fresh(docs, n) for n in ("set_key", "set_root", "kept_id"))
-    roots = jaccard.near_duplicates(named).select(F.col("node").alias(key), F.col("root").alias(root))
-    rows = cut(jaccard.keys(named.select("doc_id", "text"), name=key).groupBy(key).agg(F.min("doc_id").alias("doc_id")))
-    rows = rows.join(roots, key, "left").groupBy(F.coalesce(root, key).alias(root)).agg(F.min("doc_id").alias(least))
-    kept = named.join(rows.select(least).distinct(), F.col("doc_id") == F.col(least), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
+    """One row of each near-duplicate component: texts whose sets of 5-word shingles have a Jaccard similarity of
+    0.8 or more are linked; the row of least id stays.  Different texts of one id are documents of their own."""
+    return simhash.one_of_each(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
