@@ -5,13 +5,14 @@ operator of ``simhash`` that works by similarity verifies its candidates here an
 join on prefixes, the pairs that no fingerprint leads to.  With the shingles of every set in one common order,
 two sets of similarity t or more share a shingle among the first n - ceil(t n) + 1 of each, and the smaller
 one has its first shared shingle among n - ceil(2t / (1 + t) n) + 1 already.  Only these prefixes are shuffled,
-once.  Any common order gives the same result; shingles that many prefixes hold are put last, so that common
-passages seldom lead to candidates.
+once.  Any common order gives the same result; frequent shingles are put last, so that common passages seldom
+lead to candidates.  The frequency is that of one of ``CELLS`` cells that all shingles of all texts are counted
+into: a table of fixed size, summed in slices of it by tasks that stream their parts.
 
 Sets that share a prefix shingle form a bucket.  Every member is first verified against the bucket's leader (of
 the earliest place, so rather an original than its edited copies); after that only pairs across components are
-left, and these are formed and verified in full.  Pairs are dropped unverified only if their sizes or the
-positions of the shared shingle rule the threshold out.
+left, and these are formed and verified in full.  Pairs are dropped unverified only if their sizes, the position
+of the first or the number of the shared prefix shingles rule the threshold out.
 
 Defined cases: null and empty texts have the empty set and equal each other; texts with fewer words than a
 shingle have their whole word sequence as the one shingle; equal sets share a key and need no pair.
@@ -25,14 +26,15 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ripplefield.llm.common import cut, slices
 from ripplefield.llm.components import components
 
-#: Shingles put last in the order, at most; more would be right as well, but each worker holds them.
-MOST_COMMON = 1 << 18
+#: Cells of the table of frequencies, and cells of one slice of it.
+CELLS, SLICE = 1 << 22, 1 << 12
 
 
 def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
@@ -61,18 +63,50 @@ def _ceil(share: Fraction, n: int) -> int:
     return -(-share.numerator * n // share.denominator)
 
 
-def prefix(shingles: np.ndarray, threshold: Fraction, common: np.ndarray) -> np.ndarray:
-    """The first shingles of a set by (is common, hash), as many as a similar set has to share one of."""
+def prefix(shingles: np.ndarray, threshold: Fraction, classes: np.ndarray) -> np.ndarray:
+    """The first shingles of a set by (class of frequency, hash), as many as a similar set has to share one of."""
     size = len(shingles) - _ceil(threshold, len(shingles)) + 1 if len(shingles) else 0
-    if not len(common):
-        return shingles[:size]
-    at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
-    late = common[at] == shingles
-    return np.concatenate([shingles[~late][:size], shingles[late]])[:size]
+    return shingles[np.argsort(classes[cell_of(shingles, len(classes))], kind="stable")[:size]]
 
 
-def _prefixes(texts: DataFrame, width: int, threshold: Fraction, common: np.ndarray) -> DataFrame:
+def cell_of(shingles: np.ndarray, cells: int) -> np.ndarray:
+    """The cell that each shingle is counted in; ``cells`` is a power of two."""
+    return (shingles & np.uint64(cells - 1)).astype(np.int64)
+
+
+def frequency_classes(texts: DataFrame, width: int, cells: int = CELLS) -> np.ndarray:
+    """Bits of the number of shingles in each cell, over all texts; a table of fixed size, which reaches the driver."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(cells, np.uint32)
+        for b in batches:
+            for t in b.column(0):
+                held[cell_of(shingle_set(t.as_py(), width), cells)] += 1  # a cell twice in one set counts once
+        slices = held.reshape(-1, SLICE)
+        some = np.flatnonzero(slices.any(axis=1))
+        deflate = zstandard.ZstdCompressor(1).compress
+        blobs = [deflate(slices[k].view(np.uint8).reshape(-1, 4).T.tobytes()) for k in some]
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(blobs, pa.binary())], ["slice", "counts"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        inflate = zstandard.ZstdDecompressor().decompress
+        for b in batches:
+            for k, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                planes = np.frombuffer(inflate(blob.as_py()), np.uint8).reshape(4, SLICE)
+                sums[k] = sums.get(k, 0) + np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+        bits = [np.ceil(np.log2(c + 1)).astype(np.uint8).tobytes() for c in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(bits, pa.binary())], ["slice", "bits"])
+
+    out = np.zeros((cells // SLICE, SLICE), np.uint8)
+    for r in texts.mapInArrow(count, "slice int, counts binary").repartition("slice").mapInArrow(total, "slice int, bits binary").collect():
+        out[r.slice] = np.frombuffer(r.bits, np.uint8)
+    return out.ravel()
+
+
+def _prefixes(texts: DataFrame, width: int, threshold: Fraction, classes: np.ndarray) -> DataFrame:
     """``(token, key, place)`` of the prefix of every text, place holding size and position; equal sets of a batch once."""
+    shared = texts.sparkSession.sparkContext.broadcast(classes)  # a fixed size, whatever the corpus
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -85,7 +119,7 @@ def _prefixes(texts: DataFrame, width: int, threshold: Fraction, common: np.ndar
                     if key in done:
                         continue
                     done.add(key)
-                    p = prefix(s, threshold, common)
+                    p = prefix(s, threshold, shared.value)
                     for c, x in zip(cols, (p.view(np.int64), np.full(len(p), key), (len(s) << 32) + np.arange(len(p))), strict=True):
                         c.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["token", "key", "place"])
@@ -93,12 +127,41 @@ def _prefixes(texts: DataFrame, width: int, threshold: Fraction, common: np.ndar
     return texts.mapInArrow(each, "token long, key long, place long")
 
 
+def keys(docs: DataFrame, text_col: str = "text", width: int = 5, name: str = "key") -> DataFrame:
+    """``docs`` with the key of every row's shingle set."""
+
+    @F.pandas_udf("long")
+    def key(texts):
+        return texts.map(lambda t: key_of(shingle_set(t, width)))
+
+    return docs.withColumn(name, key(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+
+
 def _possible(x: Column, y: Column, t: Fraction) -> Column:
     """Whether sizes and positions of a first shared shingle allow the threshold."""
     p, q = t.numerator, t.denominator
-    sizes = (q * F.least(x["n"], y["n"])) >= p * F.greatest(x["n"], y["n"])
     most = F.least(x["n"] - x["pos"], y["n"] - y["pos"])
-    return sizes & ((p + q) * most >= p * (x["n"] + y["n"]))
+    return _sizes(x, y, t) & ((p + q) * most >= p * (x["n"] + y["n"]))
+
+
+def _sizes(x: Column, y: Column, t: Fraction) -> Column:
+    return (t.denominator * F.least(x["n"], y["n"])) >= t.numerator * F.greatest(x["n"], y["n"])
+
+
+def _candidates(met: DataFrame, x: Column, y: Column, t: Fraction) -> DataFrame:
+    """Pairs ``(a, b)`` of the rows' two members that their shared prefix shingles allow, once each.
+
+    Of two sets, the one whose prefix ends first shares no shingle outside of its suffix that isn't met here.
+    """
+    p, q = t.numerator, t.denominator
+    first = x["key"] < y["key"]
+    pick = lambda u, v, c: F.when(first, u[c]).otherwise(v[c])
+    rows = met.where(_sizes(x, y, t)).select(
+        pick(x, y, "key").alias("a"), pick(y, x, "key").alias("b"), (x["n"] + y["n"]).alias("both"), F.greatest(x["n"], y["n"]).alias("most"), _possible(x, y, t).alias("possible")
+    )
+    rows = rows.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("both").alias("both"), F.max("most").alias("most"), F.max("possible").alias("possible"))
+    suffix = F.ceil(F.lit(p) * F.col("most") / F.lit(q)).cast("long")  # one more than the suffix, to be safe against rounding
+    return rows.where(F.col("possible") & ((p + q) * (F.col("c") + suffix) >= p * F.col("both"))).select("a", "b")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
@@ -124,39 +187,25 @@ def ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
 
 
-def common_shingles(texts: DataFrame, width: int, threshold: Fraction, often: int) -> np.ndarray:
-    """The shingles that more than ``often`` prefixes hold, the most frequent ``MOST_COMMON`` of them, sorted."""
-    counted = _prefixes(texts, width, threshold, np.empty(0, np.uint64)).groupBy("token").agg(F.count("*").alias("c"))
-    top = counted.where(F.col("c") > often).orderBy(F.desc("c"), "token").limit(MOST_COMMON).select("token").toArrow()
-    return np.sort(top.column(0).to_numpy().view(np.uint64)) if top.num_rows else np.empty(0, np.uint64)
-
-
 def links(
     texts: DataFrame,
     sets: Callable[[DataFrame], DataFrame],
     guessed: DataFrame | None = None,
     width: int = 5,
     threshold: Fraction = Fraction(4, 5),
-    often: int = 32,
+    cells: int = CELLS,
 ) -> DataFrame:
     """Edges ``(a, b)`` between keys; they connect all sets whose similarity reaches the threshold.
 
     ``texts`` has the column ``text``; ``sets`` gives ``(key, shingles)`` of the keys in a frame; ``guessed`` are
-    candidates ``(a, b)`` found by other means.  Shingles in more than ``often`` prefixes go last in the order.
+    candidates ``(a, b)`` found by other means.
     """
-    common = common_shingles(texts, width, threshold, often)
-
-    # the smaller set of a pair has pos <= n - ceil(2t / (1 + t) n): a bucket without such a row has no pair
-    p, q = threshold.numerator, threshold.denominator
-    held = _prefixes(texts, width, threshold, common).repartition("token")  # the one exchange of prefixes
+    held = _prefixes(texts, width, threshold, frequency_classes(texts, width, cells)).repartition("token")  # the one exchange of prefixes
     rows = held.select("token", "key", F.shiftright("place", 32).alias("n"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).alias("pos"))
-    early = (p + q) * (F.col("n") - F.col("pos")) >= 2 * p * F.col("n")
     item = F.struct("key", "n", "pos")
-    stats = rows.groupBy("token").agg(F.min("key").alias("first"), F.max("key").alias("last"), F.max(early).alias("early"), F.min_by(item, F.struct("pos", "key")).alias("lead"))
-    stats = stats.where("first != last and early").select("token", "lead")
-    met = cut(rows.join(stats, "token").distinct())
-    stars = met.where((F.col("key") != F.col("lead.key")) & _possible(item, F.col("lead"), threshold))
-    stars = stars.select(F.least("lead.key", "key").alias("a"), F.greatest("lead.key", "key").alias("b"))
+    stats = rows.groupBy("token").agg(F.min("key").alias("first"), F.max("key").alias("last"), F.min_by(item, F.struct("pos", "key")).alias("lead"))
+    met = cut(rows.join(stats.where("first != last").select("token", "lead"), "token").distinct())
+    stars = _candidates(met.where("key != lead.key").select(item.alias("x"), F.col("lead").alias("y")), F.col("x"), F.col("y"), threshold)
     if guessed is not None:
         stars = stars.union(guessed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b"))
     stars = cut(stars.distinct())
@@ -167,13 +216,12 @@ def links(
     several = parts.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("token")
     parts = cut(parts.join(several, "token"))
     x, y = (parts.select("token", F.col("root").alias(f"root_{c}"), F.col("x").alias(c)) for c in "xy")
-    across = x.join(y, "token").where((F.col("root_x") < F.col("root_y")) & _possible(F.col("x"), F.col("y"), threshold))
-    across = across.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
+    across = _candidates(x.join(y, "token").where("root_x < root_y"), F.col("x"), F.col("y"), threshold)
     across = cut(across.join(stars, ["a", "b"], "left_anti"))
     return found.union(verified(across, sets(ends(across)), threshold))
 
 
-def near_duplicates(docs: DataFrame, text_col: str = "text", width: int = 5, threshold: Fraction = Fraction(4, 5), often: int = 32) -> DataFrame:
+def near_duplicates(docs: DataFrame, text_col: str = "text", width: int = 5, threshold: Fraction = Fraction(4, 5), cells: int = CELLS) -> DataFrame:
     """``(node, root)`` of every key that is linked to another; keys are those of ``keys``."""
     texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
@@ -181,7 +229,7 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", width: int = 5, thr
         rows = keys(texts, "text", width).join(wanted, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
         return cut(rows.select("key", packed(width)("text").alias("shingles")))
 
-    return components(links(texts, sets, None, width, threshold, often))
+    return components(links(texts, sets, None, width, threshold, cells))
 
 
 def packed(width: int):

@@ -58,11 +58,11 @@ def edited_rows():
     return [(i, " ".join(t), "en", "web", len(" ".join(t))) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("often", [2, 1000])
-def test_components_are_those_of_all_jaccard_pairs(spark, often):
+@pytest.mark.parametrize("cells", [1 << 12, 1 << 22])
+def test_components_are_those_of_all_jaccard_pairs(spark, cells):
     rows = edited_rows()
     docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    root = {r.node: r.root for r in jaccard.near_duplicates(docs, often=often).collect()}
+    root = {r.node: r.root for r in jaccard.near_duplicates(docs, cells=cells).collect()}
     mine = [jaccard.key_of(jaccard.shingle_set(t)) for _, t, *_ in rows]
     got, want = {}, {}
     for (i, *_), k, c in zip(rows, mine, components([shingles(r[1]) for r in rows])):
