@@ -11,8 +11,8 @@ into: a table of fixed size, summed in slices of it by tasks that stream their p
 
 Sets that share a prefix shingle form a bucket.  Every member is first verified against the bucket's leader (of
 the earliest place, so rather an original than its edited copies); after that only pairs across components are
-left, and these are formed and verified in full.  Pairs are dropped unverified only if their sizes, the position
-of the first or the number of the shared prefix shingles rule the threshold out.
+left, and these are formed and verified in full.  Pairs are dropped unverified only if their sizes or the
+positions of the shared shingle rule the threshold out.
 
 Defined cases: null and empty texts have the empty set and equal each other; texts with fewer words than a
 shingle have their whole word sequence as the one shingle; equal sets share a key and need no pair.
@@ -149,10 +149,7 @@ def _sizes(x: Column, y: Column, t: Fraction) -> Column:
 
 
 def _candidates(met: DataFrame, x: Column, y: Column, t: Fraction) -> DataFrame:
-    """Pairs ``(a, b)`` of the rows' two members that their shared prefix shingles allow, once each.
-
-    Of two sets, the one whose prefix ends first shares no shingle outside of its suffix that isn't met here.
-    """
+    """Pairs ``(a, b)`` of the rows' two members that share enough prefix shingles here, once each."""
     p, q = t.numerator, t.denominator
     first = x["key"] < y["key"]
     pick = lambda u, v, c: F.when(first, u[c]).otherwise(v[c])
@@ -201,6 +198,7 @@ def links(
     candidates ``(a, b)`` found by other means.
     """
     held = _prefixes(texts, width, threshold, frequency_classes(texts, width, cells)).repartition("token")  # the one exchange of prefixes
+    p, q = threshold.numerator, threshold.denominator
     rows = held.select("token", "key", F.shiftright("place", 32).alias("n"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).alias("pos"))
     item = F.struct("key", "n", "pos")
     stats = rows.groupBy("token").agg(F.min("key").alias("first"), F.max("key").alias("last"), F.min_by(item, F.struct("pos", "key")).alias("lead"))
@@ -215,8 +213,11 @@ def links(
     parts = met.join(roots, "key", "left").select("token", F.coalesce("root", "key").alias("root"), item.alias("x"))
     several = parts.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("token")
     parts = cut(parts.join(several, "token"))
-    x, y = (parts.select("token", F.col("root").alias(f"root_{c}"), F.col("x").alias(c)) for c in "xy")
-    across = _candidates(x.join(y, "token").where("root_x < root_y"), F.col("x"), F.col("y"), threshold)
+    # the smaller set of a pair has its first shared shingle at pos <= n - 2t / (1 + t) n
+    early = (p + q) * (F.col("x.n") - F.col("x.pos")) >= 2 * p * F.col("x.n")
+    x, y = (parts.where(c).select("token", F.col("root").alias(f"root_{n}"), F.col("x").alias(n)) for n, c in (("x", early), ("y", F.lit(True))))
+    fits = (x["token"] == y["token"]) & (F.col("root_x") != F.col("root_y")) & (F.col("x.n") <= F.col("y.n")) & _possible(F.col("x"), F.col("y"), threshold)
+    across = x.join(y, fits).select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
     across = cut(across.join(stars, ["a", "b"], "left_anti"))
     return found.union(verified(across, sets(ends(across)), threshold))
 
