@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ripplefield.functions import draws
 from ripplefield.operators.kernels import map_channel
 
 
@@ -193,15 +194,16 @@ def add_noise(df: DataFrame, snr_db: float, color: str = "white", seed: int = 0,
     """Noise at a signal-to-noise ratio: Gaussian of that RMS; ``compat`` is uniform with that amplitude."""
     if not -60 <= snr_db <= 60:
         raise ValueError("the ratio lies in [-60, 60] dB")
+    keys = (seed, F.col("clip_id"), F.col("ch"), F.col("idx"))
     level = F.sqrt(F.avg(F.col("v") * F.col("v")).over(CLIP())) * 10 ** (-snr_db / 20)
     if color == "white":
-        return df.withColumn("v", F.col("v") + level * ((2 * F.rand(seed) - 1) if compat else F.randn(seed)))
+        return df.withColumn("v", F.col("v") + level * ((2 * draws.uniform(*keys) - 1) if compat else draws.gaussian(*keys)))
     if color not in ("pink", "brown"):
         raise ValueError("color must be white, pink or brown")
     poles = {"pink": 0.95, "brown": 0.999}[color]
     from ripplefield.operators.recurrence import one_pole
 
-    noise = map_channel(df.withColumn("v", F.randn(seed)), lambda x: one_pole(x, poles) * math.sqrt(1 - poles**2))
+    noise = map_channel(df.withColumn("v", draws.gaussian(*keys)), lambda x: one_pole(x, poles) * math.sqrt(1 - poles**2))
     both = df.withColumn("l__", level).join(noise.withColumnRenamed("v", "w__"), ["clip_id", "ch", "idx"])
     return both.select("clip_id", "ch", "idx", (F.col("v") + F.col("l__") * F.col("w__")).alias("v"))
 
@@ -210,7 +212,7 @@ def random_gain(df: DataFrame, low_db: float, high_db: float, seed: int = 0) ->
     """One gain per clip, drawn by its id and the seed."""
     if not -40 <= low_db <= high_db <= 20:
         raise ValueError("gains lie in [-40, 20] dB")
-    u = F.pmod(F.xxhash64("clip_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    u = draws.uniform(seed, F.col("clip_id"))
     return df.withColumn("v", F.col("v") * F.pow(F.lit(10.0), (low_db + u * (high_db - low_db)) / 20))
 
 

@@ -70,8 +70,9 @@ def normalize_strength(df: DataFrame, method: str = "peak") -> DataFrame:
     elif method == "mean":
         out = x - F.avg(x).over(SERIES())
     elif method == "median":
-        whole = F.sort_array(F.collect_list("x").over(SERIES()))
-        return df.withColumn("x__", whole).withColumn("x", x - F.get("x__", F.floor(F.size("x__") / 2).cast("int"))).drop("x__")
+        ranked = df.select("clip_id", "x", F.row_number().over(SERIES().orderBy("x")).alias("k__"), F.count("*").over(SERIES()).alias("n__"))
+        middle = ranked.where(F.col("k__") == F.floor(F.col("n__") / 2) + 1).select("clip_id", F.col("x").alias("x__"))
+        return df.join(middle, "clip_id").withColumn("x", x - F.col("x__")).drop("x__")
     else:
         raise ValueError("unknown method")
     return df.withColumn("x", out)
@@ -105,18 +106,28 @@ def local_maxima(df: DataFrame) -> Column:
     return (F.col("x") > F.lag("x").over(ORDER())) & (F.col("x") > F.lead("x").over(ORDER()))
 
 
-def keep_apart(df: DataFrame, separation: int) -> DataFrame:
-    """Strongest first, keep candidates at least ``separation`` frames from all kept; few candidates per clip."""
+def keep_apart(df: DataFrame, separation: int | Column) -> DataFrame:
+    """Strongest first, keep candidates at least ``separation`` frames from all kept.
+
+    Candidates are parted into runs at gaps of ``separation`` or more, which can't touch each other; a run's choice is
+    linear in it but for the sorting.
+    """
+    apart = F.lit(separation) if isinstance(separation, int) else separation
+    rows = df.select("clip_id", "frame", "x", apart.cast("long").alias("s__"))
+    far = F.coalesce(F.col("frame") - F.lag("frame").over(ORDER()) >= F.col("s__"), F.lit(True))
+    runs = rows.withColumn("far__", far.cast("long")).withColumn("run__", F.sum("far__").over(ORDER())).drop("far__")
 
     def each(pdf: pd.DataFrame) -> pd.DataFrame:
-        order = np.lexsort((pdf["frame"].to_numpy(), -pdf["x"].to_numpy()))
-        at, kept = pdf["frame"].to_numpy(), []
-        for i in order:
-            if all(abs(at[i] - at[k]) >= separation for k in kept):
+        pdf = pdf.sort_values("frame", kind="stable")
+        at, apart = pdf["frame"].to_numpy(), int(pdf["s__"].iloc[0])
+        free, kept = np.ones(len(at), bool), []
+        for i in np.lexsort((at, -pdf["x"].to_numpy())):
+            if free[i]:
                 kept.append(i)
+                free[np.searchsorted(at, at[i] - apart, "right") : np.searchsorted(at, at[i] + apart, "left")] = False
         return pdf.iloc[sorted(kept)][["clip_id", "frame", "x"]]
 
-    return df.select("clip_id", "frame", "x").groupBy("clip_id").applyInPandas(each, "clip_id long, frame long, x double")
+    return runs.groupBy("clip_id", "run__").applyInPandas(each, "clip_id long, frame long, x double")
 
 
 @dataclass(frozen=True)
@@ -148,12 +159,4 @@ def pick_peaks(df: DataFrame, c: PeakConfig = PeakConfig()) -> DataFrame:
     apart = F.when(F.lit(c.separation) >= n / 2, F.floor(n / 4)).otherwise(F.lit(c.separation))
     found = df.withColumns({"up__": local_maxima(df), "s__": apart}).where((F.col("up__")) & (F.col("x") > F.col("threshold")))
 
-    def each(pdf: pd.DataFrame) -> pd.DataFrame:
-        order = np.lexsort((pdf["frame"].to_numpy(), -pdf["x"].to_numpy()))
-        at, kept, apart = pdf["frame"].to_numpy(), [], int(pdf["s__"].iloc[0])
-        for i in order:
-            if all(abs(at[i] - at[k]) >= apart for k in kept):
-                kept.append(i)
-        return pdf.iloc[sorted(kept)][["clip_id", "frame", "x"]]
-
-    return found.select("clip_id", "frame", "x", "s__").groupBy("clip_id").applyInPandas(each, "clip_id long, frame long, x double")
+    return keep_apart(found, F.col("s__"))

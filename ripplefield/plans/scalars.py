@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ripplefield.functions import formats, scales
+from ripplefield.functions import draws, formats, scales
 from ripplefield.plans.sqlforms import EMB, EV, Registry, r6, rounded
 from ripplefield.sources import generate
 from ripplefield.sources.tables import embedding_clips, event_clips, table
@@ -191,6 +191,30 @@ for _name, _make, _bound in (
 ):
     R.add(f"gen_{_name}", _noise(_make, _bound), "SELECT CAST(4000 AS BIGINT) AS n, true AS within, true AS moves")
 
+U = draws.uniform_sql("7, i")
+WHITE = f"(2 * {U} - 1)"
+SAMPLE = "0::BIGINT AS clip_id, 0 AS ch, i AS idx"
+R.add("gen_white_noise_samples", lambda s, d: rounded(generate.white_noise(s, 0.5, 8000, 0.5, 7), "v"), f"SELECT {SAMPLE}, round(0.5 * {WHITE}, 6) + 0.0 AS v FROM range(4000) r(i)")
+R.add(
+    "gen_exponential_bursts_samples",
+    lambda s, d: rounded(generate.exponential_bursts(s, 10, 3, 0.5, 8000, 0.5, 7), "v"),
+    f"WITH t AS (SELECT i, i / 8000.0::DOUBLE AS t, 10 * (i / 8000.0::DOUBLE) - floor(10 * (i / 8000.0::DOUBLE)) AS p FROM range(4000) r(i)) SELECT {SAMPLE}, round(CASE WHEN p < 0.1 THEN 0.5 * exp(-3 * p / 10) * (0.7 * {WHITE} + 0.3 * sin({TAU} * 200 * t)) ELSE 0 END, 6) + 0.0 AS v FROM t",
+)
+_POLES = list(zip(generate.PINK_POLES, generate.PINK_GAINS, strict=True))
+R.add(
+    "gen_pink_noise_samples",
+    lambda s, d: rounded(generate.pink_noise(s, 0.05, 8000, 0.5, 7), "v"),
+    f"WITH RECURSIVE x AS (SELECT CAST(i AS BIGINT) AS i, {WHITE} AS x FROM range(400) r(i)), p AS (SELECT i, x, 0.0::DOUBLE AS last, {', '.join(f'{g} * x AS b{k}' for k, (_, g) in enumerate(_POLES))} FROM x WHERE i = 0"
+    f" UNION ALL SELECT x.i, x.x, p.x, {', '.join(f'{a} * b{k} + {g} * x.x' for k, (a, g) in enumerate(_POLES))} FROM p JOIN x ON x.i = p.i + 1)"
+    f" SELECT {SAMPLE}, round(0.5 * {generate.PINK_SCALE} * ({generate.PINK_DIRECT} * x + {' + '.join(f'b{k}' for k in range(len(_POLES)))} + {generate.PINK_LAST} * last), 6) + 0.0 AS v FROM p",
+)
+R.add(
+    "gen_brown_noise_samples",
+    lambda s, d: rounded(generate.brown_noise(s, 0.05, 8000, 0.3, 0.5, 7), "v"),
+    f"WITH RECURSIVE x AS (SELECT CAST(i AS BIGINT) AS i, {WHITE} AS x FROM range(400) r(i)), p AS (SELECT i, greatest(-1.0::DOUBLE, least(1.0::DOUBLE, 0.3 * x)) AS y FROM x WHERE i = 0"
+    f" UNION ALL SELECT x.i, greatest(-1.0::DOUBLE, least(1.0::DOUBLE, y + 0.3 * x.x)) FROM p JOIN x ON x.i = p.i + 1) SELECT {SAMPLE}, round(0.5 * y, 6) + 0.0 AS v FROM p",
+)
+
 R.add(
     "gen_builder",
     lambda s, d: rounded(generate.SampleBuilder(s, 8000).add(generate.sine_wave, 440, duration=0.01).add(generate.silence, duration=0.01).build(), "v"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ripplefield.functions import draws
 from ripplefield.operators import channels, container, editing, elementwise, stats
 from ripplefield.plans.sqlforms import EMB, EV, ST, Registry, r6, rounded
 from ripplefield.sources.tables import embedding_clips, event_clips, order_clips, stereo_embeddings, table
@@ -154,9 +155,9 @@ add("edit_trim_all_silence", "emb", lambda x: editing.trim_all_silence(x, -20, 0
 R.add("edit_perturb_noise", lambda s, d: editing.perturb(embedding_clips(s, d), "noise", snr_db=20.0, seed=3).agg(F.count("*").alias("n")), f"WITH {EMB} SELECT count(*) AS n FROM emb")
 R.add("edit_perturb_gain", lambda s, d: editing.perturb(embedding_clips(s, d), "gain", low_db=-6.0, high_db=6.0).agg(F.count("*").alias("n")), f"WITH {EMB} SELECT count(*) AS n FROM emb")
 R.add("edit_perturb_pitch", lambda s, d: editing.perturb(embedding_clips(s, d), "pitch_shift", semitones=2.0, n_fft=32, hop=8).agg(F.count("*").alias("n")), f"WITH {EMB} SELECT count(*) AS n FROM emb")
-# The samples themselves: no column of theirs can be pruned, and SQL cannot draw them.
-add("edit_perturb_noise_samples", "emb", lambda x: editing.perturb(x, "noise", snr_db=20.0, seed=3), None)
-add("edit_perturb_gain_samples", "emb", lambda x: editing.perturb(x, "gain", low_db=-6.0, high_db=6.0), None)
+# The samples themselves: no column of theirs can be pruned.
+same("edit_perturb_noise_samples", "emb", lambda x: editing.perturb(x, "noise", snr_db=20.0, seed=3), f"v + sqrt(avg(v * v) OVER (PARTITION BY clip_id)) * 0.1 * {draws.gaussian_sql('3, clip_id, ch, idx')}")
+same("edit_perturb_gain_samples", "emb", lambda x: editing.perturb(x, "gain", low_db=-6.0, high_db=6.0), f"v * 10 ** ((-6 + 12 * {draws.uniform_sql('0, clip_id')}) / 20)")
 add("edit_perturb_pitch_samples", "emb", lambda x: editing.perturb(x, "pitch_shift", semitones=2.0, n_fft=32, hop=8), None)
 R.add("region_semi_join", lambda s, d: table(s, d, "events").join(table(s, d, "customer"), F.col("user_id") == F.col("c_custkey"), "left_semi").groupBy("event_type").agg(F.count("*").alias("n")), "SELECT event_type, count(*) AS n FROM events WHERE EXISTS (SELECT 1 FROM customer WHERE c_custkey = user_id) GROUP BY event_type")
 

@@ -140,6 +140,12 @@ for _m, _e in (("energy", f"greatest({M} - {PM}, 0)"), ("magnitude", f"abs({M} -
     add(f"onset_flux_{_m}", lambda s, d, m=_m: onsets.flux(stft(s, d), m), f"{LAGGED} SELECT clip_id, frame, round(sum(coalesce({_e}, 0)), 6) + 0.0 AS x FROM l GROUP BY ALL", "x")
 add("onset_magnitude_difference", lambda s, d: onsets.magnitude_difference(stft(s, d)).select("clip_id", "frame", "bin", "d"), f"{LAGGED} SELECT clip_id, frame, CAST(bin AS INTEGER) AS bin, round(coalesce({M} - {PM}, 0), 6) + 0.0 AS d FROM l", "d")
 add("onset_phase_deviation", lambda s, d: onsets.phase_deviation(stft(s, d).where("bin between 1 and 7"), 8, 64.0).groupBy("clip_id", "frame").agg((F.max("p") <= 3.1416).alias("within"), F.count("*").alias("n")), f"{STFT} SELECT clip_id, frame, true AS within, count(*) AS n FROM fs WHERE bin BETWEEN 1 AND 7 GROUP BY ALL")
+STEP = "(atan2(im, re) - atan2(pim, pre) - pi() * bin + pi())"  # a bin's frequency times hop over rate is bin / 2
+add(
+    "onset_phase_deviation_bins",  # of bins whose phase is not a sign alone
+    lambda s, d: onsets.phase_deviation(stft(s, d), 8, 64.0).where("bin between 1 and 7").select("clip_id", "frame", "bin", F.round("p", 4).alias("p")),
+    f"{LAGGED} SELECT clip_id, frame, CAST(bin AS INTEGER) AS bin, round(coalesce(abs({STEP} - 2 * pi() * floor({STEP} / (2 * pi())) - pi()), 0), 4) + 0.0 AS p FROM l WHERE bin BETWEEN 1 AND 7",
+)
 add("onset_adaptive_zero", lambda s, d: onsets.adaptive_zero(onsets.flux(stft(s, d)), 3, 1.1), None, "x")
 OC = onsets.OnsetConfig(8, 3, 1.1, 4.0, 18, onsets.peaks.PeakConfig(2, None, None, threshold=onsets.peaks.Threshold("delta", 0.5, window=4)))
 add("onset_detection_function", lambda s, d: onsets.onset_detection_function(embedding_clips(s, d), 64.0, OC), None, "x")

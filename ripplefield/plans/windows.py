@@ -17,7 +17,7 @@ def ev(s, d):
 
 SIZED = "n AS (SELECT *, max(idx) OVER (PARTITION BY clip_id) + 1 AS n FROM {f})"
 #: Frames of 16 with a hop of 8 that start inside the clip, as a range join.
-FRAMES = "fr AS (SELECT clip_id, ch, f.f AS frame, idx - f.f * 8 AS pos, v, n FROM n JOIN range(0, 20) f(f) ON idx BETWEEN f.f * 8 AND f.f * 8 + 15 AND f.f * 8 < n)"
+FRAMES = "fr AS (SELECT clip_id, ch, f.f AS frame, idx - f.f * 8 AS pos, v, n FROM n JOIN (SELECT unnest(range(CAST((SELECT (max(n) + 7) // 8 FROM n) AS BIGINT))) AS f) f ON idx BETWEEN f.f * 8 AND f.f * 8 + 15 AND f.f * 8 < n)"
 EVF = f"WITH {EV}, {SIZED.format(f='ev')}, {FRAMES}"
 EMF = f"WITH {EMB}, {SIZED.format(f='emb')}, {FRAMES}"
 

@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ripplefield.functions import draws
+
 TAU = 2 * math.pi
 
 
@@ -113,7 +115,7 @@ def exponential_bursts(spark, burst_rate, decay_rate, duration, rate, amplitude=
     """Decaying bursts of noise and a 200 Hz tone; the seed makes them repeatable."""
     t = _t(rate)
     phase = F.pmod(burst_rate * t, F.lit(1.0))
-    body = 0.7 * (2 * F.rand(seed) - 1) + 0.3 * F.sin(TAU * 200 * t)
+    body = 0.7 * (2 * draws.uniform(seed, F.col("idx")) - 1) + 0.3 * F.sin(TAU * 200 * t)
     return from_expression(spark, length(duration, rate), F.when(phase < 0.1, amplitude * F.exp(-decay_rate * phase / burst_rate) * body).otherwise(F.lit(0.0)))
 
 
@@ -122,7 +124,7 @@ def silence(spark, duration, rate):
 
 
 def white_noise(spark, duration, rate, amplitude=1.0, seed=0):
-    return from_expression(spark, length(duration, rate), amplitude * (2 * F.rand(seed) - 1))
+    return from_expression(spark, length(duration, rate), amplitude * (2 * draws.uniform(seed, F.col("idx")) - 1))
 
 
 # Poles and gains of the usual seven-term pink-noise filter, and its output gain.
