@@ -160,9 +160,11 @@ def lpc_analysis(x: np.ndarray, order: int) -> np.ndarray:
 
 def lpc_residual(x: np.ndarray, a: np.ndarray, history: np.ndarray | None = None) -> np.ndarray:
     """Prediction error; ``history`` holds the samples before the frame, oldest first."""
-    past = np.zeros(len(a)) if history is None else np.r_[np.zeros(len(a)), history][-len(a) :] if len(a) else np.empty(0)
-    both = np.r_[past, x]
-    return np.array([v - a @ both[i : i + len(a)][::-1] for i, v in enumerate(x)]) if len(a) else np.array(x, float)
+    p = len(a)
+    if not p or not len(x):
+        return np.array(x, float)
+    both = np.r_[np.zeros(p), np.empty(0) if history is None else history][-p:]
+    return x - np.convolve(np.r_[both, x], a)[p - 1 : p - 1 + len(x)]
 
 
 def lpc_synthesis(e: np.ndarray, a: np.ndarray, history: np.ndarray | None = None) -> np.ndarray:
@@ -177,14 +179,17 @@ def lpc_synthesis(e: np.ndarray, a: np.ndarray, history: np.ndarray | None = Non
 def estimate_pitch(x: np.ndarray, sample_rate: int, least: float = 0.3) -> tuple[int, float] | None:
     """Lag and normalised correlation of the strongest period within 50..500 Hz; None below ``least``."""
     low, high = max(1, sample_rate // 500), min(len(x) - 1, sample_rate // 50)
-    best = None
-    for lag in range(low, high + 1):
-        a, b = x[lag:], x[:-lag]
-        norm = np.sqrt((a @ a) * (b @ b))
-        r = (a @ b) / norm if norm > 0 else 0.0
-        if best is None or r > best[1]:
-            best = (lag, float(r))
-    return best if best and best[1] >= least else None
+    if high < low:
+        return None
+    size = 1 << (2 * len(x) - 1).bit_length()
+    spectrum = np.fft.rfft(x, size)
+    r = np.fft.irfft(spectrum * spectrum.conj(), size)[low : high + 1]
+    total = np.cumsum(np.r_[0.0, x * x])
+    lags = np.arange(low, high + 1)
+    norm = np.sqrt((total[-1] - total[lags]) * total[len(x) - lags])
+    r = np.where(norm > 1e-12 * total[-1], r / np.where(norm > 0, norm, 1), 0.0)
+    k = int(np.argmax(r))
+    return (low + k, float(r[k])) if r[k] >= least else None
 
 
 def ltp_residual(x: np.ndarray, lag: int, gain: float) -> np.ndarray:
@@ -195,8 +200,9 @@ def ltp_residual(x: np.ndarray, lag: int, gain: float) -> np.ndarray:
 def ltp_synthesis(e: np.ndarray, lag: int, gain: float) -> np.ndarray:
     """Inverse of ``ltp_residual``."""
     y = np.array(e, float)
-    for i in range(lag, len(y)):
-        y[i] += gain * y[i - lag]
+    for at in range(lag, len(y), lag):  # a whole lag at a time
+        part = y[at : at + lag]
+        part += gain * y[at - lag : at - lag + len(part)]
     return y
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ripplefield.operators.kernels import map_channel
+from ripplefield.operators.recurrence import varying_one_pole
 
 DETECTORS = ("peak", "rms", "hybrid")
 #: Window of the RMS detector.
@@ -42,12 +43,9 @@ def follow(x: np.ndarray, sample_rate: float, attack_ms: float, release_ms: floa
     up, down = (math.exp(-1 / (t / 1000 * sample_rate)) for t in (attack_ms, release_ms))
     last, e = (state[0], state[1]) if state else (0.0, 0.0)
     coefficient = np.where(d > np.r_[last, d[:-1]], up, down) if len(d) else d
-    out = np.empty(len(d))
-    for i, (c, v) in enumerate(zip(coefficient.tolist(), d.tolist(), strict=True)):
-        e = c * e + (1 - c) * v
-        out[i] = e
+    out = varying_one_pole(coefficient, (1 - coefficient) * d, e)
     if state is not None:
-        state[:] = [float(d[-1]) if len(d) else last, e]
+        state[:] = [float(d[-1]), float(out[-1])] if len(d) else [last, e]
     return out
 
 

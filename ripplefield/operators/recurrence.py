@@ -63,3 +63,26 @@ def cascade(x: np.ndarray, sections: np.ndarray, states: np.ndarray | None = Non
 def one_pole(x: np.ndarray, pole: float) -> np.ndarray:
     """y[n] = x[n] + pole * y[n-1]."""
     return biquad(x, (1.0, 0.0, 0.0), (1.0, -pole, 0.0))[0]
+
+
+def varying_one_pole(c: np.ndarray, b: np.ndarray, start: float = 0.0) -> np.ndarray:
+    """``y[i] = c[i] y[i-1] + b[i]`` for coefficients that vary by sample.
+
+    Blocks of about the root of the length run side by side from rest, next to the products of their
+    coefficients; then only the block ends are carried in order.
+    """
+    n = len(b)
+    width = max(1, int(np.sqrt(n)))
+    rows = -(-n // width) if n else 0
+    cc, bb = np.ones(rows * width), np.zeros(rows * width)
+    cc[:n], bb[:n] = c, b
+    cc, bb = cc.reshape(rows, width), bb.reshape(rows, width)
+    rest, gain = np.empty_like(bb), np.empty_like(cc)
+    y, p = np.zeros(rows), np.ones(rows)
+    for k in range(width if rows else 0):
+        y, p = cc[:, k] * y + bb[:, k], p * cc[:, k]
+        rest[:, k], gain[:, k] = y, p
+    ends = np.empty(rows)
+    for r in range(rows):
+        ends[r], start = start, gain[r, -1] * start + rest[r, -1]
+    return (rest + gain * ends[:, None]).ravel()[:n]
