@@ -22,6 +22,11 @@ RMS_MS = 10.0
 FLOOR = 1e-10
 
 
+def rms_samples(sample_rate: float) -> int:
+    """Length of the RMS detector's window."""
+    return max(1, int(RMS_MS / 1000 * sample_rate))
+
+
 def detector(x: np.ndarray, sample_rate: float, method: str) -> np.ndarray:
     """Absolute value, RMS of the trailing 10 ms (fewer at the start), or the greater of both."""
     if method not in DETECTORS:
@@ -29,7 +34,7 @@ def detector(x: np.ndarray, sample_rate: float, method: str) -> np.ndarray:
     peak = np.abs(x)
     if method == "peak":
         return peak
-    size = max(1, int(RMS_MS / 1000 * sample_rate))
+    size = rms_samples(sample_rate)
     total = np.cumsum(np.r_[0.0, x * x])
     i = np.arange(1, len(x) + 1)
     low = np.maximum(i - size, 0)
@@ -38,8 +43,12 @@ def detector(x: np.ndarray, sample_rate: float, method: str) -> np.ndarray:
 
 
 def follow(x: np.ndarray, sample_rate: float, attack_ms: float, release_ms: float, method: str = "peak", state: list | None = None) -> np.ndarray:
-    """Envelope: attack while the detector rises against its last value, release otherwise."""
-    d = detector(x, sample_rate, method)
+    """Envelope of the samples; see ``follow_detector``."""
+    return follow_detector(detector(x, sample_rate, method), sample_rate, attack_ms, release_ms, state)
+
+
+def follow_detector(d: np.ndarray, sample_rate: float, attack_ms: float, release_ms: float, state: list | None = None) -> np.ndarray:
+    """Attack while the detector rises against its last value, release otherwise; ``state`` is its last value and the envelope's."""
     up, down = (math.exp(-1 / (t / 1000 * sample_rate)) for t in (attack_ms, release_ms))
     last, e = (state[0], state[1]) if state else (0.0, 0.0)
     coefficient = np.where(d > np.r_[last, d[:-1]], up, down) if len(d) else d

@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ripplefield.operators import codec, container, detect, editing, kernels, spectral
-from ripplefield.plans.spectra import LONG_CLIP, SP, _section_sql, spec
+from ripplefield.plans.spectra import FOLLOW, LONG_CLIP, SP, _section_sql, spec
 from ripplefield.plans.sqlforms import EMB, ST, Registry, rounded
 from ripplefield.sources.tables import embedding_clips, stereo_embeddings
 from ripplefield.streaming import stateful
@@ -72,5 +72,7 @@ def _streamed(spark, sf_dir, operator):
 add("stream_recursive_filter", lambda s, d: _streamed(s, d, lambda x: stateful.stream_sections(x, LONG_CLIP)), _section_sql(LONG_CLIP), "v")
 add("stream_delay", lambda s, d: _streamed(s, d, lambda x: stateful.stream_delay(x, 3)), f"WITH {EMB} SELECT clip_id, ch, idx, round(coalesce(lag(v, 3) OVER (PARTITION BY clip_id ORDER BY idx), 0), 6) + 0.0 AS v FROM emb", "v")
 add("stream_prediction_residual", lambda s, d: _streamed(s, d, lambda x: stateful.stream_prediction_residual(x, TAPS)), R.ORACLES["lpc_residual"], "v")
+add("stream_prediction_synthesis", lambda s, d: _streamed(s, d, lambda x: stateful.stream_prediction_synthesis(x, TAPS)), _section_sql(np.array([[1.0, 0.0, 0.0, 1.0, -TAPS[0], -TAPS[1]]])), "v")
+add("stream_envelope", lambda s, d: _streamed(s, d, lambda x: stateful.stream_envelope(x, 64.0, 20, 100)), f"{FOLLOW} SELECT clip_id, 0 AS ch, idx, round(e, 6) + 0.0 AS v FROM lv", "v")
 
 QUERIES, ORACLES = R.QUERIES, R.ORACLES

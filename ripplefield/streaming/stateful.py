@@ -47,13 +47,17 @@ def stream_sections(stream: DataFrame, sections: np.ndarray) -> DataFrame:
     return stateful(stream, step, [0.0] * (2 * n))
 
 
-def stream_envelope(stream: DataFrame, sample_rate: float, attack_ms: float, release_ms: float) -> DataFrame:
-    """Peak follower over a stream."""
-    from ripplefield.operators.dynamics import follow
+def stream_envelope(stream: DataFrame, sample_rate: float, attack_ms: float, release_ms: float, method: str = "peak") -> DataFrame:
+    """Peak, RMS or hybrid follower over a stream; the detector's trailing samples are state too."""
+    from ripplefield.operators.dynamics import detector, follow_detector, rms_samples
+
+    behind = 0 if method == "peak" else rms_samples(sample_rate) - 1
 
     def step(x, state):
-        y = follow(x, sample_rate, attack_ms, release_ms, "peak", state)
-        return y, state
+        level, past = state[:2], np.array(state[2:])
+        both = np.r_[past, x]
+        y = follow_detector(detector(both, sample_rate, method)[len(past) :], sample_rate, attack_ms, release_ms, level)
+        return y, level + both[len(both) - min(behind, len(both)) :].tolist()
 
     return stateful(stream, step, [0.0, 0.0])
 
@@ -80,6 +84,19 @@ def stream_prediction_residual(stream: DataFrame, predictor: list[float]) -> Dat
     return stateful(stream, step, [0.0] * len(a))
 
 
+def stream_prediction_synthesis(stream: DataFrame, predictor: list[float]) -> DataFrame:
+    """Linear-prediction synthesis of a streamed residual, with the output's history carried on."""
+    from ripplefield.operators.codec import lpc_synthesis
+
+    a = np.asarray(predictor)
+
+    def step(x, state):
+        y = lpc_synthesis(x, a, np.array(state))
+        return y, np.r_[state, y][-len(a) :].tolist()
+
+    return stateful(stream, step, [0.0] * len(a))
+
+
 def windowed_levels(stream: DataFrame, size: str, slide: str, lateness: str) -> DataFrame:
     """RMS, peak and count of a key's values in event-time windows; rows later than the watermark are dropped."""
     g = stream.withWatermark("ts", lateness).groupBy(F.window("ts", size, slide), "clip_id")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ripplefield.operators import dynamics, iir
+from ripplefield.operators import codec, dynamics, iir
 from ripplefield.streaming import stateful
 
 N = 240
@@ -44,6 +44,11 @@ def test_follower_delay_and_residual(spark, stream):
     x, s = stream
     got = run(spark, stateful.stream_envelope(s, 8000, 5, 50), "envelope")
     assert np.allclose([r.v for r in got if r.clip_id == 1], dynamics.follow(x[1], 8000, 5, 50), atol=1e-9)
+    for method in ("rms", "hybrid"):
+        got = run(spark, stateful.stream_envelope(s, 8000, 5, 50, method), f"envelope_{method}")
+        assert np.allclose([r.v for r in got if r.clip_id == 1], dynamics.follow(x[1], 8000, 5, 50, method), atol=1e-9)
+    got = run(spark, stateful.stream_prediction_synthesis(s, [0.5, -0.25]), "synthesis")
+    assert np.allclose([r.v for r in got if r.clip_id == 1], codec.lpc_synthesis(x[1], np.array([0.5, -0.25])), atol=1e-9)
     got = run(spark, stateful.stream_delay(s, 7), "delay")
     assert np.allclose([r.v for r in got if r.clip_id == 0], np.r_[np.zeros(7), x[0][:-7]])
     got = run(spark, stateful.stream_prediction_residual(s, [0.5, -0.25]), "residual")
