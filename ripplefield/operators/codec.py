@@ -6,11 +6,13 @@ Arrow batch; clips are independent tasks.  Encoded audio is rows of integers.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ripplefield.operators.psycho import PRESETS, SELF_MASKING_DB, TONAL_DB, Masking, band_layout
 from ripplefield.operators.quantise import MAX_WORD
@@ -107,26 +109,27 @@ class PerceptualCodec:
         return imdct(np.asarray(q, float).reshape(frames, self.half) * np.asarray(steps, float)[of], self.half, length)
 
     def encode(self, df: DataFrame) -> DataFrame:
-        """``(clip_id, ch, segment, length, frames, steps, q)``."""
+        """``(clip_id, ch, segment, length, frames, steps, q)``; segments are coded apart, so a long clip is many tasks."""
         codec = self
 
         def each(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             x = pdf.sort_values("idx")["v"].to_numpy(float)
-            rows = [{"clip_id": key[0], "ch": key[1], "segment": k, **codec.encode_segment(x[a : a + codec.segment])} for k, a in enumerate(range(0, len(x), codec.segment))]
-            return pd.DataFrame(rows)
+            return pd.DataFrame([{"clip_id": key[0], "ch": key[1], "segment": key[2], **codec.encode_segment(x)}])
 
-        return df.groupBy("clip_id", "ch").applyInPandas(each, "clip_id long, ch int, segment int, length int, frames int, steps array<double>, q array<int>")
+        cut = df.select("clip_id", "ch", "idx", "v", F.floor(F.col("idx") / self.segment).cast("int").alias("segment"))
+        return cut.groupBy("clip_id", "ch", "segment").applyInPandas(each, "clip_id long, ch int, segment int, length int, frames int, steps array<double>, q array<int>")
 
     def decode(self, encoded: DataFrame) -> DataFrame:
-        """Long form of encoded clips."""
+        """Long form of encoded clips; every segment where it lies."""
         codec = self
 
-        def each(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("segment")
-            v = np.concatenate([codec.decode_segment(r.length, r.frames, r.steps, r.q) for r in pdf.itertuples()])
-            return pd.DataFrame({"clip_id": key[0], "ch": np.int32(key[1]), "idx": np.arange(len(v)), "v": v})
+        def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in frames:
+                for r in pdf.itertuples():
+                    v = codec.decode_segment(r.length, r.frames, r.steps, r.q)
+                    yield pd.DataFrame({"clip_id": r.clip_id, "ch": np.int32(r.ch), "idx": r.segment * codec.segment + np.arange(len(v)), "v": v})
 
-        return encoded.groupBy("clip_id", "ch").applyInPandas(each, "clip_id long, ch int, idx long, v double")
+        return encoded.mapInPandas(each, "clip_id long, ch int, idx long, v double")
 
 
 # --- linear prediction ------------------------------------------------------------------------------------

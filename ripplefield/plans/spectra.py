@@ -287,6 +287,15 @@ for _mode in ("speech", "music", "hybrid"):
 add("codec_frames_auto", _snr_query(lambda: codec.FrameCodec(8000, 96_000)), GOOD)
 
 
+def _clip_snr(make):
+    """Round-trip quality of a codec on every event clip."""
+    return lambda s, d: codec.round_trip_snr(event_clips(s, d, 50.0), make()).select("clip_id", F.round("snr", 3).alias("snr"))
+
+
+R.add("codec_perceptual_clips", _clip_snr(lambda: codec.PerceptualCodec(1000, 8_000, 16, segment=40)))
+R.add("codec_frames_auto_clips", _clip_snr(lambda: codec.FrameCodec(1000, 12_000)))
+
+
 def _stereo(s, d):
     two = generate.on_channels(_tone(s), 2)
     c = codec.PerceptualCodec(8000, 64_000, 128)
