@@ -99,6 +99,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a table in the shared folder.
+
+    Unlike a checkpoint, a table read again knows no constraints of the plan that made it; in loops that derive a
+    column from itself these would grow without end.
+    """
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def shared_path(spark: SparkSession, kind: str) -> str:
     """A new folder below the shared one, as a path that drivers and executors can open as files.
 

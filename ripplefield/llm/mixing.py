@@ -6,12 +6,14 @@ marginal of one dimension after the other, never above the tokens that a cell ha
 sampled with probability weight / tokens of its cell, by a uniform number derived from its id alone, so
 that a lost executor or a second run takes the same decisions.
 
-Only the cells iterate: their number is bounded by the combinations of dimension values and their sums
-are windows over one dimension at a time.  Everything is DataFrame expressions on the JVM.
+Only the cells iterate: their number is bounded by the combinations of dimension values, and their sums are
+aggregations by one dimension at a time.  Everything is DataFrame expressions on the JVM.  The iterations are a
+fixed number; ``marginal_errors`` of ``fit`` tells how far each share is from its target after them.
 
 Defined cases: null dimension values form cells of their own; null or empty texts have no tokens; a cell
 without tokens has probability 0; repeated rows share their id's decision; null ids count as the empty
-id; other columns pass through.
+id; other columns pass through, whatever their names; an empty table gives no rows; a very long text is only
+counted, in one pass.
 """
 
 from __future__ import annotations
@@ -19,10 +21,10 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ripplefield.llm.common import WORD, cut, fresh, text_of
+from ripplefield.llm.common import WORD, cut, fresh, text_of, written
 
 #: Topic by the first marker that a text holds; else ``prose``.
 TOPIC_MARKERS = (("licence", "icensed under"), ("table", " | "), ("contact", "@"))
@@ -52,42 +54,66 @@ def count_cells(docs: DataFrame, dims: tuple[str, ...], tokens: str) -> DataFram
     return docs.groupBy(*dims).agg(F.sum(tokens).cast("double").alias("n"))
 
 
+def _beside(cells: DataFrame, table: DataFrame, d: str) -> DataFrame:
+    """Cells with the columns of a table ``(key__, ..)`` of one dimension's values; nulls match nulls."""
+    return cells.join(table, F.col(d).eqNullSafe(F.col("key__")), "left").drop("key__")
+
+
 def with_targets(cells: DataFrame, dims: tuple[str, ...], targets: Mapping[str, float | DataFrame]) -> DataFrame:
-    """Cells with a target share per dimension: a table ``(value, share)``, or a power of the present share."""
-    for d in dims:
-        cells = cells.withColumn(f"n_{d}", F.sum("n").over(Window.partitionBy(d)))
-    cells = cut(cells)
-    powered = {d: a for d, a in targets.items() if not isinstance(a, DataFrame)}
-    # sum over values of n_v ** a, as a sum over cells
-    sums = [F.sum(F.when(F.col(f"n_{d}") > 0, F.col("n") * F.pow(f"n_{d}", F.lit(a - 1.0)))).alias(d) for d, a in powered.items()]
-    total = cells.agg(F.sum("n").alias("total__"), *sums).first()
+    """Cells with a target share per dimension: a table ``(value, share)``, or a power of the present share.
+
+    The share of a table's value that no cell has can't be met and stays unfilled.
+    """
+    total = float(cells.agg(F.sum("n")).first()[0] or 0.0)
     for d, a in targets.items():
         if isinstance(a, DataFrame):
-            table = a.select(F.col("value").alias("value__"), F.col("share").cast("double").alias(f"t_{d}"))
-            cells = cells.join(table, F.col(d).eqNullSafe(F.col("value__")), "left").drop("value__").fillna(0.0, [f"t_{d}"])
+            table = a.select(F.col("value").alias("key__"), F.col("share").cast("double").alias(f"t_{d}"))
         else:
-            share = F.pow(f"n_{d}", F.lit(float(a))) / F.lit(float(total[d] or 1.0))
-            cells = cells.withColumn(f"t_{d}", F.when(F.col(f"n_{d}") > 0, share).otherwise(F.lit(0.0)))
-    return cells.withColumn("total", F.lit(float(total["total__"] or 0.0)))
+            sums = cells.groupBy(F.col(d).alias("key__")).agg(F.sum("n").alias("have"))
+            power = F.when(F.col("have") > 0, F.pow("have", F.lit(float(a)))).otherwise(F.lit(0.0))
+            norm = float(sums.agg(F.sum(power)).first()[0] or 1.0)
+            table = sums.select("key__", (power / F.lit(norm)).alias(f"t_{d}"))
+        cells = _beside(cells, table, d).fillna(0.0, [f"t_{d}"])
+    return cells.withColumn("total", F.lit(total))
 
 
 def rake(cells: DataFrame, dims: tuple[str, ...], keep: float, iterations: int) -> DataFrame:
-    """Fit the weights ``w`` to the shares ``t_<dim>`` of ``keep * total`` tokens, each capped by ``n``."""
-    cells = cells.withColumn("w", F.col("n") * F.lit(keep))
+    """Fit the weights ``w`` to the shares ``t_<dim>`` of ``keep * total`` tokens, each capped by ``n``.
+
+    Each marginal is a partial and final aggregation that is joined back, so that no task holds all cells of a
+    frequent value; every iteration is cut off its lineage.
+    """
+    cells = written(cells.withColumn("w", F.col("n") * F.lit(keep)))
     for _ in range(iterations):
         for d in dims:
-            have = F.sum("w").over(Window.partitionBy(d))
-            scale = F.try_divide(F.col(f"t_{d}") * F.lit(keep) * F.col("total"), have)
-            cells = cells.withColumn("w", F.least(F.col("w") * F.coalesce(scale, F.lit(0.0)), F.col("n")))
+            sums = cells.groupBy(F.col(d).alias("key__")).agg(F.sum("w").alias("have__"))
+            scale = F.try_divide(F.col(f"t_{d}") * F.lit(keep) * F.col("total"), F.col("have__"))
+            cells = _beside(cells, sums, d).withColumn("w", F.least(F.col("w") * F.coalesce(scale, F.lit(0.0)), F.col("n"))).drop("have__")
+        cells = written(cells)
     return cells
 
 
 def marginal_errors(cells: DataFrame, dims: tuple[str, ...] = DIMENSIONS) -> DataFrame:
-    """Per dimension and value: target share and share reached after raking."""
-    total = Window.partitionBy("dim")
+    """Per dimension and value: target share and share reached after raking; their difference tells convergence."""
+    total = float(cells.agg(F.sum("w")).first()[0] or 0.0)
     one = lambda d: cells.groupBy(F.lit(d).alias("dim"), F.col(d).cast("string").alias("value")).agg(F.max(f"t_{d}").alias("target"), F.sum("w").alias("w"))
     out = reduce(DataFrame.unionByName, (one(d) for d in dims))
-    return out.select("dim", "value", "target", F.try_divide(F.col("w"), F.sum("w").over(total)).alias("reached"))
+    return out.select("dim", "value", "target", F.try_divide(F.col("w"), F.lit(total)).alias("reached"))
+
+
+def fit(
+    docs: DataFrame,
+    text_col: str = "text",
+    targets: Mapping[str, float | DataFrame] | None = None,
+    keep: float = 0.7,
+    iterations: int = 8,
+    topic: Column | None = None,
+) -> DataFrame:
+    """The raked cells ``(source, lang, topic, n, w)`` with their target shares, for ``marginal_errors`` too."""
+    targets = targets or {"source": 0.7, "lang": 0.7, "topic": 0.7}
+    text = text_of(F.col(f"`{text_col}`"))
+    slim = docs.select("source", "lang", (topic_of(text) if topic is None else topic).alias("topic"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_tokens"))
+    return rake(with_targets(cut(count_cells(slim, DIMENSIONS, "n_tokens")), DIMENSIONS, targets), DIMENSIONS, keep, iterations)
 
 
 def mix(
@@ -98,25 +124,24 @@ def mix(
     keep: float = 0.7,
     iterations: int = 8,
     salt: str = "",
+    topic: Column | None = None,
 ) -> tuple[DataFrame, dict[str, str]]:
     """``docs`` with topic, tokens, inclusion probability and the sampling decision.
 
     ``targets`` names, for ``source``, ``lang`` and ``topic``, a table of shares or a power of the present
-    share (below 1: flatter); ``keep`` is the share of all tokens wanted.  Returns the frame and the names
-    of the added columns.
+    share (below 1: flatter); ``keep`` is the share of all tokens wanted; ``topic`` is a column that says the
+    topic (by default ``topic_of`` the text).  Returns the frame and the names of the added columns.
     """
-    targets = targets or {"source": 0.7, "lang": 0.7, "topic": 0.7}
     names = {c: fresh(docs, c) for c in ("topic", "tokens", "probability", "sampled")}
     text = text_of(F.col(f"`{text_col}`"))
-    keyed = docs.withColumn(names["topic"], topic_of(text))
-    slim = keyed.select(*(F.col(names.get(d, d)).alias(d) for d in DIMENSIONS), F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_tokens"))
-    cells = with_targets(count_cells(slim, DIMENSIONS, "n_tokens"), DIMENSIONS, targets)
-    fitted = rake(cells, DIMENSIONS, keep, iterations)
+    keyed = docs.withColumn(names["topic"], topic_of(text) if topic is None else topic)
+    fitted = fit(docs, text_col, targets, keep, iterations, topic)
+    cell = {d: fresh(keyed, f"cell_{d}") for d in DIMENSIONS}
     p = F.coalesce(F.try_divide(F.col("w"), F.col("n")), F.lit(0.0)).alias(names["probability"])
-    rates = cut(fitted.select(*(F.col(d).alias(f"cell_{d}__") for d in DIMENSIONS), p))
+    rates = cut(fitted.select(*(F.col(d).alias(cell[d]) for d in DIMENSIONS), p))
     small = rates.count() <= BROADCAST_ROWS
-    match = reduce(lambda a, b: a & b, (F.col(names.get(d, d)).eqNullSafe(F.col(f"cell_{d}__")) for d in DIMENSIONS))
-    out = keyed.join(F.broadcast(rates) if small else rates, match, "left").drop(*(f"cell_{d}__" for d in DIMENSIONS))
+    match = reduce(lambda a, b: a & b, (F.col(names.get(d, d)).eqNullSafe(F.col(cell[d])) for d in DIMENSIONS))
+    out = keyed.join(F.broadcast(rates) if small else rates, match, "left").drop(*cell.values())
     out = out.withColumn(names["tokens"], F.regexp_count(text, F.lit(WORD)).cast("long"))
     return out.withColumn(names["sampled"], uniform(F.col(id_col), salt) < F.col(names["probability"])), names
 

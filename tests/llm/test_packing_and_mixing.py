@@ -89,3 +89,31 @@ def test_awkward_rows(spark):
     assert out.count() == len(AWKWARD) and set(rows.columns) <= set(out.columns)
     for r in out.collect():
         assert r[n["tokens"]] == len(WORD.findall(r.text or "")) and 0 <= r[n["probability"]] <= 1
+
+
+@pytest.mark.parametrize("n,seed", [(60, 25), (60, 30), (120, 0), (120, 2)])
+def test_crossover_reaches_the_bound_where_best_fit_misses_it(n, seed):
+    lengths = np.sort(np.random.default_rng(seed).integers(20, 101, n))[::-1].copy()
+    search = packing.Search(lengths, 150, np.random.default_rng(1))
+    people = search.start(5)
+    assert max(map(search.fitness, people))[0] == -search.bound - 1
+    people = search.evolve(people, 40, 4)
+    assert search.spare(people) == 0
+
+
+def test_marginal_errors_tell_what_raking_reached(spark):
+    rows = [(i, "w " * (i % 7 + 1), "en" if i % 3 else "fr", f"s{i % 5}") for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    share = spark.createDataFrame([(f"s{k}", 0.2) for k in range(5)], "value string, share double")
+    found = mixing.marginal_errors(mixing.fit(docs, targets={"source": share, "lang": 1.0, "topic": 1.0}, keep=0.3)).collect()
+    assert {r.dim for r in found} == {"source", "lang", "topic"} and all(abs(r.target - r.reached) < 1e-3 for r in found)
+
+
+def test_a_topic_column_and_clashing_names(spark):
+    rows = [(i, "w " * (i % 7 + 1), "en", "s", "ab"[i % 2]) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, topic string")
+    for c in ("cell_source", "cell_source__", "key__", "have__", "n", "w", "total", "n_tokens", "t_source"):
+        docs = docs.withColumn(c, mixing.F.lit("own"))
+    out, names = mixing.mix(docs, topic=mixing.F.col("topic"))
+    assert out.count() == 100 and {r[0] for r in out.select(names["topic"]).distinct().collect()} == {"a", "b"}
+    assert set(docs.columns) <= set(out.columns)
