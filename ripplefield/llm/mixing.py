@@ -84,7 +84,9 @@ def rake(cells: DataFrame, dims: tuple[str, ...], keep: float, iterations: int)
     frequent value; every iteration is cut off its lineage.
     """
     cells = written(cells.withColumn("w", F.col("n") * F.lit(keep)))
+    few = cells.count() <= BROADCAST_ROWS  # then one partition needs no exchange
     for _ in range(iterations):
+        cells = cells.coalesce(1) if few else cells
         for d in dims:
             sums = cells.groupBy(F.col(d).alias("key__")).agg(F.sum("w").alias("have__"))
             scale = F.try_divide(F.col(f"t_{d}") * F.lit(keep) * F.col("total"), F.col("have__"))
