@@ -1,17 +1,20 @@
 """Columns of ISO base media containers, read from their boxes and sample tables only.
 
 ``describe`` walks the nested boxes of a container and decodes the sample tables of every track: codec,
-timescale, duration, samples, and the byte ranges of the sync (key) samples.  Payloads are never decoded,
-and only offsets of ``mdat`` are used.  Supported: 32-bit, 64-bit and to-the-end box sizes, versions 0 and 1
-of the header boxes, ``stsz`` and compact ``stz2``, ``stco`` and ``co64``, tracks without ``stss`` (all samples
-sync), and movie fragments (``moof``: ``tfhd``, ``tfdt``, ``trun``).
+timescale, duration, samples, and the byte ranges and presentation times of the sync (key) samples.  Payloads
+are never decoded, and only offsets of ``mdat`` are used.  Supported: 32-bit, 64-bit and to-the-end box sizes,
+versions 0 and 1 of the header boxes, ``stts`` and ``ctts``, ``stsz`` and compact ``stz2``, ``stco`` and ``co64``,
+tracks without ``stss`` (all samples sync), and movie fragments (``moof``: ``trex`` defaults, ``tfhd``, ``tfdt``, any
+number of ``trun``).
 
 ``wrap`` stores bytes losslessly as 8-bit samples of a one-track container, in access units of ``UNIT`` bytes
 with every ``KEY``-th unit a sync sample; ``payload`` reads them back through the sample tables.
 
 Defined cases: null containers and bytes that are no boxes give no tracks and an ``error``; torn boxes end
-the walk with what was found; null text is the empty payload; equal payloads give equal containers (all
-times in headers are zero).
+the walk with what was found, and so do tables that claim more samples than the container has bytes; null text
+is the empty payload; equal payloads give equal containers (all times in headers are zero); repeated rows are
+described each; a container is held whole by its task, so a very long text costs its own size; an empty table
+gives no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -33,6 +36,10 @@ CONTAINERS = frozenset((b"moov", b"trak", b"mdia", b"minf", b"stbl", b"moof", b"
 UNIT, KEY, RATE = 64, 16, 8000
 
 
+def _empty() -> np.ndarray:
+    return np.empty(0, np.int64)
+
+
 @dataclass
 class Track:
     """What the boxes say about one track."""
@@ -42,8 +49,11 @@ class Track:
     codec: str = ""
     timescale: int = 0
     duration: int = 0
-    sizes: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
-    offsets: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    sizes: np.ndarray = field(default_factory=_empty)
+    offsets: np.ndarray = field(default_factory=_empty)
+    deltas: np.ndarray = field(default_factory=_empty)  # decode duration of each sample
+    shifts: np.ndarray = field(default_factory=_empty)  # presentation time less decode time
+    starts: np.ndarray = field(default_factory=_empty)  # decode times that fragments state, by sample; else -1
     sync: np.ndarray | None = None
 
     @property
@@ -55,9 +65,32 @@ class Track:
         """(offset, length) of every sync sample."""
         return list(zip(self.offsets[self.keys].tolist(), self.sizes[self.keys].tolist(), strict=True))
 
+    def times(self) -> np.ndarray:
+        """Presentation time of every sample, in units of the timescale."""
+        n = len(self.sizes)
+        delta, shift = _fitted(self.deltas, n, 0), _fitted(self.shifts, n, 0)
+        decode = np.cumsum(delta) - delta
+        stated = np.flatnonzero(_fitted(self.starts, n, -1) >= 0) if len(self.starts) else _empty()
+        for at, end in zip(stated.tolist(), [*stated[1:].tolist(), n], strict=False):
+            decode[at:end] += self.starts[at] - decode[at]
+        return decode + shift
+
+
+def _fitted(values: np.ndarray, n: int, other: int) -> np.ndarray:
+    """The values cut or filled to n."""
+    return np.r_[values[:n], np.full(max(0, n - len(values)), other, np.int64)]
+
+
+def _runs(data: memoryview, at: int, most: int, kind: str) -> np.ndarray:
+    """Values of a run-length table ``(count, value)``, at most ``most`` of them."""
+    n = struct.unpack_from(">I", data, at + 4)[0]
+    counts = np.minimum(_ints(data, at + 8, 2 * n, ">u4")[::2], most)
+    counts = np.diff(np.minimum(np.cumsum(counts), most), prepend=0)
+    return np.repeat(_ints(data, at + 8, 2 * n, kind)[1::2], counts)
+
 
-def boxes(data: memoryview, start: int, end: int) -> Iterator[tuple[bytes, int, int]]:
-    """Type, first byte of the content and end of each box; a torn one ends the walk."""
+def boxes(data: memoryview, start: int, end: int) -> Iterator[tuple[bytes, int, int, int]]:
+    """Type, start, first byte of the content and end of each box; a torn one ends the walk."""
     while start + 8 <= end:
         size, kind = struct.unpack_from(">I4s", data, start)
         head = 8
@@ -69,14 +102,14 @@ def boxes(data: memoryview, start: int, end: int) -> Iterator[tuple[bytes, int,
             size = end - start
         if size < head or start + size > end:
             return
-        yield bytes(kind), start + head, start + size
+        yield bytes(kind), start, start + head, start + size
         start += size
 
 
-def tree(data: memoryview, start: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
-    """All boxes, outer before inner, with their paths."""
-    for kind, a, b in boxes(data, start, len(data) if end is None else end):
-        yield (*path, kind), a, b
+def tree(data: memoryview, start: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int, int]]:
+    """All boxes, outer before inner, with their paths, starts, first content bytes and ends."""
+    for kind, head, a, b in boxes(data, start, len(data) if end is None else end):
+        yield (*path, kind), head, a, b
         if kind in CONTAINERS:
             yield from tree(data, a, b, (*path, kind))
 
@@ -105,48 +138,65 @@ def _place(track: Track, chunks: np.ndarray, runs: np.ndarray) -> None:
     track.offsets = chunks[of] + before - before[base]
 
 
-def _fragment(data: memoryview, track: Track, moof: int, parts: list[tuple[bytes, int]]) -> None:
-    """Append the samples of a track fragment."""
-    base, size, flags_default = moof, 0, 0
-    at_data = None
-    for kind, at in parts:
-        flags = struct.unpack_from(">I", data, at)[0] & 0xFFFFFF
-        pos = at + 4
-        if kind == b"tfhd":
-            pos += 4
-            if flags & 1:
-                base = struct.unpack_from(">Q", data, pos)[0]
-                pos += 8
-            pos += 4 * bool(flags & 2) + 4 * bool(flags & 8)
-            if flags & 0x10:
-                size = struct.unpack_from(">I", data, pos)[0]
+@dataclass
+class Fragment:
+    """A track fragment while its boxes are read: where its data lie, defaults of its samples, its first time."""
+
+    track: Track
+    base: int
+    at: int | None = None  # where the next run without an offset of its own begins
+    delta: int = 0
+    size: int = 0
+    flags: int = 0
+    time: int = -1
+
+    def header(self, data: memoryview, at: int, moof: int, before: int | None) -> None:
+        """``tfhd``: without a stated base, data count from the ``moof``, or go on after the fragment before."""
+        flags, pos = struct.unpack_from(">I", data, at)[0] & 0xFFFFFF, at + 8
+        if flags & 1:
+            self.base = struct.unpack_from(">Q", data, pos)[0]
+            pos += 8
+        else:
+            self.base = moof if flags & 0x20000 or before is None else before
+        pos += 4 * bool(flags & 2)
+        for bit, name in ((8, "delta"), (0x10, "size"), (0x20, "flags")):
+            if flags & bit:
+                setattr(self, name, struct.unpack_from(">I", data, pos)[0])
                 pos += 4
-            if flags & 0x20:
-                flags_default = struct.unpack_from(">I", data, pos)[0]
-        elif kind == b"trun":
-            count = struct.unpack_from(">I", data, pos)[0]
+
+    def run(self, data: memoryview, at: int) -> None:
+        """``trun``: append its samples; a run without an offset follows the one before it."""
+        head, count = struct.unpack_from(">II", data, at)
+        flags, pos, t = head & 0xFFFFFF, at + 8, self.track
+        if flags & 1:
+            self.at = self.base + struct.unpack_from(">i", data, pos)[0]
             pos += 4
-            if flags & 1:
-                at_data = base + struct.unpack_from(">i", data, pos)[0]
-                pos += 4
-            first_flags = None
-            if flags & 4:
-                first_flags = struct.unpack_from(">I", data, pos)[0]
-                pos += 4
-            fields = [f for f in (0x100, 0x200, 0x400, 0x800) if flags & f]
-            table = _ints(data, pos, count * len(fields), ">u4").reshape(count, len(fields)) if fields else np.zeros((count, 0), np.int64)
-            col = lambda f, other: table[:, fields.index(f)] if f in fields else np.full(count, other, np.int64)  # noqa: B023,E731
-            sizes, marks = col(0x200, size), col(0x400, flags_default).copy()
-            if first_flags is not None and count:
-                marks[0] = first_flags
-            track.duration += int(col(0x100, 0).sum())
-            at_data = base if at_data is None else at_data
-            n = len(track.sizes)
-            old = track.keys if n else np.empty(0, np.int64)
-            track.offsets = np.r_[track.offsets, at_data + np.cumsum(sizes) - sizes]
-            track.sizes = np.r_[track.sizes, sizes]
-            track.sync = np.r_[old, n + np.flatnonzero(~(marks >> 16) & 1)]
-            at_data += int(sizes.sum())
+        elif self.at is None:
+            self.at = self.base
+        first_flags = None
+        if flags & 4:
+            first_flags = struct.unpack_from(">I", data, pos)[0]
+            pos += 4
+        fields = [f for f in (0x100, 0x200, 0x400, 0x800) if flags & f]
+        if not fields:
+            count = min(count, len(data))
+        signed = _ints(data, pos, count * len(fields), ">i4").reshape(count, len(fields)) if fields else np.zeros((count, 0), np.int64)
+        col = lambda f, other: signed[:, fields.index(f)] & 0xFFFFFFFF if f in fields else np.full(count, other, np.int64)
+        sizes, marks, deltas = col(0x200, self.size), col(0x400, self.flags).copy(), col(0x100, self.delta)
+        shifts = signed[:, fields.index(0x800)] if 0x800 in fields else np.zeros(count, np.int64)
+        if first_flags is not None and count:
+            marks[0] = first_flags
+        n = len(t.sizes)
+        old = t.keys if n else _empty()
+        starts = np.full(count, -1, np.int64)
+        if count and self.time >= 0:
+            starts[0], self.time = self.time, -1
+        t.deltas, t.shifts, t.starts = (np.r_[_fitted(a, n, d), b] for a, d, b in ((t.deltas, 0, deltas), (t.shifts, 0, shifts), (t.starts, -1, starts)))
+        t.offsets = np.r_[t.offsets, self.at + np.cumsum(sizes) - sizes]
+        t.sizes = np.r_[t.sizes, sizes]
+        t.sync = np.r_[old, n + np.flatnonzero(~(marks >> 16) & 1)]
+        t.duration += int(deltas.sum())
+        self.at += int(sizes.sum())
 
 
 def describe(data: bytes | None) -> tuple[list[Track], str]:
@@ -154,23 +204,30 @@ def describe(data: bytes | None) -> tuple[list[Track], str]:
     if not data:
         return [], "empty"
     view, tracks, by_number = memoryview(data), [], {}
-    chunks, runs, fragment, moof = np.empty(0, np.int64), np.empty((0, 3), np.int64), [], 0
+    chunks, runs, fragment, moof = _empty(), np.empty((0, 3), np.int64), None, 0
+    defaults: dict[int, tuple[int, int, int]] = {}
     seen: set[bytes] = set()
     try:
-        for path, a, b in tree(view):
+        for path, head, a, b in tree(view):
             kind, t = path[-1], tracks[-1] if tracks else None
             seen.add(kind)
             if kind == b"trak":
                 tracks.append(Track())
-                chunks, runs = np.empty(0, np.int64), np.empty((0, 3), np.int64)
+                chunks, runs = _empty(), np.empty((0, 3), np.int64)
+            elif kind == b"trex":
+                number, _, delta, size, flags = struct.unpack_from(">5I", view, a + 4)
+                defaults[number] = delta, size, flags
             elif kind == b"moof":
-                moof = a - 8
+                moof, fragment = head, None
             elif kind == b"tfhd":
-                fragment = [(kind, a)]
-            elif kind == b"trun":
-                number = struct.unpack_from(">I", view, fragment[0][1] + 4)[0]
-                if number in by_number:
-                    _fragment(view, by_number[number], moof, [*fragment, (kind, a)])
+                number, before = struct.unpack_from(">I", view, a + 4)[0], fragment.at if fragment else None
+                delta, size, flags = defaults.get(number, (0, 0, 0))
+                fragment = Fragment(by_number.get(number, Track()), moof, None, delta, size, flags)
+                fragment.header(view, a, moof, before)
+            elif kind == b"tfdt" and fragment:
+                fragment.time = struct.unpack_from(">Q" if view[a] == 1 else ">I", view, a + 4)[0]
+            elif kind == b"trun" and fragment:
+                fragment.run(view, a)
             elif t is None:
                 continue
             elif kind == b"tkhd":
@@ -184,7 +241,11 @@ def describe(data: bytes | None) -> tuple[list[Track], str]:
                 t.codec = bytes(view[a + 12 : a + 16]).decode("latin-1")
             elif kind == b"stsz":
                 size, n = struct.unpack_from(">II", view, a + 4)
-                t.sizes = np.full(n, size, np.int64) if size else _ints(view, a + 12, n, ">u4")
+                t.sizes = np.full(min(n, len(data)), size, np.int64) if size else _ints(view, a + 12, n, ">u4")
+            elif kind == b"stts":
+                t.deltas = _runs(view, a, len(data), ">u4")
+            elif kind == b"ctts":
+                t.shifts = _runs(view, a, len(data), ">i4")
             elif kind == b"stz2":
                 bits, n = view[a + 7], struct.unpack_from(">I", view, a + 8)[0]
                 if bits == 4:
@@ -259,7 +320,7 @@ def payload(data: bytes, track: Track) -> bytes:
     return b"".join(data[a:b] for a, b in zip(track.offsets[cuts].tolist(), ends[last].tolist(), strict=True))
 
 
-COLUMNS = "tracks array<struct<handler:string,codec:string,timescale:long,duration:long,seconds:double,samples:long,keyframes:array<struct<offset:long,length:long>>>>, error string"
+COLUMNS = "tracks array<struct<handler:string,codec:string,timescale:long,duration:long,seconds:double,samples:long,keyframes:array<struct<offset:long,length:long,time:long>>>>, error string"
 
 
 def media_columns(df: DataFrame, id_col: str, data_col: str) -> DataFrame:
@@ -287,7 +348,7 @@ ARROW = pa.list_(
             ("duration", pa.int64()),
             ("seconds", pa.float64()),
             ("samples", pa.int64()),
-            ("keyframes", pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())]))),
+            ("keyframes", pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("time", pa.int64())]))),
         ]
     )
 )
@@ -295,7 +356,9 @@ ARROW = pa.list_(
 
 def _row(t: Track) -> dict:
     seconds = t.duration / t.timescale if t.timescale else None
-    keys = [{"offset": a, "length": n} for a, n in t.key_ranges()] if len(t.offsets) == len(t.sizes) else []
+    keys = []
+    if len(t.offsets) == len(t.sizes):
+        keys = [{"offset": a, "length": n, "time": at} for (a, n), at in zip(t.key_ranges(), t.times()[t.keys].tolist(), strict=True)]
     return {"handler": t.handler, "codec": t.codec, "timescale": t.timescale, "duration": t.duration, "seconds": seconds, "samples": len(t.sizes), "keyframes": keys}
 
 

@@ -73,6 +73,55 @@ def test_fragments_and_big_boxes():
     assert t.key_ranges() == [(at + 100, 11)]
 
 
+def test_fragment_runs_defaults_and_times():
+    """Two runs of one fragment, defaults of the movie, a second fragment that goes on, a 64-bit ``moof``, stated times."""
+    trex = box(b"mvex", full(b"trex", struct.pack(">5I", 7, 1, 50, 30, 0x01010000)))
+    moov = movie([], [], [], [])
+    moov = moov[: moov.index(b"moov") - 4] + box(b"moov", moov[moov.index(b"moov") + 4 :], trex)
+    key = struct.pack(">I", 0x02000000)
+    first = box(
+        b"traf",
+        full(b"tfhd", struct.pack(">I", 7)),
+        full(b"tfdt", struct.pack(">Q", 900), version=1),
+        full(b"trun", struct.pack(">Ii", 4, 100), key, flags=0x5),  # sizes and durations by the movie's defaults
+        full(b"trun", struct.pack(">I", 2), struct.pack(">IIi", 10, 21, 5), struct.pack(">IIi", 20, 22, -3), version=1, flags=0xB00),
+    )
+    second = box(b"traf", full(b"tfhd", struct.pack(">I", 7)), full(b"trun", struct.pack(">I", 1), key, flags=0x4))
+    body = full(b"mfhd", struct.pack(">I", 1)) + first + second
+    data = moov + struct.pack(">I4sQ", 1, b"moof", len(body) + 16) + body
+    (t,), error = media.describe(data)
+    at = len(moov) + 100
+    assert error == "" and t.sizes.tolist() == [30] * 4 + [21, 22, 30]
+    assert t.offsets.tolist() == [at, at + 30, at + 60, at + 90, at + 120, at + 141, at + 163]
+    assert t.key_ranges() == [(at, 30), (at + 163, 30)]
+    assert t.times().tolist() == [900, 950, 1000, 1050, 1105, 1107, 1130]
+
+
+def test_sample_times_from_tables():
+    plain = movie([10] * 6, [6], [1000], [0, 3])
+    stts = full(b"stts", struct.pack(">5I", 2, 4, 100, 2, 50))
+    ctts = full(b"ctts", struct.pack(">IIiIi", 2, 3, 7, 3, -7), version=1)
+    cut = plain.index(b"stbl") - 4
+    size = struct.unpack_from(">I", plain, cut)[0]
+    stbl = box(b"stbl", plain[cut + 8 : cut + size], stts, ctts)
+    grown = len(stbl) - size
+    data = bytearray(plain[:cut] + stbl + plain[cut + size :])
+    for outer in (b"moov", b"trak", b"mdia", b"minf"):
+        k = data.index(outer) - 4
+        struct.pack_into(">I", data, k, struct.unpack_from(">I", data, k)[0] + grown)
+    (t,), error = media.describe(bytes(data))
+    assert error == "" and t.times().tolist() == [7, 107, 207, 293, 393, 443]
+    assert media.describe(media.wrap(b"x" * 256))[0][0].times().tolist() == [0, 64, 128, 192]
+
+
+def test_tables_that_claim_too_much_stay_small():
+    huge = full(b"stsz", struct.pack(">II", 1, 0xFFFFFFFF))
+    stts = full(b"stts", struct.pack(">III", 1, 0xFFFFFFFF, 1))
+    data = box(b"moov", box(b"trak", box(b"mdia", box(b"minf", box(b"stbl", huge, stts)))))
+    (t,), _ = media.describe(data)
+    assert len(t.sizes) <= len(data) and len(t.deltas) <= len(data)
+
+
 def test_broken_bytes(spark):
     good = media.wrap(b"\1" * 640)
     for cut in range(0, len(good), 37):
@@ -81,7 +130,7 @@ def test_broken_bytes(spark):
     frame = spark.createDataFrame([(1, good), (2, None), (3, b"xx"), (4, good[:200])], "id long, data binary")
     got = {r.id: r for r in media.media_columns(frame, "id", "data").collect()}
     (t,) = got[1].tracks
-    assert (t.codec, t.samples, t.seconds, got[1].error) == ("raw ", 10, 0.08, "") and [tuple(k) for k in t.keyframes] == [(len(good) - 640, 64)]
+    assert (t.codec, t.samples, t.seconds, got[1].error) == ("raw ", 10, 0.08, "") and [tuple(k) for k in t.keyframes] == [(len(good) - 640, 64, 0)]
     assert got[2].error and got[3].error
     with pytest.raises(ValueError):
         media.wrap(b"short")
