@@ -5,13 +5,14 @@ Counting
     dealt to shards, so what is shuffled has been combined before and no row is a single token.
     Word shards are ranges of the hash; a word's id is its rank among all sorted hashes.  Bigrams are exact
     keys ``left * (V + 2) + right``, dealt by left word and, salted, by right word, so that a left word that
-    holds a third of all tokens spreads over ``SALT`` shards.  From the bigram types follow, in the same
+    holds a third of all tokens spreads over a sixteenth of the shards, ``SALT`` at least.  From the bigram types follow, in the same
     pass, the statistics of left words (total, N1, N2, N3+) and the continuation counts of right words.
 
 Model
     Sorted hash arrays in files of the shared folder: word shards (hash, count), bigram shards (key, count)
-    and dense statistics by word id.  Scorers map the files and search sorted queries in them, so the
-    resident memory of a worker doesn't grow with the model.
+    and dense statistics by word id; counts beyond 32 bits widen their file.  Scorers map files as they need them,
+    ``MOST_MAPS`` at a time, and search sorted queries in them, so the resident memory and the maps of a worker
+    don't grow with the model.
 
 Scores are sums of log10 probabilities over words and the end of each text.  Discounts are those of the
 modified scheme, from counts of counts; where these are degenerate, a fixed absolute discount is taken.
@@ -20,7 +21,8 @@ vocabulary and the unknown word.
 
 Defined cases: null and empty texts are scored for their end alone; an empty training set gives uniform
 probabilities over nothing known (probability 1 for the unknown class); repeated rows are counted and
-scored each; other columns are not read.
+scored each; very long texts are read in slices; an empty table gives no rows; other columns, whatever their names,
+are not read.
 """
 
 from __future__ import annotations
@@ -43,8 +45,12 @@ from ripplefield.llm.common import cut, shared_path, slices
 
 #: Hash of the end token and of the start context; with their spaces they are no words.
 END = xxhash.xxh64_intdigest(b" end")
-#: Sub-shards of one left word.
+#: Sub-shards of one left word, at least.
 SALT = 8
+#: Files that a worker maps at a time, and tasks that merge shards, at most.
+MOST_MAPS, MOST_TASKS = 4096, 20_000
+#: In the header of a file: its 32-bit arrays are stored with 64 bits.
+WIDE = 1 << 63
 #: Tokens counted at a time.
 CHUNK = 2_000_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -126,6 +132,8 @@ class Mapped:
     def __init__(self, path: str, kinds: tuple[str, ...]):
         with open(path, "rb") as f:
             n = int.from_bytes(f.read(8), "little")
+            if n & WIDE:
+                n, kinds = n - WIDE, tuple(k.replace("u4", "u8") for k in kinds)
             self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False)
         at, self.arrays = 8, []
         for kind in kinds:
@@ -134,11 +142,17 @@ class Mapped:
             at += -at % 8
 
 
-def write_arrays(path: str, *arrays: np.ndarray) -> None:
-    """Write for ``Mapped``; renamed when complete, so a repeated task can't leave a torn file."""
+def write_arrays(path: str, *arrays: np.ndarray, narrow: bool = False) -> None:
+    """Write for ``Mapped``; renamed when complete, so a repeated task can't leave a torn file.
+
+    ``narrow``: all arrays after the first are stored with 32 bits, or if some value needs more, with 64.
+    """
     part = f"{path}.{os.getpid()}.{os.urandom(4).hex()}"
+    wide = narrow and any(len(a) and int(a.max()) >> 32 for a in arrays[1:])
+    if narrow:
+        arrays = (arrays[0], *(a.astype("<u8" if wide else "<u4") for a in arrays[1:]))
     with open(part, "wb") as f:
-        f.write(len(arrays[0]).to_bytes(8, "little"))
+        f.write((len(arrays[0]) + WIDE * wide).to_bytes(8, "little"))
         at = 8
         for a in arrays:
             f.write(np.ascontiguousarray(a).data if len(a) else b"")
@@ -157,6 +171,7 @@ class Model:
     starts: tuple[int, ...]  # id of the first word of each shard, and the vocabulary size
     tokens: int
     bigram_shards: int
+    salt: int
     stat_range: int
     discounts: tuple[float, float, float]
     unigram_discounts: tuple[float, float, float]
@@ -168,21 +183,26 @@ class Model:
         return self.starts[-1]
 
 
+@functools.lru_cache(maxsize=MOST_MAPS)
+def mapped(path: str, kinds: tuple[str, ...]) -> Mapped:
+    """The file, mapped while it is among those used last."""
+    return Mapped(path, kinds)
+
+
 class Vocabulary:
     """Mapped word shards."""
 
     def __init__(self, path: str, shards: int, starts: tuple[int, ...]):
-        self.shards, self.starts = shards, starts
-        self.files = [Mapped(f"{path}/words-{s}", ("<u8", "<u8")) for s in range(shards)]
+        self.path, self.shards, self.starts = path, shards, starts
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids (-1: unknown) and counts of sorted hashes."""
         ids, counts = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
         bounds = np.searchsorted(shard_of_hash(hashes, self.shards), np.arange(self.shards + 1))
-        for s in range(self.shards):
+        for s in np.flatnonzero(bounds[:-1] < bounds[1:]).tolist():
             a, b = bounds[s], bounds[s + 1]
-            held, count = self.files[s].arrays
-            if a == b or not len(held):
+            held, count = mapped(f"{self.path}/words-{s}", ("<u8", "<u8")).arrays
+            if not len(held):
                 continue
             at = np.minimum(np.searchsorted(held, hashes[a:b]), len(held) - 1)
             hit = held[at] == hashes[a:b]
@@ -202,10 +222,10 @@ def shard_of_hash(hashes: np.ndarray, shards: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
 
 
-def shard_of_bigram(left: np.ndarray, right: np.ndarray, shards: int) -> np.ndarray:
+def shard_of_bigram(left: np.ndarray, right: np.ndarray, shards: int, salt: int) -> np.ndarray:
     """By left word, salted by right word."""
-    salt = ((right.astype(np.uint64) * MIX) >> np.uint64(40)) % np.uint64(SALT)
-    return (((left.astype(np.uint64) * np.uint64(SALT) + salt) * MIX) >> np.uint64(24)) % np.uint64(shards)
+    part = ((right.astype(np.uint64) * MIX) >> np.uint64(40)) % np.uint64(salt)
+    return (((left.astype(np.uint64) * np.uint64(salt) + part) * MIX) >> np.uint64(24)) % np.uint64(shards)
 
 
 def look_up(vocab: Vocabulary, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -228,7 +248,8 @@ def train(docs: DataFrame, text_col: str = "text", tokens_per_shard: int = 2_000
     spark = docs.sparkSession
     path = shared_path(spark, "ngram")
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    word_shards = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
+    chars = texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    word_shards = max(8, -(-chars // (32 * tokens_per_shard)))
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -251,7 +272,7 @@ def train(docs: DataFrame, text_col: str = "text", tokens_per_shard: int = 2_000
         write_arrays(f"{path}/words-{s}", keys, counts)
         return pd.DataFrame({"shard": [s], "n": [len(keys)], "tokens": [int(counts.sum())]})
 
-    found = texts.mapInArrow(count_words, "shard long, blob binary").groupBy("shard").applyInPandas(write_words, "shard long, n long, tokens long").collect()
+    found = texts.mapInArrow(count_words, "shard long, blob binary").repartition(min(word_shards, MOST_TASKS), "shard").groupBy("shard").applyInPandas(write_words, "shard long, n long, tokens long").collect()
     sizes = np.zeros(word_shards, np.int64)
     for r in found:
         sizes[r.shard] = r.n
@@ -260,6 +281,7 @@ def train(docs: DataFrame, text_col: str = "text", tokens_per_shard: int = 2_000
     starts = tuple(np.r_[0, np.cumsum(sizes)].tolist())
     tokens, v = sum(r.tokens for r in found), int(sizes.sum())
     shards = max(8, -(-tokens // tokens_per_shard))
+    salt = max(SALT, shards // 16)
     stat_range = max(1, -(-(v + 1) // max(1, shards // 2)))
 
     def count_bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,7 +291,7 @@ def train(docs: DataFrame, text_col: str = "text", tokens_per_shard: int = 2_000
             keys, counts = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
             left, right = keys // np.uint64(v + 2), keys % np.uint64(v + 2)
-            return shard_rows(shard_of_bigram(left, right, shards), keys, counts)
+            return shard_rows(shard_of_bigram(left, right, shards, salt), keys, counts)
 
         for _, chunk in text_chunks(batches, 0):
             hashes, lengths = token_hashes(chunk)
@@ -283,7 +305,7 @@ def train(docs: DataFrame, text_col: str = "text", tokens_per_shard: int = 2_000
     def write_bigrams(pdf: pd.DataFrame) -> pd.DataFrame:
         s = int(pdf["shard"].iloc[0])
         keys, counts = merged(pdf["blob"], 2)
-        write_arrays(f"{path}/bigrams-{s}", keys, counts.astype("<u4"))
+        write_arrays(f"{path}/bigrams-{s}", keys, counts, narrow=True)
         left, right = keys // np.uint64(v + 2), keys % np.uint64(v + 2)
         first = np.flatnonzero(np.r_[True, left[1:] != left[:-1]])
         one, two = counts == 1, counts == 2
@@ -297,12 +319,13 @@ def train(docs: DataFrame, text_col: str = "text", tokens_per_shard: int = 2_000
         return pd.DataFrame(rows, columns=["range", "kind", "blob", "types", "n1", "n2", "n3", "n4"])
 
     schema = "range long, kind int, blob binary, types long, n1 long, n2 long, n3 long, n4 long"
-    stats = cut(texts.mapInArrow(count_bigrams, "shard long, blob binary").groupBy("shard").applyInPandas(write_bigrams, schema))
+    counted = texts.mapInArrow(count_bigrams, "shard long, blob binary").repartition(min(shards, MOST_TASKS), "shard")
+    stats = cut(counted.groupBy("shard").applyInPandas(write_bigrams, schema))
     total = stats.where("range < 0").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("types", "n1", "n2", "n3", "n4"))).first()
 
     def write_stats(pdf: pd.DataFrame) -> pd.DataFrame:
         r = int(pdf["range"].iloc[0])
-        dense = [np.zeros(stat_range, "<u8")] + [np.zeros(stat_range, "<u4") for _ in range(4)]
+        dense = [np.zeros(stat_range, "<u8") for _ in range(5)]
         lefts = pdf["blob"][pdf["kind"] == 0]
         if len(lefts):
             ids, *values = merged(lefts, 5)
@@ -312,7 +335,7 @@ def train(docs: DataFrame, text_col: str = "text", tokens_per_shard: int = 2_000
         if len(rights):
             ids, types = merged(rights, 2)
             dense[4][ids.astype(np.int64) - r * stat_range] = types
-        write_arrays(f"{path}/stats-{r}", *dense)
+        write_arrays(f"{path}/stats-{r}", *dense, narrow=True)
         return pd.DataFrame([(r, *(int((dense[4] == k).sum()) for k in (1, 2, 3, 4)), int((dense[4] > 2).sum()))], columns=["range", "m1", "m2", "m3", "m4", "more"])
 
     ranges = stats.where("range >= 0").groupBy("range").applyInPandas(write_stats, "range long, m1 long, m2 long, m3 long, m4 long, more long").collect()
@@ -323,7 +346,7 @@ def train(docs: DataFrame, text_col: str = "text", tokens_per_shard: int = 2_000
     missing = set(range(shards)) - {int(f.split("-")[1]) for f in os.listdir(path) if f.startswith("bigrams-") and "." not in f}
     for s in missing:
         write_arrays(f"{path}/bigrams-{s}", np.empty(0, "<u8"), np.empty(0, "<u4"))
-    return Model(path, word_shards, starts, tokens, shards, stat_range, discounts, below, types, free)
+    return Model(path, word_shards, starts, tokens, shards, salt, stat_range, discounts, below, types, free)
 
 
 def estimate(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -341,20 +364,17 @@ class Scorer:
     def __init__(self, model: Model):
         self.m = model
         self.vocab = vocabulary(model.path, model.word_shards, model.starts)
-        self.bigrams = [Mapped(f"{model.path}/bigrams-{s}", ("<u8", "<u4")) for s in range(model.bigram_shards)]
-        ranges = -(-(model.vocabulary + 1) // model.stat_range)
-        have = [f"{model.path}/stats-{r}" for r in range(ranges)]
-        self.stats = [Mapped(p, ("<u8", "<u4", "<u4", "<u4", "<u4")) if os.path.exists(p) else None for p in have]
+        self.ranges = -(-(model.vocabulary + 1) // model.stat_range)
 
     def statistics(self, ids: np.ndarray) -> list[np.ndarray]:
         """Left total, N1, N2, N3+ and continuation count of sorted ids; zeros for -1."""
         out = [np.zeros(len(ids)) for _ in range(5)]
         r = self.m.stat_range
-        bounds = np.searchsorted(ids, np.arange(len(self.stats) + 1) * r)
-        for k, file in enumerate(self.stats):
-            a, b = bounds[k], bounds[k + 1]
-            if a < b and file is not None:
-                for o, x in zip(out, file.arrays, strict=True):
+        bounds = np.searchsorted(ids, np.arange(self.ranges + 1) * r)
+        for k in np.flatnonzero(bounds[:-1] < bounds[1:]).tolist():
+            a, b, path = bounds[k], bounds[k + 1], f"{self.m.path}/stats-{k}"
+            if os.path.exists(path):  # a range that no word of a bigram falls into has no file
+                for o, x in zip(out, mapped(path, ("<u8", "<u4", "<u4", "<u4", "<u4")).arrays, strict=True):
                     o[a:b] = x[ids[a:b] - k * r]
         return out
 
@@ -363,13 +383,13 @@ class Scorer:
         out = np.zeros(len(left), np.int64)
         known = np.flatnonzero((left >= 0) & (right >= 0))
         key = left[known].astype(np.uint64) * np.uint64(self.m.vocabulary + 2) + right[known].astype(np.uint64)
-        shard = shard_of_bigram(left[known], right[known], self.m.bigram_shards)
+        shard = shard_of_bigram(left[known], right[known], self.m.bigram_shards, self.m.salt)
         order = np.lexsort((key, shard))
         bounds = np.searchsorted(shard[order], np.arange(self.m.bigram_shards + 1))
-        for s, file in enumerate(self.bigrams):
+        for s in np.flatnonzero(bounds[:-1] < bounds[1:]).tolist():
             pick = order[bounds[s] : bounds[s + 1]]
-            held, count = file.arrays
-            if len(pick) and len(held):
+            held, count = mapped(f"{self.m.path}/bigrams-{s}", ("<u8", "<u4")).arrays
+            if len(held):
                 at = np.minimum(np.searchsorted(held, key[pick]), len(held) - 1)
                 out[known[pick]] = np.where(held[at] == key[pick], count[at], 0)
         return out
