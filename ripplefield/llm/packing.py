@@ -8,14 +8,16 @@
 3. Each block is evolved by several islands, one row ``(block, island)`` each, on any executor.  A genome is
    a grouping of pieces into sequences.  Crossover injects whole well-filled sequences of one parent into
    the other, removes the sequences that hold duplicates of the injected pieces, and best-fits the
-   displaced ones.  Between epochs the elite of every island migrates to the next island of its block.
+   displaced ones.  Between epochs the elite of every island migrates to the next island of its block; blocks
+   with a grouping at the lower bound take no part in further epochs.
 4. The best grouping of a block's islands places its pieces.
 
 Randomness is seeded by block, island and epoch, and the pieces are written to the shared folder first, so
 that a lost executor's work is redone alike.
 
 Defined cases: null and empty texts pack as the separator alone; repeated rows are packed each; null ids are
-carried; other columns are not read.
+carried; very long texts are encoded in slices; an empty table gives no rows; other columns, whatever their
+names, are not read.
 """
 
 from __future__ import annotations
@@ -117,6 +119,10 @@ class Search:
     def fill(self, group: np.ndarray) -> np.ndarray:
         return np.bincount(group, weights=self.lengths).astype(np.int64)
 
+    def spare(self, people: list[np.ndarray]) -> int:
+        """Groups of the best that are beyond the lower bound."""
+        return -self.fitness(people[0])[0] - self.bound if people else 0
+
     def fitness(self, group: np.ndarray) -> tuple[int, float]:
         """Fewer groups first, then fuller ones: larger is better."""
         fill = self.fill(group)
@@ -195,22 +201,26 @@ def _unpack(blob: bytes, n: int) -> list[np.ndarray]:
     return list(np.frombuffer(blob, "<i4").reshape(-1, n).copy()) if n else []
 
 
-STATE = "block long, island int, lengths binary, people binary, elite binary"
+STATE = "block long, island int, lengths binary, people binary, elite binary, spare int"
+COLUMNS = ["block", "island", "lengths", "people", "elite", "spare"]
+#: Tasks that start islands, at most; each takes one block after the other.
+MOST_TASKS = 20_000
 
 
-def islands(dealt: DataFrame, capacity: int, ev: Evolution) -> DataFrame:
-    """One row ``(block, island)`` each with the lengths in canonical order and its population."""
+def islands(dealt: DataFrame, blocks: int, capacity: int, ev: Evolution) -> DataFrame:
+    """One row ``(block, island)`` each with the lengths in canonical order, its population and its spare groups."""
 
     def start(pdf: pd.DataFrame) -> pd.DataFrame:
         lengths = np.sort(pdf["length"].to_numpy())[::-1].copy()
         rows = []
         for k in range(ev.islands):
             search = Search(lengths, capacity, np.random.default_rng([ev.seed, int(pdf["block"].iloc[0]), k]))
-            people = search.start(ev.population)
-            rows.append((int(pdf["block"].iloc[0]), k, lengths.astype("<i4").tobytes(), _pack(people), _pack(people[:1])))
-        return pd.DataFrame(rows, columns=["block", "island", "lengths", "people", "elite"])
+            people = sorted(search.start(ev.population), key=search.fitness, reverse=True)
+            rows.append((int(pdf["block"].iloc[0]), k, lengths.astype("<i4").tobytes(), _pack(people), _pack(people[:1]), search.spare(people)))
+        return pd.DataFrame(rows, columns=COLUMNS)
 
-    return dealt.select("block", "length").groupBy("block").applyInPandas(start, STATE)
+    tasks = min(MOST_TASKS, -(-blocks // 2))  # a stated number, else small rows of all blocks are merged into one task
+    return dealt.select("block", "length").repartition(tasks, "block").groupBy("block").applyInPandas(start, STATE)
 
 
 def epoch(state: DataFrame, capacity: int, ev: Evolution, number: int) -> DataFrame:
@@ -226,8 +236,8 @@ def epoch(state: DataFrame, capacity: int, ev: Evolution, number: int) -> DataFr
                 search = Search(lengths, capacity, np.random.default_rng([ev.seed, r.block, r.island, number]))
                 people = _unpack(r.people, len(lengths)) + _unpack(r.guest, len(lengths))
                 people = search.evolve(people, ev.generations, ev.children)[: ev.population]
-                rows.append((r.block, r.island, r.lengths, _pack(people), _pack(people[:1])))
-            yield pd.DataFrame(rows, columns=["block", "island", "lengths", "people", "elite"])
+                rows.append((r.block, r.island, r.lengths, _pack(people), _pack(people[:1]), search.spare(people)))
+            yield pd.DataFrame(rows, columns=COLUMNS)
 
     return met.mapInPandas(each, STATE)
 
@@ -249,9 +259,12 @@ def pack(
     part = numbered.where(F.col("length") < capacity)
     blocks = max(1, -(-part.count() // ev.block))
     dealt = part.withColumn("block", F.pmod(F.xxhash64("rid"), F.lit(blocks)))
-    state = islands(dealt, capacity, ev)
+    state = cut(islands(dealt, blocks, capacity, ev))
     for k in range(ev.epochs):
-        state = epoch(cut(state), capacity, ev, k)
+        unsettled = state.groupBy("block").agg(F.min("spare").alias("least")).where("least > 0").select("block")
+        if unsettled.isEmpty():  # every block has a grouping at its lower bound
+            break
+        state = cut(state.join(unsettled, "block", "left_anti").unionByName(epoch(state.join(unsettled, "block"), capacity, ev, k)))
     best = state.select("block", "elite")
     kind = dict(cutted.dtypes)["doc_id"]
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
