@@ -11,7 +11,8 @@ corpus; their sparse features, not their texts, reach the driver).  Scoring read
 
 Defined cases: null and empty texts have no features and score by the thresholds alone; unrated documents
 are scored all the same; ratings of missing documents are ignored; without any rating all weights are 0 and
-the thresholds 0, 1, ..; with one grade only, that grade is likely for all; repeated rows are scored each; other columns are not read.
+the thresholds 0, 1, ..; with one grade only, that grade is likely for all; repeated rows are scored each; very long texts are read in slices; an empty table gives no rows; other
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -140,11 +141,13 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, top: int,
 
 
 def rated_sample(docs: DataFrame, ratings: DataFrame, id_col: str, text_col: str, most_labelled: int) -> DataFrame:
-    """Texts and grades of at most ``most_labelled`` rated documents, by MD5 of the id."""
-    order = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
-    chosen = ratings.where(F.col("grade").isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max("grade").alias("grade"))
-    chosen = chosen.orderBy(order).limit(most_labelled).withColumnRenamed(id_col, "rated_id")
-    return docs.join(F.broadcast(chosen), F.col(id_col) == F.col("rated_id")).select(F.col("rated_id").alias("id"), "grade", F.col(text_col).cast("string").alias("text"))
+    """Texts and grades of at most ``most_labelled`` rated documents, by MD5 of the id; of a repeated id the least text."""
+    order = F.md5(F.col("rated_id").cast("string").cast("binary"))
+    chosen = ratings.select(F.col(id_col).alias("rated_id"), F.col("grade").alias("rated_grade")).where("rated_grade is not null and rated_id is not null")
+    chosen = chosen.groupBy("rated_id").agg(F.max("rated_grade").alias("rated_grade")).orderBy(order).limit(most_labelled)
+    texts = docs.select(F.col(id_col).alias("own_id"), F.col(text_col).cast("string").alias("text"))
+    met = texts.join(F.broadcast(chosen), F.col("own_id") == F.col("rated_id"))
+    return met.groupBy(F.col("rated_id").alias("id"), F.col("rated_grade").alias("grade")).agg(F.min("text").alias("text"))
 
 
 def train(docs: DataFrame, ratings: DataFrame, top: int, id_col: str = "doc_id", text_col: str = "text", most_labelled: int = 6000) -> Model:

@@ -166,3 +166,90 @@ def test_ordinal_probabilities():
 
 def test_ordinal_on_real_rows(spark, sf):
     assert queries.op7_ordinal_quality(spark, sf).count() == len(real_rows(sf))
+
+
+CLASHES = ("toxic", "mark", "label_id", "own_id", "grade", "rated_id", "rated_grade", "score", "tails", "expected_grade", "id", "held_out")
+
+
+def test_models_with_clashing_columns(spark, tmp_path):
+    rows, labels = labelled(300)
+    d = write_tables(spark, str(tmp_path), rows, labels=labels)
+    docs, marks = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    odd = docs.select("*", *(ordinal.F.lit("own").alias(c) for c in CLASHES))
+    plain, same = (toxicity.train(x, marks) for x in (docs, odd))
+    assert plain.toxic == same.toxic and plain.weights == same.weights
+    assert toxicity.score(odd, same).count() == len(rows)
+    grades = ordinal.graded(marks).withColumn("rated_grade", ordinal.F.lit(7)).withColumn("own_id", ordinal.F.lit(7))
+    a, b = (ordinal.train(x, grades, top=2) for x in (docs, odd))
+    assert (a.weights == b.weights).all() and ordinal.score(odd, a).count() == len(rows)
+
+
+def test_samples_are_bounded_by_ids_whatever_repeats(spark):
+    docs = spark.range(20_000).selectExpr("case when id % 2 = 0 then 1 else id end as doc_id", "concat('text ', id % 3) as text")
+    marks = spark.range(200).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic", "cast(id % 3 as int) as grade")
+    toxic, ordinary = toxicity.sample(docs, marks, "doc_id", "text", 10, 10)
+    assert len(toxic) <= 10 and len(ordinary) <= 10
+    assert ordinal.rated_sample(docs, marks, "doc_id", "text", 25).count() <= 25
+
+
+def test_toxicity_scores_are_those_of_the_lengths(spark, tmp_path):
+    """Scores from the model's two dictionaries by plain compression, window by window."""
+    import zstandard
+
+    rows, labels = labelled(300)
+    d = write_tables(spark, str(tmp_path), rows + AWKWARD, labels=labels)
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    model = toxicity.train(docs, spark.read.parquet(f"{d}/labels.parquet"))
+    params = zstandard.ZstdCompressionParameters.from_level(3, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+    def length(raw, content):
+        held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        held.precompute_compress(compression_params=params)
+        return len(zstandard.ZstdCompressor(dict_data=held, compression_params=params).compress(raw))
+
+    def saved(raw):
+        return length(raw, model.ordinary) - length(raw, model.ordinary + model.toxic)
+
+    def want(text):
+        w = [x[i : i + 256] for x in (text or "").lower().encode().split() for i in range(0, len(x), 256)]
+        wins = [b" " + b" ".join(w[i : i + 8]) + b" " for i in range(0, len(w), 8)]
+        gain = [saved(x) for x in wins]
+        best = sorted(range(len(wins)), key=lambda i: (-gain[i], i))
+        top = [gain[i] for i in best[:4]] + [0] * 4
+        joined = saved(b"".join(wins[i] for i in sorted(best[:8]))) if wins else 0
+        told, n = sum(g >= 3 for g in gain), len(wins) or 1
+        x = [1, *top[:4], joined, math.log1p(told), 10 * told / n, math.log1p(len(wins)), min(sum(gain) / n, 5)]
+        return 1 / (1 + math.exp(-max(-30, min(30, sum(a * b for a, b in zip(x, model.weights, strict=True))))))
+
+    some = {r[0]: r[1] for r in rows[:20] + AWKWARD[:4]}
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect() if r.doc_id in some}
+    for i, t in some.items():
+        if i is not None and i > 13:
+            assert got[i] == pytest.approx(want(t), rel=1e-9)
+
+
+def test_ordinal_scores_are_those_of_the_weights(spark, tmp_path):
+    """Grades from the model's weights by a plain walk over words and shapes."""
+    import re
+
+    import xxhash
+
+    rows, labels = labelled(300)
+    d = write_tables(spark, str(tmp_path), rows, labels=labels)
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    model = ordinal.train(docs, ordinal.graded(spark.read.parquet(f"{d}/labels.parquet")), top=2)
+    half = ordinal.SIZE // 2
+
+    def want(text):
+        w, s = text.encode().split(), 0.0
+        for x in w:
+            shape = re.sub(rb"(.)\1+", rb"\1\1", re.sub(rb"[a-z]", b"a", re.sub(rb"[A-Z]", b"\x00", x)).replace(b"\x00", b"A"))[:12]
+            s += (model.weights[xxhash.xxh64_intdigest(x.lower()) % half * 2] + model.weights[xxhash.xxh64_intdigest(shape) % half * 2 + 1]) / len(w)
+        classes = (len(w).bit_length(), 10 * len(set(w)) // len(w), 0)
+        s += sum(0.5 * model.weights[xxhash.xxh64_intdigest(b"class %d %d" % kc) % half * 2 + 1] for kc in enumerate(classes))
+        tails = [1 - 1 / (1 + math.exp(s - t)) for t in model.thresholds]
+        return sum(tails)
+
+    got = {r.doc_id: r.expected_grade for r in ordinal.score(docs, model).collect()}
+    for i, t, *_ in rows[:60]:
+        assert got[i] == pytest.approx(want(t), rel=1e-4, abs=1e-5)
