@@ -13,7 +13,8 @@ Counts of a document add up to its tokens under every rule; tokens in no section
 
 Defined cases: null and empty texts have one empty section 0 without tokens; lines are closed by their
 ``\\n``, which belongs to the line before it; repeated rows give repeated results; characters are code
-points, and a token that holds a part of a character touches that character; other columns are not read.
+points, and a token that holds a part of a character touches that character; other columns are not read;
+very long texts are encoded in slices; an empty table gives no rows.
 """
 
 from __future__ import annotations

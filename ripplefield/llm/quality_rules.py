@@ -10,7 +10,8 @@ source nor a group of copies can skew it; memory is a small multiple of the long
 
 Defined cases: null and empty texts count as zero words and fail ``few_words``; repeated rows are
 judged row by row; ids may be null; other columns pass through (``ledger`` adds one struct column under
-a name that is still free).  Three-word windows are compared by 64-bit hashes.
+a name that is still free).  Three-word windows are compared by 64-bit hashes.  An empty table gives no rows; the
+words of one text are held at a time, so a very long text costs memory in proportion to its words.
 """
 
 from __future__ import annotations

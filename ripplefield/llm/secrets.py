@@ -12,6 +12,7 @@ pass yields text and place of each match.  Everything is DataFrame expressions o
 
 Defined cases: null text is empty and has no spans; repeated rows are scanned row by row; other columns
 pass through.  Matches are leftmost and non-overlapping per kind; spans of two kinds may overlap.
+An empty table gives no rows; a very long text is matched whole, its spans found in linear memory.
 """
 
 from __future__ import annotations

@@ -18,7 +18,7 @@ they share such a key, and a key has at most 65 distinct fingerprints.  No link
 
 Defined cases: null and empty texts have fingerprint zero and link like any other; texts with fewer words
 than a shingle use their whole word sequence; repeated rows share a component; a component of null ids
-only has a null id.
+only has a null id; very long texts are hashed in slices; an empty table gives no rows; other columns are not read.
 
 ``one_of_each`` works by similarity instead of bits: texts whose sets of 5-word shingles reach a Jaccard
 similarity of 0.8 are linked.  Candidates are probed as above over fingerprints of the sets and verified by

@@ -102,7 +102,7 @@ def check_packed(got, rows):
 
 def test_awkward_rows_and_clashing_columns(spark, sf):
     docs = spark.createDataFrame(AWKWARD, SCHEMA).repartition(3)
-    for c in ("ledger", "spans", "postings", "topic", "tokens", "probability", "sampled", "fp", "row_hash", "row", "key", "root", "text_", "at_id", "cell_source__"):
+    for c in ("ledger", "spans", "postings", "topic", "tokens", "probability", "sampled", "fp", "row_hash", "row", "key", "root", "text_", "at_id", "cell_source", "key__", "have__", "n", "w", "total", "judged_id"):
         docs = docs.withColumn(c, mixing.F.lit("own"))
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, sf)
