@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ripplefield.llm import mixing, quality_rules, secrets
+from ripplefield.llm import chat, mixing, quality_rules, secrets
 
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -49,4 +49,21 @@ s AS (SELECT doc_id, list_sort(flatten([{', '.join(lists)}])) AS s FROM m)
 SELECT doc_id, {count}, sha256({text(base)}) AS base_sha256, {text('s')} AS spans FROM s"""
 
 
-ORACLES = {"op1_quality_rules": quality(), "op8_secret_scan": secret_spans(), "op9_source_mixing": mixing.oracle()}
+def lexical_search() -> str:
+    """Scores of all documents for every item, without an index."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    terms = f"regexp_extract_all(translate(text, '{upper}', '{upper.lower()}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+    return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {terms} AS t FROM documents),
+s AS (SELECT rid, doc_id, len(t) AS n FROM d WHERE len(t) > 0),
+c AS (SELECT count(*) AS docs, sum(n) AS tokens FROM s),
+p AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(t) AS term FROM d) GROUP BY rid, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY term), c),
+m AS (SELECT rid, doc_id, 75 + (25 * n * docs) // tokens AS m FROM s, c),
+q AS (SELECT row_number() OVER () AS q, item_id, {terms} AS t FROM benchmark),
+a AS (SELECT q, item_id, term, count(*) AS k FROM (SELECT q, item_id, unnest(t) AS term FROM q) GROUP BY q, item_id, term),
+r AS (SELECT q, item_id, doc_id, rid, sum(k * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS score FROM a JOIN w USING (term) JOIN p USING (term) JOIN m USING (rid) GROUP BY q, item_id, doc_id, rid),
+o AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM r WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, CAST(score AS BIGINT) AS score FROM o WHERE rank <= 20"""
+
+
+ORACLES = {"op1_quality_rules": quality(), "op8_secret_scan": secret_spans(), "op9_source_mixing": mixing.oracle(), "op11_chat_formatting": chat.oracle(), "op13_lexical_search": lexical_search()}

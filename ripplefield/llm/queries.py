@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplefield.llm import attribution, media, mixing, ngram, oracles, ordinal, packing, quality_rules, secrets, simhash, toxicity
+from ripplefield.llm import attribution, chat, lexical, media, mixing, ngram, oracles, ordinal, packing, quality_rules, secrets, simhash, toxicity, whitening
 from ripplefield.llm.common import crc_bucket
 
 
@@ -105,6 +105,30 @@ def op10_simhash_near_dedup(spark, sf_dir):
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_chat_formatting(spark, sf_dir):
+    """Every conversation, and one that is made of control strings, formatted and read back."""
+    convs = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    own = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+    return chat.read_back(chat.format_turns(convs.union(own)))
+
+
+def op12_embedding_whitening(spark, sf_dir):
+    """The first 16 whitened components of every vector."""
+    rows = whitening.integer_rows(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return whitening.whiten(rows, whitening.fit(rows, components=16))
+
+
+def op13_lexical_search(spark, sf_dir):
+    """The 20 best documents of every benchmark item."""
+    index = lexical.build(_docs(spark, sf_dir))
+    return lexical.search(index, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_toxicity": op2_toxicity,
@@ -116,6 +140,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_source_mixing": op9_source_mixing,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_chat_formatting": op11_chat_formatting,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 ORACLES: dict[str, str] = dict(oracles.ORACLES)
