@@ -40,13 +40,15 @@ from ripplefield.llm.common import slices, text_of, written
 FOLD = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256)).lower()
 
 #: A shard is closed at so many documents or bytes of text; a block holds at most so many postings.
-SHARD_DOCS, SHARD_BYTES, LONGEST_BLOCK = 8192, 16_000_000, 96
+SHARD_DOCS, SHARD_BYTES, LONGEST_BLOCK = 8192, 8_000_000, 96
 #: Price of a block, as a share of the list's largest impact.
 BLOCK_PRICE = 3.0
 #: A block whose documents lie further apart than this on average is sparse.
 SPARSE = 4
-#: So many terms or queries are searched in one go; further ones in further goes.
+#: So many queries are searched in one go; further ones in further goes.
 QUERIES_AT_ONCE = 20_000
+#: So many terms of queries are joined by broadcast, more by shuffle.
+BROADCAST_TERMS = 500_000
 
 
 def terms_of(text: str | None, size: int | None = None) -> Iterator[list[bytes]]:
@@ -230,10 +232,12 @@ def _arrays(row: pa.RecordBatch, *names: str) -> list[np.ndarray]:
     return found
 
 
-def frequencies(index: Index, terms: DataFrame) -> DataFrame:
-    """``(term, df)`` of the given terms: one row a shard and term is shuffled."""
+def frequencies(index: Index, vocabulary: list[bytes]) -> DataFrame:
+    """``(term, df)`` of the given distinct terms: one row a task and term is shuffled."""
+    terms = index.shards.sparkSession.createDataFrame([(bytearray(t),) for t in vocabulary], "term binary")
+    terms = F.broadcast(terms) if len(vocabulary) <= BROADCAST_TERMS else terms
     lists = index.shards.select(F.explode(F.arrays_zip("terms", "sizes")).alias("p")).select(F.col("p.terms").alias("term"), F.col("p.sizes").alias("size"))
-    return lists.join(terms.distinct(), "term", "left_semi").groupBy("term").agg(F.sum("size").alias("df"))
+    return lists.join(terms, "term", "left_semi").groupBy("term").agg(F.sum("size").alias("df"))
 
 
 def weight(documents: int, df: int) -> int:
@@ -362,8 +366,7 @@ def _search_once(index: Index, rows: list, k: int, kind: str) -> DataFrame:
         if counts:
             counted[r.q] = counts
     vocabulary = sorted({t for c in counted.values() for t in c})
-    terms = spark.createDataFrame([(bytearray(t),) for t in vocabulary], "term binary")
-    df = {bytes(r.term): r.df for r in frequencies(index, terms).collect()}  # bounded by the queries' terms
+    df = {bytes(r.term): r.df for r in frequencies(index, vocabulary).collect()}  # bounded by the queries' terms
     plans = {q: [(t, c * weight(n, df[t])) for t, c in counts.items() if t in df] for q, counts in counted.items()}
     shared = spark.sparkContext.broadcast((plans, sorted(df)))
 
