@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ripplefield.operators.kernels import map_channel
+from ripplefield.operators.chunks import CHUNK, Piece, Recurrence, cut, long_form, scan
 from ripplefield.operators.recurrence import varying_one_pole
 
 DETECTORS = ("peak", "rms", "hybrid")
@@ -58,9 +58,37 @@ def follow_detector(d: np.ndarray, sample_rate: float, attack_ms: float, release
     return out
 
 
-def envelope(df: DataFrame, sample_rate: float, attack_ms: float, release_ms: float, method: str = "peak") -> DataFrame:
+def follower(df: DataFrame, sample_rate: float, attack_ms: float, release_ms: float, method: str = "peak", chunk: int = CHUNK) -> DataFrame:
+    """Adds the follower of every channel as ``e``, for clips of any length.
+
+    Its coefficient varies by sample with the detector, which sees its window through the chunk's halo; given the
+    coefficients the follower is affine in its last value, so chunks are a prefix scan of (product, offset).
+    """
+    up, down = (math.exp(-1 / (t / 1000 * sample_rate)) for t in (attack_ms, release_ms))
+    halo = 1 if method == "peak" else rms_samples(sample_rate)
+
+    def coefficients(p: Piece) -> tuple[np.ndarray, np.ndarray]:
+        skip = p.row["skip"]
+        d = detector(p.arrays["v"][: skip + p.row["own"]], sample_rate, method)
+        own = d[skip:]
+        c = np.where(own > np.r_[d[skip - 1] if skip else 0.0, own[:-1]], up, down)
+        return c, (1 - c) * own
+
+    def drive(p: Piece) -> tuple[float, float]:
+        c, b = coefficients(p)
+        return np.prod(c), varying_one_pole(c, b)[-1]
+
+    def run(p: Piece, z: np.ndarray | None) -> dict:
+        return {"v": p.own(), "e": varying_one_pole(*coefficients(p), 0.0 if z is None else z[0]), "first": p.row["first"]}
+
+    arrays = cut(df, chunk, halo, 1)
+    last = F.size("v") <= F.col("skip") + F.col("own")
+    return long_form(scan(arrays, Recurrence(1, drive, run), "v array<double>, e array<double>, first long", last), "v", "e")
+
+
+def envelope(df: DataFrame, sample_rate: float, attack_ms: float, release_ms: float, method: str = "peak", chunk: int = CHUNK) -> DataFrame:
     """The follower of every channel."""
-    return map_channel(df, lambda x: follow(x, sample_rate, attack_ms, release_ms, method))
+    return follower(df, sample_rate, attack_ms, release_ms, method, chunk).select("clip_id", "ch", "idx", F.col("e").alias("v"))
 
 
 @dataclass(frozen=True)
@@ -135,33 +163,35 @@ def level_db(v: Column) -> Column:
     return 20 * F.log10(F.greatest(v, F.lit(FLOOR)))
 
 
-def _controlled(df: DataFrame, control: DataFrame, gain, c: Dynamics, sample_rate: float) -> DataFrame:
+def _controlled(df: DataFrame, sidechain: DataFrame | None, gain, c: Dynamics, sample_rate: float, chunk: int) -> DataFrame:
+    """The gain follows the signal itself, without a join, or a side chain, joined by sample."""
     keys = ["clip_id", "ch", "idx"]
-    env = envelope(control, sample_rate, c.attack_ms, c.release_ms, c.detection).withColumnRenamed("v", "e__")
-    both = df.join(env, keys)
-    return both.select(*keys, (F.col("v") * F.pow(F.lit(10.0), (c.makeup_db - gain(level_db(F.col("e__")), c)) / 20)).alias("v"))
+    both = follower(df if sidechain is None else sidechain, sample_rate, c.attack_ms, c.release_ms, c.detection, chunk)
+    if sidechain is not None:
+        both = df.select(*keys, "v").join(both.select(*keys, "e"), keys)
+    return both.select(*keys, (F.col("v") * F.pow(F.lit(10.0), (c.makeup_db - gain(level_db(F.col("e")), c)) / 20)).alias("v"))
 
 
-def apply_compressor(df, c: Dynamics, sample_rate, sidechain: DataFrame | None = None) -> DataFrame:
+def apply_compressor(df, c: Dynamics, sample_rate, sidechain: DataFrame | None = None, chunk: int = CHUNK) -> DataFrame:
     """Compress by the signal's own level, or by that of a side chain of the same shape."""
-    return _controlled(df, sidechain if sidechain is not None else df, compression_gain, c, sample_rate)
+    return _controlled(df, sidechain, compression_gain, c, sample_rate, chunk)
 
 
-def apply_limiter(df, c: Dynamics, sample_rate, sidechain: DataFrame | None = None) -> DataFrame:
-    return _controlled(df, sidechain if sidechain is not None else df, limiting_gain, c, sample_rate)
+def apply_limiter(df, c: Dynamics, sample_rate, sidechain: DataFrame | None = None, chunk: int = CHUNK) -> DataFrame:
+    return _controlled(df, sidechain, limiting_gain, c, sample_rate, chunk)
 
 
-def apply_gate(df, c: Dynamics, sample_rate) -> DataFrame:
-    return _controlled(df, df, gate_gain, c, sample_rate)
+def apply_gate(df, c: Dynamics, sample_rate, chunk: int = CHUNK) -> DataFrame:
+    return _controlled(df, None, gate_gain, c, sample_rate, chunk)
 
 
-def apply_expander(df, c: Dynamics, sample_rate) -> DataFrame:
-    return _controlled(df, df, expander_gain, c, sample_rate)
+def apply_expander(df, c: Dynamics, sample_rate, chunk: int = CHUNK) -> DataFrame:
+    return _controlled(df, None, expander_gain, c, sample_rate, chunk)
 
 
-def gain_reduction(df, c: Dynamics, sample_rate) -> DataFrame:
+def gain_reduction(df, c: Dynamics, sample_rate, chunk: int = CHUNK) -> DataFrame:
     """Reduction in dB of every sample of the first channel."""
-    env = envelope(df.where("ch = 0"), sample_rate, c.attack_ms, c.release_ms, c.detection)
+    env = envelope(df.where("ch = 0"), sample_rate, c.attack_ms, c.release_ms, c.detection, chunk)
     return env.withColumn("v", compression_gain(level_db(F.col("v")), c))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ripplefield.functions import draws
+from ripplefield.operators.chunks import recursive_filter
 from ripplefield.operators.kernels import map_channel
 
 
@@ -201,9 +202,8 @@ def add_noise(df: DataFrame, snr_db: float, color: str = "white", seed: int = 0,
     if color not in ("pink", "brown"):
         raise ValueError("color must be white, pink or brown")
     poles = {"pink": 0.95, "brown": 0.999}[color]
-    from ripplefield.operators.recurrence import one_pole
-
-    noise = map_channel(df.withColumn("v", draws.gaussian(*keys)), lambda x: one_pole(x, poles) * math.sqrt(1 - poles**2))
+    one_pole = np.array([[math.sqrt(1 - poles**2), 0.0, 0.0, 1.0, -poles, 0.0]])
+    noise = recursive_filter(df.withColumn("v", draws.gaussian(*keys)), one_pole)
     both = df.withColumn("l__", level).join(noise.withColumnRenamed("v", "w__"), ["clip_id", "ch", "idx"])
     return both.select("clip_id", "ch", "idx", (F.col("v") + F.col("l__") * F.col("w__")).alias("v"))
 

@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ripplefield.operators.chunks import recursive_filter
 from ripplefield.operators.kernels import map_channel
 from ripplefield.operators.recurrence import biquad
 
@@ -129,14 +130,7 @@ def low_pass(df: DataFrame, cutoff: float, sample_rate: float) -> DataFrame:
     """One pole: ``y = a x + (1 - a) y'`` with a = 2 pi fc / sr and y[0] = x[0]; diverges for fc > sr / pi."""
     _checked(cutoff, sample_rate)
     a = 2 * math.pi * cutoff / sample_rate
-
-    def kernel(x: np.ndarray) -> np.ndarray:
-        if not len(x):
-            return x
-        rest, _ = biquad(x[1:], (a, 0.0, 0.0), (1.0, a - 1, 0.0), np.array([(1 - a) * x[0], 0.0]))
-        return np.r_[x[0], rest]
-
-    return map_channel(df, kernel)
+    return recursive_filter(df, np.array([[a, 0.0, 0.0, 1.0, a - 1, 0.0]]), start=lambda x: np.array([(1 - a) * x, 0.0]))
 
 
 def high_pass(df: DataFrame, cutoff: float, sample_rate: float) -> DataFrame:
@@ -144,11 +138,7 @@ def high_pass(df: DataFrame, cutoff: float, sample_rate: float) -> DataFrame:
     _checked(cutoff, sample_rate)
     rc, dt = 1 / (2 * math.pi * cutoff), 1 / sample_rate
     a = rc / (rc + dt)
-
-    def kernel(x: np.ndarray) -> np.ndarray:
-        return biquad(x - x[0], (a, -a, 0.0), (1.0, -a, 0.0))[0] if len(x) else x
-
-    return map_channel(df, kernel)
+    return recursive_filter(df, np.array([[a, -a, 0.0, 1.0, -a, 0.0]]), start=lambda x: np.array([-a * x, 0.0]))
 
 
 def band_pass(df: DataFrame, low: float, high: float, sample_rate: float) -> DataFrame:

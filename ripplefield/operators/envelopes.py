@@ -6,8 +6,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ripplefield.operators import chunks
+from ripplefield.operators.chunks import CHUNK
+from ripplefield.operators.dynamics import envelope
 from ripplefield.operators.frames import frame_aggregate
-from ripplefield.operators.kernels import map_channel, table_channel
+from ripplefield.operators.kernels import map_channel
 
 
 def amplitude_envelope(df: DataFrame) -> DataFrame:
@@ -38,15 +41,11 @@ def analytic_envelope(df: DataFrame) -> DataFrame:
     return map_channel(df, lambda x: np.hypot(x, hilbert(x)))
 
 
-def attack_decay_envelope(df: DataFrame, sample_rate: float, attack_ms: float, release_ms: float, method: str = "peak") -> DataFrame:
+def attack_decay_envelope(df: DataFrame, sample_rate: float, attack_ms: float, release_ms: float, method: str = "peak", chunk: int = CHUNK) -> DataFrame:
     """The follower's value, latched in one track while it rises and in the other while it falls: ``(attack, decay)``."""
-    from ripplefield.operators.dynamics import follow
-
-    def kernel(x: np.ndarray) -> dict:
-        e = follow(x, sample_rate, attack_ms, release_ms, method)
-        rising = np.diff(e, prepend=0.0) > 0
-        at = np.arange(len(e))
-        held = lambda mask: np.where((k := np.maximum.accumulate(np.where(mask, at, -1))) >= 0, e[np.maximum(k, 0)], 0.0)
-        return {"idx": at, "attack": held(rising), "decay": held(~rising)}
-
-    return table_channel(df, kernel, "idx long, attack double, decay double")
+    e = envelope(df, sample_rate, attack_ms, release_ms, method, chunk)
+    # the value before comes with the chunk's halo
+    pairs = chunks.windowed(e, lambda w: F.struct("v", (F.col("v") > F.coalesce(F.lag("v").over(w), F.lit(0.0))).alias("up")), 1, 0, chunk)
+    v, up = F.col("v.v"), F.col("v.up")
+    held = chunks.latest(pairs, chunk, attack=F.when(up, v), decay=F.when(~up, v))
+    return held.select("clip_id", "ch", "idx", F.coalesce("attack", F.lit(0.0)).alias("attack"), F.coalesce("decay", F.lit(0.0)).alias("decay"))

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import DataFrame
 
-from ripplefield.operators.kernels import map_channel
+from ripplefield.operators import chunks
 from ripplefield.operators.recurrence import cascade
 
 FAMILIES = ("butterworth", "chebyshev1", "chebyshev2", "bessel", "elliptic")
@@ -227,27 +227,18 @@ def frequency_response(sections: np.ndarray, frequencies: Sequence[float], sampl
 
 
 def apply_sections(df: DataFrame, sections: np.ndarray) -> DataFrame:
-    """Filter every channel from rest."""
-    return map_channel(df, lambda x: cascade(x, sections)[0])
+    """Filter every channel from rest, over chunks."""
+    return chunks.recursive_filter(df, sections)
 
 
 def apply_iir_filter(df: DataFrame, family: str, response: str, order: int, corner, sample_rate: float, **options) -> DataFrame:
     return apply_sections(df, design(family, response, order, corner, sample_rate, **options))
 
 
-def filtfilt_kernel(x: np.ndarray, sections: np.ndarray) -> np.ndarray:
-    """Forward and backward from rest over an odd extension of six samples a section."""
-    n = min(6 * len(sections), len(x) - 1)
-    if n > 0:
-        x = np.r_[2 * x[0] - x[n:0:-1], x, 2 * x[-1] - x[-2 : -n - 2 : -1]]
-    y = cascade(cascade(x, sections)[0][::-1], sections)[0][::-1]
-    return y[n : len(y) - n] if n > 0 else y
-
-
 def filtfilt(df: DataFrame, family: str, response: str, order: int, corner, sample_rate: float, **options) -> DataFrame:
-    """Zero-phase filter of every channel."""
+    """Zero-phase filter of every channel: forward and backward from rest over an odd extension of six samples a section."""
     sections = design(family, response, order, corner, sample_rate, **options)
-    return map_channel(df, lambda x: filtfilt_kernel(x, sections))
+    return chunks.zero_phase(df, sections, 6 * len(sections))
 
 
 def butterworth_lowpass(df, order, corner, sample_rate):

@@ -1,14 +1,15 @@
-"""Resampling: linear by a join on neighbouring samples, better qualities by a windowed sinc per channel."""
+"""Resampling: linear between neighbouring samples, better qualities by a windowed sinc over chunks."""
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ripplefield.operators.kernels import map_channel
+from ripplefield.operators.chunks import CHUNK, Piece, cut, long_form, map_pieces
 
 
 @dataclass(frozen=True)
@@ -24,6 +25,10 @@ class Sinc:
 QUALITIES = {"medium": Sinc(128, 0.95, "hann"), "high": Sinc(256, 0.95, "blackman")}
 
 
+#: Weights of a polyphase table; beyond it they are computed for each output.
+LARGEST_TABLE = 1 << 22
+
+
 def resample_linear(df: DataFrame, source: int, target: int) -> DataFrame:
     """``ceil(n target / source)`` samples interpolated between neighbours; whole decimation takes every k-th sample.
 
@@ -44,24 +49,45 @@ def resample_linear(df: DataFrame, source: int, target: int) -> DataFrame:
     return out.select("clip_id", "ch", F.col("to").alias("idx"), (F.col("v") + (F.col("nxt") - F.col("v")) * t).alias("v"))
 
 
-def sinc_kernel(x: np.ndarray, source: int, target: int, q: Sinc) -> np.ndarray:
-    """Windowed-sinc interpolation at the output positions; the edges see zeros."""
-    ratio = target / source
-    n = -(-len(x) * target // source)
-    scale = min(1.0, ratio) * q.cutoff
-    half = int(np.ceil(q.taps / 2 / min(1.0, ratio)))
-    at = np.arange(n) / ratio
-    base = np.floor(at).astype(int)
-    padded = np.pad(x, (half, half + 1))
-    k = np.arange(-half + 1, half + 1)
-    out = np.empty(n)
-    for start in range(0, n, 4096):
-        b, t = base[start : start + 4096], at[start : start + 4096]
-        d = t[:, None] - (b[:, None] + k)
-        u = np.clip(0.5 + d / (2 * half), 0, 1)
-        win = 0.5 - 0.5 * np.cos(2 * np.pi * u) if q.window == "hann" else 0.42 - 0.5 * np.cos(2 * np.pi * u) + 0.08 * np.cos(4 * np.pi * u)
-        out[start : start + 4096] = (padded[b[:, None] + k + half] * scale * np.sinc(scale * d) * win).sum(axis=1)
-    return out
+def sinc_half(source: int, target: int, q: Sinc) -> int:
+    """Source samples on each side of an output."""
+    return -(-q.taps * max(source, target) // (2 * target))
+
+
+def sinc_weights(remainders: np.ndarray, source: int, target: int, q: Sinc) -> np.ndarray:
+    """Weights of the source samples around outputs that lie ``remainder / target`` after a source sample."""
+    half, scale = sinc_half(source, target, q), min(1.0, target / source) * q.cutoff
+    d = remainders[:, None] / target - np.arange(-half + 1, half + 1)
+    u = np.clip(0.5 + d / (2 * half), 0, 1)
+    win = 0.5 - 0.5 * np.cos(2 * np.pi * u) if q.window == "hann" else 0.42 - 0.5 * np.cos(2 * np.pi * u) + 0.08 * np.cos(4 * np.pi * u)
+    return scale * np.sinc(scale * d) * win
+
+
+def resample_sinc(df: DataFrame, source: int, target: int, q: Sinc, chunk: int = CHUNK) -> DataFrame:
+    """``ceil(n target / source)`` windowed-sinc outputs, over chunks of the source; beyond the ends lie zeros.
+
+    Both grids are rational: output i lies at ``i source / target``, in exact integers, and belongs to the chunk of
+    the source sample at or before it.  The halo is in source samples; the offsets repeat, so their
+    weights are a polyphase table unless that would be larger than the work itself.
+    """
+    common = math.gcd(source, target)
+    source, target = source // common, target // common
+    half = sinc_half(source, target, q)
+
+    def kernel(p: Piece) -> dict:
+        x, skip, first, own = p.arrays["v"], p.row["skip"], p.row["first"], p.row["own"]
+        padded = np.concatenate([np.zeros(max(0, half - 1 - skip)), x, np.zeros(max(0, half - (len(x) - skip - own)))])
+        windows = np.lib.stride_tricks.sliding_window_view(padded[max(0, skip - half + 1) :], 2 * half)  # of each own sample
+        begin, end = -(-first * target // source), -(-(first + own) * target // source)
+        table = sinc_weights(np.arange(target), source, target, q) if target * 2 * half <= LARGEST_TABLE else None
+        out = np.empty(end - begin)
+        for start in range(begin, end, 4096):
+            at = np.arange(start, min(start + 4096, end)) * source
+            weights = sinc_weights(at % target, source, target, q) if table is None else table[at % target]
+            out[start - begin : start - begin + len(at)] = (windows[at // target - first] * weights).sum(axis=1)
+        return {"v": out, "first": begin}
+
+    return long_form(map_pieces(cut(df, chunk, half, half), kernel, "v array<double>, first long"), "v")
 
 
 def resample(df: DataFrame, source: int, target: int, quality: str = "medium") -> DataFrame:
@@ -70,7 +96,7 @@ def resample(df: DataFrame, source: int, target: int, quality: str = "medium") -
         return resample_linear(df, source, target)
     if quality not in QUALITIES:
         raise ValueError("quality must be fast, medium or high")
-    return map_channel(df, lambda x: sinc_kernel(x, source, target, QUALITIES[quality]))
+    return resample_sinc(df, source, target, QUALITIES[quality])
 
 
 def resample_by_ratio(df: DataFrame, source: int, ratio: float, quality: str = "medium") -> DataFrame:

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ripplefield import sinks
-from ripplefield.operators import chunks, codec, compare, dynamics, editing, eq, filterbanks, hpss, iir, onsets, pitch, psycho, quantise, resampling, spectral
+from ripplefield.operators import chunks, codec, compare, dynamics, editing, envelopes, eq, filterbanks, hpss, iir, onsets, pitch, psycho, quantise, resampling, spectral
 from ripplefield.plans.sqlforms import EMB, EV, ST, Registry, r6, rounded
 from ripplefield.sources import generate
 from ripplefield.sources.tables import embedding_clips, event_clips, stereo_embeddings
@@ -160,8 +160,20 @@ LIN = "SELECT a.clip_id, 0 AS ch, CAST(o AS BIGINT) AS idx, round(a.v + (coalesc
 add("resample_linear_down", lambda s, d: resampling.resample(embedding_clips(s, d), 44100, 16000, "fast"), f"WITH {EMB} {LIN.format(s=441, t=160, n=24)}", "v")
 add("resample_linear_up", lambda s, d: resampling.resample(embedding_clips(s, d), 64, 96, "fast"), f"WITH {EMB} {LIN.format(s=64, t=96, n=96)}", "v")
 add("resample_decimate", lambda s, d: resampling.resample(embedding_clips(s, d), 64, 16, "fast"), f"WITH {EMB} SELECT clip_id, ch, idx // 4 AS idx, round(v, 6) + 0.0 AS v FROM emb WHERE idx % 4 = 0", "v")
+# Taps and windows as the qualities are defined.
+SINCS = {"medium": (128, "0.5 - 0.5 * cos(2 * pi() * u)"), "high": (256, "0.42 - 0.5 * cos(2 * pi() * u) + 0.08 * cos(4 * pi() * u)")}
+
+
+def _sinc_sql(source, target, n, taps, window):
+    """The windowed sum over source samples for every output, cut off at 0.95 of the lower rate."""
+    half, scale = -(-taps * max(source, target) // (2 * target)), f"(0.95 * least(1.0, {target} / {source}.0))"
+    return f"""WITH {EMB}, p AS (SELECT clip_id, o, v, o * {source}.0::DOUBLE / {target} - idx AS d FROM range({n}) r(o) JOIN emb ON idx BETWEEN o * {source} // {target} - {half - 1} AND o * {source} // {target} + {half}),
+w AS (SELECT *, 0.5 + d / {2 * half} AS u, pi() * {scale} * d AS a FROM p)
+SELECT clip_id, 0 AS ch, CAST(o AS BIGINT) AS idx, round(sum(v * {scale} * CASE WHEN a = 0 THEN 1 ELSE sin(a) / a END * ({window})), 6) + 0.0 AS v FROM w GROUP BY clip_id, o"""
+
+
 for _q in ("medium", "high"):
-    add(f"resample_{_q}", lambda s, d, q=_q: resampling.resample(embedding_clips(s, d), 64, 48, q), None, "v")
+    add(f"resample_{_q}", lambda s, d, q=_q: resampling.resample(embedding_clips(s, d), 64, 48, q), _sinc_sql(64, 48, 48, *SINCS[_q]), "v")
 add("resample_by_ratio", lambda s, d: resampling.resample_by_ratio(embedding_clips(s, d), 64, 0.5, "fast"), f"WITH {EMB} SELECT clip_id, ch, idx // 2 AS idx, round(v, 6) + 0.0 AS v FROM emb WHERE idx % 2 = 0", "v")
 
 # --- recursive filters ------------------------------------------------------------------------------------
@@ -193,7 +205,22 @@ LONG_CLIP = iir.design("butterworth", "lowpass", 3, 8.0, 64.0)
 add("long_recursive_filter", lambda s, d: chunks.recursive_filter(embedding_clips(s, d), LONG_CLIP, 10), _section_sql(LONG_CLIP), "v")
 add("long_fir", lambda s, d: chunks.fir(embedding_clips(s, d), [0.25, 0.5, 0.25], 10), f"WITH {EMB} SELECT a.clip_id, a.ch, a.idx, round(0.25 * a.v + 0.5 * b.v + 0.25 * c.v, 6) + 0.0 AS v FROM emb a JOIN emb b ON a.clip_id = b.clip_id AND b.idx = a.idx + 1 JOIN emb c ON a.clip_id = c.clip_id AND c.idx = a.idx + 2", "v")
 R.add("long_crossings", lambda s, d: chunks.crossings(stereo_embeddings(s, d), 7), f"WITH {ST}, p AS (SELECT *, lag(v) OVER (PARTITION BY clip_id, ch ORDER BY idx) AS p FROM st) SELECT clip_id, CAST(sum(CASE WHEN (p > 0 AND v <= 0) OR (p <= 0 AND v > 0) THEN 1 ELSE 0 END) AS BIGINT) AS zero_crossings FROM p GROUP BY clip_id")
-add("iir_filtfilt", lambda s, d: iir.filtfilt(embedding_clips(s, d), "butterworth", "lowpass", 2, 8.0, 64.0), None, "v")
+# Second-order Butterworth low pass by the bilinear transform: k = tan(pi fc / sr), Q = 1 / sqrt 2.
+LOW_2 = "kk AS (SELECT tan(pi() * 8 / 64) AS k), co AS (SELECT k * k / (1 + sqrt(2) * k + k * k) AS b, 2 * (k * k - 1) / (1 + sqrt(2) * k + k * k) AS a1, (1 - sqrt(2) * k + k * k) / (1 + sqrt(2) * k + k * k) AS a2 FROM kk)"
+
+
+def _low_2(name, src):
+    """That filter from rest, in direct form I, as a recursive query over ``src``."""
+    return (
+        f"{name} AS (SELECT clip_id, 0::BIGINT AS idx, v AS x1, 0::DOUBLE AS x2, b * v AS v, 0::DOUBLE AS y1 FROM {src}, co WHERE idx = 0 UNION ALL "
+        f"SELECT r.clip_id, r.idx + 1, e.v, r.x1, b * (e.v + 2 * r.x1 + r.x2) - a1 * r.v - a2 * r.y1, r.v FROM {name} r JOIN {src} e ON e.clip_id = r.clip_id AND e.idx = r.idx + 1, co)"
+    )
+
+
+ODD = "ex AS (SELECT clip_id, idx + 6 AS idx, v FROM emb UNION ALL SELECT clip_id, 6 - e.idx, 2 * f.v - e.v FROM emb e JOIN emb f USING (clip_id) WHERE f.idx = 0 AND e.idx BETWEEN 1 AND 6 UNION ALL SELECT clip_id, 132 - e.idx, 2 * f.v - e.v FROM emb e JOIN emb f USING (clip_id) WHERE f.idx = 63 AND e.idx BETWEEN 57 AND 62)"
+FILTFILT = f"WITH RECURSIVE {EMB}, {LOW_2}, {ODD}, {_low_2('fw', 'ex')}, tu AS (SELECT clip_id, 75 - idx AS idx, v FROM fw), {_low_2('bw', 'tu')} SELECT clip_id, 0 AS ch, 69 - idx AS idx, round(v, 6) + 0.0 AS v FROM bw WHERE idx BETWEEN 6 AND 69"
+add("iir_filtfilt", lambda s, d: iir.filtfilt(embedding_clips(s, d), "butterworth", "lowpass", 2, 8.0, 64.0), FILTFILT, "v")
+add("long_zero_phase", lambda s, d: chunks.zero_phase(embedding_clips(s, d), iir.design("butterworth", "lowpass", 2, 8.0, 64.0), 6, 10), FILTFILT, "v")
 BANDS = {
     "peak": eq.Band("peak", 8.0, 6.0, 1.0),
     "low_shelf": eq.Band("low_shelf", 6.0, 4.0),
@@ -222,8 +249,15 @@ add("dyn_limiter", lambda s, d: dynamics.apply_limiter(embedding_clips(s, d), LI
 GATE = dynamics.Dynamics(-20, 10, 20, 100, detection="peak")
 add("dyn_gate", lambda s, d: dynamics.apply_gate(embedding_clips(s, d), GATE, 64.0), f"{FOLLOW} SELECT clip_id, 0 AS ch, idx, round(v * 10 ** (-greatest(-20 - lv, 0) * 9 / 10 / 20), 6) + 0.0 AS v FROM lv", "v")
 add("dyn_expander", lambda s, d: dynamics.apply_expander(embedding_clips(s, d), dynamics.Dynamics(-20, 2, 20, 100, detection="peak"), 64.0), f"{FOLLOW} SELECT clip_id, 0 AS ch, idx, round(v * 10 ** (-greatest(-20 - lv, 0) / 20), 6) + 0.0 AS v FROM lv", "v")
-add("dyn_compressor_sidechain", lambda s, d: dynamics.apply_compressor(embedding_clips(s, d), DY, 64.0, editing.reverse(embedding_clips(s, d))), None, "v")
-add("dyn_limiter_sidechain", lambda s, d: dynamics.apply_limiter(embedding_clips(s, d), LIMIT, 64.0, editing.reverse(embedding_clips(s, d))), None, "v")
+# The follower of the reversed clips, next to the clips themselves.
+SIDE = FOLLOW.replace(", fl AS (", ", rv AS (SELECT clip_id, 63 - idx AS idx, v FROM emb), fl AS (").replace("FROM emb WHERE idx = 0", "FROM rv WHERE idx = 0").replace("JOIN emb e", "JOIN rv e")
+SIDE += ", g AS (SELECT clip_id, idx, emb.v, lv + 20 AS o FROM lv JOIN emb USING (clip_id, idx))"
+add("dyn_compressor_sidechain", lambda s, d: dynamics.apply_compressor(embedding_clips(s, d), DY, 64.0, editing.reverse(embedding_clips(s, d))), f"{SIDE} SELECT clip_id, 0 AS ch, idx, round(v * 10 ** ((2 - {SOFT}) / 20), 6) + 0.0 AS v FROM g", "v")
+add("dyn_limiter_sidechain", lambda s, d: dynamics.apply_limiter(embedding_clips(s, d), LIMIT, 64.0, editing.reverse(embedding_clips(s, d))), f"{SIDE} SELECT clip_id, 0 AS ch, idx, round(v * 10 ** (-greatest(o, 0) / 20), 6) + 0.0 AS v FROM g", "v")
+add("long_envelope", lambda s, d: dynamics.envelope(embedding_clips(s, d), 64.0, 20, 100, chunk=7), f"{FOLLOW} SELECT clip_id, 0 AS ch, idx, round(e, 6) + 0.0 AS v FROM lv", "v")
+LATCH = f"{FOLLOW}, up AS (SELECT clip_id, idx, e, e > coalesce(lag(e) OVER (PARTITION BY clip_id ORDER BY idx), 0) AS up FROM fl)"
+ATTACK_DECAY = f"{LATCH} SELECT clip_id, 0 AS ch, idx, round(coalesce(last_value(CASE WHEN up THEN e END IGNORE NULLS) OVER w, 0), 6) + 0.0 AS attack, round(coalesce(last_value(CASE WHEN NOT up THEN e END IGNORE NULLS) OVER w, 0), 6) + 0.0 AS decay FROM up WINDOW w AS (PARTITION BY clip_id ORDER BY idx ROWS UNBOUNDED PRECEDING)"
+add("env_attack_decay", lambda s, d: envelopes.attack_decay_envelope(embedding_clips(s, d), 64, 20, 100), ATTACK_DECAY, "attack", "decay")
 add("dyn_curve", lambda s, d: dynamics.compression_curve(embedding_clips(s, d).select("clip_id", "idx", (F.col("v") * 100 - 20).alias("level_db")), DY).select("clip_id", "idx", "out_db"), f"WITH {EMB}, g AS (SELECT clip_id, idx, v * 100 - 20 AS l, v * 100 - 20 + 20 AS o FROM emb) SELECT clip_id, idx, round(l - {SOFT} + 2, 6) + 0.0 AS out_db FROM g", "out_db")
 
 # --- separation, psychoacoustics and codecs ---------------------------------------------------------------

@@ -48,7 +48,6 @@ add("env_amplitude", lambda s, d: envelopes.amplitude_envelope(ev(s, d)), f"WITH
 add("env_rms", lambda s, d: envelopes.rms_envelope(ev(s, d), 16, 8), f"{EVF} SELECT clip_id, ch, frame, round(sqrt(avg(v*v)), 6) + 0.0 AS v FROM fr GROUP BY ALL", "v")
 add("env_moving_average", lambda s, d: envelopes.moving_average_envelope(ev(s, d), 16, 8), f"{EVF} SELECT clip_id, ch, frame, round(avg(abs(v)), 6) + 0.0 AS v FROM fr GROUP BY ALL", "v")
 add("env_analytic", lambda s, d: envelopes.analytic_envelope(embedding_clips(s, d)), f"WITH {EMB}, h AS (SELECT a.clip_id, a.idx, a.v, coalesce(sum(b.v * 2.0 / 64 / tan(pi() * (a.idx - b.idx) / 64.0)) FILTER (WHERE (a.idx - b.idx) % 2 <> 0), 0) AS h FROM emb a JOIN emb b ON a.clip_id = b.clip_id AND a.idx <> b.idx GROUP BY ALL) SELECT clip_id, 0 AS ch, idx, round(sqrt(v * v + h * h), 6) + 0.0 AS v FROM h", "v")
-add("env_attack_decay", lambda s, d: envelopes.attack_decay_envelope(embedding_clips(s, d), 64, 20, 100), None, "attack", "decay")
 
 # --- voice activity ---------------------------------------------------------------------------------------
 
