@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ripplefield.operators.clipwise import with_clip
+from ripplefield.operators.correlation import lag_sums
 from ripplefield.operators.peaks import log_compress, moving_average
 
 
@@ -19,10 +21,8 @@ def tempo_scores(env: DataFrame, sample_rate: float, hop: int, low: float = 40.0
     """``(clip_id, lag, bpm, score)``: unbiased autocorrelation of the centred series times a log-normal prior of one octave."""
     fps = sample_rate / hop
     a, b = max(1, math.ceil(60 * fps / high)), int(60 * fps / low)
-    mean = F.avg("x").over(Window.partitionBy("clip_id"))
-    c = env.select("clip_id", "frame", (F.col("x") - mean).alias("x"))
-    moved = c.select("clip_id", F.col("x").alias("y"), F.explode(F.sequence(F.lit(a), F.lit(max(a, b)))).alias("lag"), "frame").withColumn("frame", F.col("frame") - F.col("lag"))
-    r = c.join(moved, ["clip_id", "frame"]).groupBy("clip_id", "lag").agg(F.avg(F.col("x") * F.col("y")).alias("r"))
+    c = with_clip(env, mean__=F.avg("x")).select("clip_id", F.lit(0).alias("ch"), F.col("frame").alias("idx"), (F.col("x") - F.col("mean__")).alias("v"))
+    r = lag_sums(c, c, a, max(a, b)).select("clip_id", "lag", (F.col("s") / F.col("n")).alias("r"))
     bpm = 60 * fps / F.col("lag")
     octaves = F.log2(bpm / centre)
     return r.select("clip_id", F.col("lag").cast("long").alias("lag"), bpm.alias("bpm"), (F.col("r") * F.exp(-0.5 * octaves * octaves)).alias("score"))

@@ -6,13 +6,10 @@ import math
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def CLIP() -> Window:
-    """All samples of a clip."""
-    return Window.partitionBy("clip_id")
+from ripplefield.operators.clipwise import with_clip
 
 
 def _bad(message: str, kind: str) -> Column:
@@ -29,12 +26,11 @@ def to_mono(df: DataFrame, method: str = "average", weights: Sequence[float] | N
         if not weights:
             raise ValueError("weights are needed")
         w = F.array(*(F.lit(float(x)) for x in weights))
-        have = F.max("ch").over(CLIP()) + 1
-        df = df.withColumn("ch", F.when(have == len(weights), F.col("ch")).otherwise(_bad("one weight a channel", "int")))
+        df = with_clip(df, c__=F.max("ch") + 1).withColumn("ch", F.when(F.col("c__") == len(weights), F.col("ch")).otherwise(_bad("one weight a channel", "int")))
         v = F.sum(F.col("v") * F.get(w, F.col("ch")))
     elif method == "center":
         v = F.coalesce(F.max(F.when((F.col("ch") == 2) & (F.col("c__") >= 6), F.col("v"))), F.avg("v"))
-        df = df.withColumn("c__", F.max("ch").over(CLIP()) + 1)
+        df = with_clip(df, c__=F.max("ch") + 1)
     else:
         raise ValueError("method must be average, left, right, weighted or center")
     return df.groupBy("clip_id", "idx").agg(v.alias("v")).select("clip_id", F.lit(0).alias("ch"), "idx", "v")
@@ -53,10 +49,9 @@ def to_stereo(df: DataFrame, method: str = "duplicate", pan: float = 0.0) -> Dat
         raise ValueError("pan lies in [-1, 1]")
     angle = (pan + 1) * math.pi / 4
     gains = (1.0, 1.0) if method == "duplicate" else (math.cos(angle), math.sin(angle))
-    have = F.max("ch").over(CLIP())
     sides = F.array(*(F.struct(F.lit(k).alias("c"), F.lit(g).alias("g")) for k, g in enumerate(gains)))
     own = F.array(F.struct(F.col("ch").alias("c"), F.lit(1.0).alias("g")))
-    sized = df.withColumn("top__", have)
+    sized = with_clip(df, top__=F.max("ch"))
     return sized.withColumn("s__", F.explode(F.when(F.col("top__") == 0, sides).otherwise(own))).select("clip_id", F.col("s__.c").alias("ch"), "idx", (F.col("v") * F.col("s__.g")).alias("v"))
 
 
@@ -69,9 +64,8 @@ def duplicate_to_channels(df: DataFrame, n: int) -> DataFrame:
 
 def extract_channel(df: DataFrame, channel: int) -> DataFrame:
     """One channel as mono; a clip without it stops the query."""
-    have = F.max("ch").over(CLIP())
-    v = F.when(have >= channel, F.col("v")).otherwise(_bad("no such channel", "double"))
-    return df.withColumn("v", v).where((F.col("ch") == channel) | F.col("v").isNull()).select("clip_id", F.lit(0).alias("ch"), "idx", "v")
+    v = F.when(F.col("top__") >= channel, F.col("v")).otherwise(_bad("no such channel", "double"))
+    return with_clip(df, top__=F.max("ch")).withColumn("v", v).where((F.col("ch") == channel) | F.col("v").isNull()).select("clip_id", F.lit(0).alias("ch"), "idx", "v")
 
 
 def swap_channels(df: DataFrame, a: int, b: int) -> DataFrame:
@@ -97,9 +91,9 @@ def stack(sources: Sequence[DataFrame]) -> DataFrame:
         raise ValueError("nothing to stack")
     parts = [s.select("clip_id", F.lit(k).alias("ch"), "idx", "v") for k, s in enumerate(sources)]
     both = reduce(DataFrame.unionByName, parts)
-    per = F.count("*").over(Window.partitionBy("clip_id", "ch"))
-    even = (F.count("*").over(CLIP())) == per * len(sources)
-    return both.withColumn("v", F.when(even, F.col("v")).otherwise(_bad("channels differ in length", "double")))
+    sized = with_clip(with_clip(both, ("clip_id", "ch"), per__=F.count("*")), all__=F.count("*"))
+    even = F.col("all__") == F.col("per__") * len(sources)
+    return sized.withColumn("v", F.when(even, F.col("v")).otherwise(_bad("channels differ in length", "double"))).drop("per__", "all__")
 
 
 interleave_channels = stack

@@ -7,21 +7,13 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ripplefield.operators.clipwise import with_clip
+
 from ripplefield.functions import formats
 
 KEYS = ["clip_id", "ch", "idx"]
 
 
-def CLIP() -> Window:
-    """All samples of a clip."""
-    return Window.partitionBy("clip_id")
-
-
-def frame_count() -> Column:
-    """Samples per channel of a row's clip."""
-    return F.max("idx").over(CLIP()) + 1
-
-
 def fail(message: str, kind: str = "long") -> Column:
     """An expression that stops the query."""
     return F.raise_error(F.lit(message)).cast(kind)
@@ -76,8 +68,8 @@ def ones(spark: SparkSession, n: int, channels: int = 1) -> DataFrame:
 
 def require_channels(df: DataFrame, n: int) -> DataFrame:
     """Fail in the plan unless every clip has ``n`` channels."""
-    have = F.max("ch").over(CLIP()) + 1
-    return df.withColumn("ch", F.when(have == n, F.col("ch")).otherwise(fail(f"exactly {n} channels are needed", "int")))
+    checked = F.when(F.col("c__") == n, F.col("ch")).otherwise(fail(f"exactly {n} channels are needed", "int"))
+    return with_clip(df, c__=F.max("ch") + 1).withColumn("ch", checked).drop("c__")
 
 
 def info(df: DataFrame, sample_rate: int, fmt: str = "f64") -> DataFrame:
@@ -93,7 +85,7 @@ def slice_samples(df: DataFrame, start: int, stop: int) -> DataFrame:
     """Samples ``[start, stop)``, numbered from 0; a range that leaves a clip is an error."""
     if not 0 <= start < stop:
         raise ValueError("an empty or negative range")
-    checked = df.withColumn("n__", frame_count())
+    checked = with_clip(df, n__=F.max("idx") + 1)
     idx = F.when(F.col("n__") >= stop, F.col("idx") - start).otherwise(fail("the range leaves the clip"))
     return checked.where(F.col("idx").between(start, stop - 1)).select("clip_id", "ch", idx.alias("idx"), "v")
 
@@ -102,9 +94,8 @@ def slice_channels(df: DataFrame, start: int, stop: int) -> DataFrame:
     """Channels ``[start, stop)``, numbered from 0."""
     if not 0 <= start < stop:
         raise ValueError("an empty or negative range")
-    have = F.max("ch").over(CLIP()) + 1
-    ch = F.when(have >= stop, F.col("ch") - start).otherwise(fail("the range leaves the channels", "int"))
-    return df.withColumn("c__", ch).where(F.col("ch").between(start, stop - 1)).select("clip_id", F.col("c__").alias("ch"), "idx", "v")
+    ch = F.when(F.col("top__") >= stop, F.col("ch") - start).otherwise(fail("the range leaves the channels", "int"))
+    return with_clip(df, top__=F.max("ch") + 1).withColumn("c__", ch).where(F.col("ch").between(start, stop - 1)).select("clip_id", F.col("c__").alias("ch"), "idx", "v")
 
 
 def _signed(i: int, n: Column) -> Column:
@@ -114,7 +105,7 @@ def _signed(i: int, n: Column) -> Column:
 
 def slice_both(df: DataFrame, channels: tuple[int, int], samples: tuple[int, int]) -> DataFrame:
     """Channels and samples by signed ranges: negative counts from the end, ends are clamped."""
-    have = df.withColumns({"n__": frame_count(), "c__": F.max("ch").over(CLIP()) + 1})
+    have = with_clip(df, n__=F.max("idx") + 1, c__=F.max("ch") + 1)
     a, b = (_signed(i, F.col("n__")) for i in samples)
     c, d = (_signed(i, F.col("c__")) for i in channels)
     inside = (F.col("idx") >= a) & (F.col("idx") < b) & (F.col("ch") >= c) & (F.col("ch") < d)
@@ -159,7 +150,7 @@ def apply_windowed(df: DataFrame, size: int, hop: int, f: Callable[[Column, Colu
     prev = F.lag("w").over(Window.partitionBy("clip_id", "ch").orderBy("frame"))
     mapped = whole.withColumn("p", prev).select("clip_id", "ch", "frame", F.posexplode(f(F.col("w"), F.col("p"))).alias("pos", "x"))
     added = mapped.groupBy("clip_id", "ch", (F.col("frame") * hop + F.col("pos")).alias("idx")).agg(F.avg("x").alias("v"))
-    short = df.withColumn("n__", frame_count()).where(F.col("n__") < size).drop("n__")
+    short = with_clip(df, n__=F.max("idx") + 1).where(F.col("n__") < size).drop("n__")
     return added.unionByName(short.select(added.columns))
 
 
@@ -223,4 +214,4 @@ def with_stereo(df: DataFrame, f: Callable[[Column, Column], Column]) -> DataFra
 
 def fixed_length(df: DataFrame, n: int) -> DataFrame:
     """Fail in the plan unless every clip has ``n`` samples a channel."""
-    return df.withColumn("n__", frame_count()).withColumn("idx", F.when(F.col("n__") == n, F.col("idx")).otherwise(fail(f"exactly {n} samples are needed"))).drop("n__")
+    return with_clip(df, n__=F.max("idx") + 1).withColumn("idx", F.when(F.col("n__") == n, F.col("idx")).otherwise(fail(f"exactly {n} samples are needed"))).drop("n__")

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ripplefield.operators.editing import silence_runs
-from ripplefield.operators.stats import lagged
+from ripplefield.operators.clipwise import with_clip
+from ripplefield.operators.correlation import lag_sums
+from ripplefield.operators.selection import order_statistics
 
 # The usual sample rates, in ascending order.
 COMMON_RATES = (8000, 11025, 16000, 22050, 32000, 44100, 48000, 88200, 96000)
@@ -36,15 +38,14 @@ def dynamic_range(df: DataFrame) -> DataFrame:
 
 def noise_floor(df: DataFrame) -> DataFrame:
     """The absolute value at a tenth of the sorted samples, in dB; null for under ten samples or a zero."""
-    ranked = df.select("clip_id", F.abs("v").alias("a")).withColumns({"r": F.row_number().over(Window.partitionBy("clip_id").orderBy("a")) - 1, "n": F.count("*").over(Window.partitionBy("clip_id"))})
-    at = F.max(F.when((F.col("r") == F.floor(F.col("n") / 10)) & (F.col("n") >= 10) & (F.col("a") > 0), F.col("a")))
-    return ranked.groupBy("clip_id").agg((20 * F.log10(at)).alias("noise_floor_db"))
+    low = order_statistics(df, F.abs("v"), a=lambda n: F.floor(n / 10))
+    at = F.when((F.col("n") >= 10) & (F.col("a") > 0), F.col("a"))
+    return low.select("clip_id", (20 * F.log10(at)).alias("noise_floor_db"))
 
 
 def frequency_range(spectrum: DataFrame, share: float = 0.01) -> DataFrame:
     """Lowest and highest frequency whose power exceeds a share of the greatest; over ``(clip_id, freq_hz, power)``."""
-    top = F.max("power").over(Window.partitionBy("clip_id"))
-    loud = spectrum.withColumn("t", top).where(F.col("power") > share * F.col("t"))
+    loud = with_clip(spectrum, t=F.max("power")).where(F.col("power") > share * F.col("t"))
     return loud.groupBy("clip_id").agg(F.min("freq_hz").alias("low_hz"), F.max("freq_hz").alias("high_hz"))
 
 
@@ -53,7 +54,7 @@ def fundamental(df: DataFrame, sample_rate: float, low: float = 50.0, high: floa
     a, b = max(1, int(sample_rate / high)), max(1, int(sample_rate / low))
     first = df.where("ch = 0")
     energy = first.groupBy("clip_id").agg(F.sum(F.col("v") * F.col("v")).alias("e"), (F.max("idx") + 1).alias("n"))
-    r = lagged(first, first, b).where(F.col("lag") >= a).groupBy("clip_id", "lag").agg(F.sum(F.col("v") * F.col("w")).alias("s"))
+    r = lag_sums(first, first, a, b).select("clip_id", "lag", "s")
     c = r.join(energy, "clip_id").where(F.col("lag") < F.col("n") / 2).withColumn("c", F.try_divide("s", "e"))
     best = c.groupBy("clip_id").agg(F.max_by("lag", F.struct("c", -F.col("lag"))).alias("lag"), F.max("c").alias("c"))
     return best.select("clip_id", F.when(F.col("c") > least, sample_rate / F.col("lag")).alias("frequency"))

@@ -12,21 +12,17 @@ from pyspark.sql import functions as F
 
 from ripplefield.functions import draws
 from ripplefield.operators.chunks import recursive_filter
+from ripplefield.operators.clipwise import with_clip
 from ripplefield.operators.kernels import map_channel
 
 
-def CLIP() -> Window:
-    """All samples of a clip."""
-    return Window.partitionBy("clip_id")
-
-
 def N() -> Column:
     """Samples per channel, where ``_sized`` has added them."""
     return F.col("n__")
 
 
 def _sized(df: DataFrame) -> DataFrame:
-    return df.withColumn("n__", F.max("idx").over(CLIP()) + 1)
+    return with_clip(df, n__=F.max("idx") + 1)
 
 
 def _stop(message: str, kind: str = "long") -> Column:
@@ -103,7 +99,7 @@ def concatenate(parts: Sequence[DataFrame]) -> DataFrame:
     tagged = reduce(DataFrame.unionByName, (p.select("clip_id", "ch", "idx", "v").withColumn("part", F.lit(k)) for k, p in enumerate(parts)))
     lengths = tagged.groupBy("clip_id", "part").agg((F.max("idx") + 1).alias("n"), (F.max("ch") + 1).alias("c"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("clip_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    same = F.min("c").over(CLIP()) == F.max("c").over(CLIP())
+    same = F.min("c").over(Window.partitionBy("clip_id")) == F.max("c").over(Window.partitionBy("clip_id"))  # rows are parts
     offsets = lengths.select("clip_id", "part", F.when(same, before).otherwise(_stop("parts differ in channels")).alias("at"))
     return tagged.join(offsets, ["clip_id", "part"]).select("clip_id", "ch", (F.col("idx") + F.col("at")).alias("idx"), "v")
 
@@ -163,7 +159,7 @@ def _threshold(db: float) -> float:
 def trim_silence(df: DataFrame, threshold_db: float) -> DataFrame:
     """Drop leading and trailing instants at which no channel exceeds the threshold; all silent: zeros stay."""
     loud = F.when(F.abs("v") > _threshold(threshold_db), F.col("idx"))
-    marked = df.withColumns({"a__": F.min(loud).over(CLIP()), "b__": F.max(loud).over(CLIP())})
+    marked = with_clip(df, a__=F.min(loud), b__=F.max(loud))
     a = F.coalesce("a__", F.lit(0))
     keep = F.col("a__").isNull() | F.col("idx").between(F.col("a__"), F.col("b__"))
     v = F.when(F.col("a__").isNull(), F.lit(0.0)).otherwise(F.col("v"))
@@ -196,9 +192,10 @@ def add_noise(df: DataFrame, snr_db: float, color: str = "white", seed: int = 0,
     if not -60 <= snr_db <= 60:
         raise ValueError("the ratio lies in [-60, 60] dB")
     keys = (seed, F.col("clip_id"), F.col("ch"), F.col("idx"))
-    level = F.sqrt(F.avg(F.col("v") * F.col("v")).over(CLIP())) * 10 ** (-snr_db / 20)
+    df = with_clip(df, p__=F.avg(F.col("v") * F.col("v")))
+    level = F.sqrt("p__") * 10 ** (-snr_db / 20)
     if color == "white":
-        return df.withColumn("v", F.col("v") + level * ((2 * draws.uniform(*keys) - 1) if compat else draws.gaussian(*keys)))
+        return df.withColumn("v", F.col("v") + level * ((2 * draws.uniform(*keys) - 1) if compat else draws.gaussian(*keys))).drop("p__")
     if color not in ("pink", "brown"):
         raise ValueError("color must be white, pink or brown")
     poles = {"pink": 0.95, "brown": 0.999}[color]

@@ -11,12 +11,7 @@ from pyspark.sql import functions as F
 
 from ripplefield.operators.chunks import recursive_filter
 from ripplefield.operators.kernels import map_channel
-from ripplefield.operators.recurrence import biquad
-
-
-def CLIP() -> Window:
-    """All samples of a clip."""
-    return Window.partitionBy("clip_id")
+from ripplefield.operators.clipwise import with_clip
 
 
 METHODS = ("minmax", "peak", "mean", "median", "zscore")
@@ -35,24 +30,24 @@ def normalize(df: DataFrame, method: str = "peak", low: float = -1.0, high: floa
     if method == "minmax":
         if low >= high:
             raise ValueError("low must lie below high")
-        a, b = F.min(v).over(CLIP()), F.max(v).over(CLIP())
+        found, a, b = {"a__": F.min(v), "b__": F.max(v)}, F.col("a__"), F.col("b__")
         out = F.when(b > a, low + (v - a) * (high - low) / F.nullif(b - a, F.lit(0.0))).otherwise(F.lit((low + high) / 2))
     elif method == "peak":
-        peak = F.max(F.abs(v)).over(CLIP())
+        found, peak = {"a__": F.max(F.abs(v))}, F.col("a__")
         out = F.when(peak > 0, v * abs(target) / F.nullif(peak, F.lit(0.0))).otherwise(v)
     elif method == "mean":
-        out = v - F.avg(v).over(CLIP())
+        found, out = {"a__": F.avg(v)}, v - F.col("a__")
     elif method == "median":
-        n = F.max("idx").over(CLIP()) + 1
+        sized, n = with_clip(df, n__=F.max("idx") + 1, c__=F.max("ch")), F.col("n__")
         middle = (F.col("idx") == F.floor(n / 2)) | ((n % 2 == 0) & (F.col("idx") == F.floor(n / 2) - 1))
-        marked = df.withColumn("m__", F.when(middle & (F.max("ch").over(CLIP()) == 0), v))
-        return marked.withColumn("v", v - F.avg("m__").over(CLIP())).drop("m__")
+        marked = sized.withColumn("m__", F.when(middle & (F.col("c__") == 0), v))
+        return with_clip(df, source=marked, m__=F.avg("m__")).withColumn("v", v - F.col("m__")).drop("m__")
     elif method == "zscore":
-        std = F.stddev_pop(v).over(CLIP())
-        out = (v - F.avg(v).over(CLIP())) / F.when(std > 0, std).otherwise(F.lit(1.0))
+        found, std = {"a__": F.avg(v), "b__": F.stddev_pop(v)}, F.col("b__")
+        out = (v - F.col("a__")) / F.when(std > 0, std).otherwise(F.lit(1.0))
     else:
         raise ValueError(f"method must be one of {METHODS}")
-    return df.withColumn("v", out)
+    return with_clip(df, **found).withColumn("v", out).drop(*found)
 
 
 def scale(df: DataFrame, factor: float) -> DataFrame:
@@ -66,15 +61,14 @@ def clip(df: DataFrame, low: float, high: float) -> DataFrame:
 
 
 def remove_dc_offset(df: DataFrame) -> DataFrame:
-    return df.withColumn("v", F.col("v") - F.avg("v").over(CLIP()))
+    return normalize(df, "mean")
 
 
 def apply_window(df: DataFrame, window: Sequence[float]) -> DataFrame:
     """Multiply by a window of the clip's own length; another length stops the query."""
     weights = F.array(*(F.lit(float(x)) for x in window))
-    n = F.max("idx").over(CLIP()) + 1
-    w = F.when(n == len(window), F.get(weights, F.col("idx").cast("int"))).otherwise(F.raise_error(F.lit("window and clip differ in length")).cast("double"))
-    return df.withColumn("v", F.col("v") * w)
+    w = F.when(F.col("n__") == len(window), F.get(weights, F.col("idx").cast("int"))).otherwise(F.raise_error(F.lit("window and clip differ in length")).cast("double"))
+    return with_clip(df, n__=F.max("idx") + 1).withColumn("v", F.col("v") * w).drop("n__")
 
 
 def apply_filter(df: DataFrame, taps: Sequence[float]) -> DataFrame:

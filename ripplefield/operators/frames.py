@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ripplefield.operators.clipwise import with_clip
+
 PADDING = ("zero", "none", "skip")
 
 
@@ -28,8 +30,9 @@ def frames(df: DataFrame, size: int, hop: int, padding: str = "zero") -> DataFra
     full frames only.
     """
     check(size, hop, padding)
-    n = F.max("idx").over(Window.partitionBy("clip_id")) + 1
-    with_n = df.select("clip_id", "ch", "idx", "v", n.alias("n"))
+    rows = df.select("clip_id", "ch", "idx", "v")
+    # a frame that holds a sample begins before the end, so only filling and skipping need the length
+    with_n = rows.withColumn("n", F.lit(None).cast("long")) if padding == "none" else with_clip(rows, n=F.max("idx") + 1)
     low = F.greatest(F.ceil((F.col("idx") - size + 1) / hop), F.lit(0))
     dealt = with_n.select("clip_id", "ch", "n", "v", "idx", F.explode(F.sequence(low.cast("long"), F.floor(F.col("idx") / hop).cast("long"))).alias("frame")) if hop <= size else with_n.where(
         F.pmod("idx", F.lit(hop)) < size
@@ -37,7 +40,6 @@ def frames(df: DataFrame, size: int, hop: int, padding: str = "zero") -> DataFra
     out = dealt.withColumn("pos", F.col("idx") - F.col("frame") * hop)
     if padding == "skip":
         return out.where(F.col("frame") * hop + size <= F.col("n")).select("clip_id", "ch", "frame", "pos", "v")
-    out = out.where(F.col("frame") * hop < F.col("n"))
     if padding == "zero":
         last = F.col("idx") == F.col("n") - 1  # lies in every frame that the end cuts short
         short = F.col("frame") * hop + size - F.col("n")

@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ripplefield.operators.clipwise import with_clip
+from ripplefield.operators.selection import order_statistics
+
 
 def SERIES() -> Window:
     """All frames of a clip."""
@@ -58,24 +61,24 @@ def log_compress(df: DataFrame, alpha: float) -> DataFrame:
 
 def normalize_strength(df: DataFrame, method: str = "peak") -> DataFrame:
     """Rescale a series by its peak, range, mean, true (upper) median or deviation."""
-    x = F.col("x")
+    x, found = F.col("x"), {}
     if method == "peak":
-        top = F.max(F.abs(x)).over(SERIES())
+        found, top = {"a__": F.max(F.abs(x))}, F.col("a__")
         out = F.when(top > 0, x / F.nullif(top, F.lit(0.0))).otherwise(x)
     elif method == "minmax":
-        a, b = F.min(x).over(SERIES()), F.max(x).over(SERIES())
+        found, a, b = {"a__": F.min(x), "b__": F.max(x)}, F.col("a__"), F.col("b__")
         out = F.coalesce(F.try_divide(x - a, b - a), F.lit(0.0))
     elif method == "zscore":
-        out = F.coalesce(F.try_divide(x - F.avg(x).over(SERIES()), F.stddev_pop(x).over(SERIES())), F.lit(0.0))
+        found = {"a__": F.avg(x), "b__": F.stddev_pop(x)}
+        out = F.coalesce(F.try_divide(x - F.col("a__"), F.col("b__")), F.lit(0.0))
     elif method == "mean":
-        out = x - F.avg(x).over(SERIES())
+        found, out = {"a__": F.avg(x)}, x - F.col("a__")
     elif method == "median":
-        ranked = df.select("clip_id", "x", F.row_number().over(SERIES().orderBy("x")).alias("k__"), F.count("*").over(SERIES()).alias("n__"))
-        middle = ranked.where(F.col("k__") == F.floor(F.col("n__") / 2) + 1).select("clip_id", F.col("x").alias("x__"))
-        return df.join(middle, "clip_id").withColumn("x", x - F.col("x__")).drop("x__")
+        middle = order_statistics(df, x, a__=lambda n: F.floor(n / 2))
+        return with_clip(df, source=middle, a__=F.max("a__")).withColumn("x", x - F.col("a__")).drop("a__")
     else:
         raise ValueError("unknown method")
-    return df.withColumn("x", out)
+    return with_clip(df, **found).withColumn("x", out).drop(*found)
 
 
 @dataclass(frozen=True)
@@ -155,7 +158,7 @@ def pick_peaks(df: DataFrame, c: PeakConfig = PeakConfig()) -> DataFrame:
     if c.median is not None:
         df = median_filter(df, c.median)
     df = adaptive_threshold(normalize_strength(df, c.normalization), c.threshold)
-    n = F.count("*").over(SERIES())
+    df, n = with_clip(df, n__=F.count("*")), F.col("n__")
     apart = F.when(F.lit(c.separation) >= n / 2, F.floor(n / 4)).otherwise(F.lit(c.separation))
     found = df.withColumns({"up__": local_maxima(df), "s__": apart}).where((F.col("up__")) & (F.col("x") > F.col("threshold")))
 

@@ -1,4 +1,4 @@
-"""Pitch and harmony: lag joins for short clips, numpy for frames, profiles as a small table for keys."""
+"""Pitch and harmony: lags by blocks, numpy for frames, profiles as a small table for keys."""
 
 from __future__ import annotations
 
@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 
 from ripplefield.functions.scales import NOTES
 from ripplefield.operators import spectral
+from ripplefield.operators.chunks import CHUNK, Piece, map_pieces
+from ripplefield.operators.correlation import lag_sums
 from ripplefield.operators.filterbanks import BROADCAST_ROWS, chromagram  # noqa: F401
+from ripplefield.operators.frames import frame_arrays
 
 # The Krumhansl profiles of major and minor keys, from the tonic.
 MAJOR = (6.35, 2.23, 3.48, 2.33, 4.38, 4.09, 2.52, 5.19, 2.39, 3.66, 2.29, 2.88)
@@ -21,14 +24,13 @@ def _range(sample_rate: float, low: float, high: float) -> tuple[int, int]:
     return max(1, int(sample_rate / high)), int(sample_rate / low)
 
 
-def difference_function(df: DataFrame, low_lag: int, high_lag: int) -> DataFrame:
+def difference_function(df: DataFrame, low_lag: int, high_lag: int, chunk: int = CHUNK) -> DataFrame:
     """``(clip_id, lag, d)``: squared differences at each lag over the first n - high_lag samples."""
-    first = df.where("ch = 0")
-    n = F.max("idx").over(Window.partitionBy("clip_id")) + 1
-    a = first.select("clip_id", "idx", F.col("v").alias("a"), n.alias("n")).where(F.col("idx") < F.col("n") - high_lag)
-    b = first.select("clip_id", F.col("v").alias("b"), F.explode(F.sequence(F.lit(low_lag), F.lit(high_lag))).alias("lag"), "idx").withColumn("idx", F.col("idx") - F.col("lag"))
-    d = F.col("a") - F.col("b")
-    return a.join(b, ["clip_id", "idx"]).groupBy("clip_id", "lag").agg(F.sum(d * d).alias("d"))
+    return _differences(df.where("ch = 0"), low_lag, high_lag, chunk).select("clip_id", "lag", "d")
+
+
+def _differences(df: DataFrame, low: int, high: int, chunk: int) -> DataFrame:
+    return lag_sums(df, df, low, high, "differences", trim=high, chunk=chunk).select("clip_id", "ch", "lag", F.col("s").alias("d"))
 
 
 def yin(x: np.ndarray, low: int, high: int, threshold: float) -> int | None:
@@ -66,30 +68,47 @@ def _pitch(x, method, sample_rate, threshold, low, high):
     return sample_rate / lag if lag else None
 
 
-def detect_pitch(df: DataFrame, sample_rate: float, method: str = "yin", threshold: float = 0.1, low: float = 50.0, high: float = 500.0) -> DataFrame:
-    """``(clip_id, ch, frequency)``; null where no period is found."""
+def detect_pitch(df: DataFrame, sample_rate: float, method: str = "yin", threshold: float = 0.1, low: float = 50.0, high: float = 500.0, chunk: int = CHUNK) -> DataFrame:
+    """``(clip_id, ch, frequency)`` of clips of any length; null where no period is found.
+
+    Sums by lag come from blocks; what is chosen among is one row a lag, a number set by the parameters.
+    """
     if method not in ("yin", "autocorrelation"):
         raise ValueError("method must be yin or autocorrelation")
-    return _tables(df, lambda x: {"frequency": [_pitch(x, method, sample_rate, threshold, low, high)]}, "frequency double")
-
-
-def _tables(df, kernel, schema):
-    from ripplefield.operators.kernels import table_channel
-
-    return table_channel(df, kernel, schema)
+    a, b = _range(sample_rate, low, high)
+    key = F.struct("clip_id", "ch").alias("key")
+    channels = df.groupBy(key).agg(F.count("*").alias("n"))
+    if method == "autocorrelation":
+        sums = lag_sums(df, df, a, b, chunk=chunk) if a <= b else None
+        best = sums.groupBy(key).agg(F.max_by(F.struct("lag", "s"), F.struct("s", -F.col("lag"))).alias("z")) if sums is not None else None
+        found = best.select("key", F.when(F.col("z.s") > 0, F.col("z.lag")).alias("lag")) if best is not None else channels.select("key", F.lit(None).cast("int").alias("lag"))
+    else:
+        d = _differences(df, a, b, chunk).select(key, "lag", "d")
+        so_far = Window.partitionBy("key").orderBy("lag").rowsBetween(Window.unboundedPreceding, 0)
+        run = F.sum("d").over(so_far)
+        norm = d.select("key", "lag", F.when(run > 0, F.col("d") * F.col("lag") / F.when(run > 0, run)).otherwise(F.lit(1.0)).alias("norm"))
+        under = norm.groupBy("key").agg(F.min(F.when(F.col("norm") < threshold, F.col("lag"))).alias("at"))
+        near = norm.join(under, "key").where(F.abs(F.col("lag") - F.col("at")) <= 5)
+        least = near.groupBy("key").agg(F.min_by("lag", F.struct("norm", "lag")).alias("lag"))
+        found = least.join(channels.where(F.col("n") > 2 * b), "key").select("key", "lag")
+    out = channels.join(found, "key", "left")
+    return out.select("key.clip_id", "key.ch", (F.lit(float(sample_rate)) / F.col("lag")).alias("frequency"))
 
 
 def track_pitch(df: DataFrame, window: int, hop: int, sample_rate: float, method: str = "yin", threshold: float = 0.1, low: float = 50.0, high: float = 500.0) -> DataFrame:
-    """``(clip_id, ch, frame, seconds, frequency)`` until less than half a window is left."""
+    """``(clip_id, ch, frame, seconds, frequency)`` until less than half a window is left; each window is a row of its own."""
     if not 0 < hop < window:
         raise ValueError("the window must be longer than the hop")
+    if method not in ("yin", "autocorrelation"):
+        raise ValueError("method must be yin or autocorrelation")
+    arrays = frame_arrays(df, window, hop, "none").where(F.size("w") >= window / 2)
+    arrays = arrays.select(F.struct("clip_id", "ch").alias("key"), F.col("frame").alias("chunk"), F.transform("w", lambda v: v.cast("double")).alias("w"))
 
-    def kernel(x: np.ndarray) -> dict:
-        starts = [s for s in range(0, len(x), hop) if len(x) - s >= window / 2]
-        found = [_pitch(x[s : s + window], method, sample_rate, threshold, low, high) for s in starts]
-        return {"frame": range(len(starts)), "seconds": [s / sample_rate for s in starts], "frequency": found}
+    def kernel(p: Piece) -> dict:
+        return {"frequency": _pitch(p.arrays["w"], method, sample_rate, threshold, low, high)}
 
-    return _tables(df, kernel, "frame long, seconds double, frequency double")
+    out = map_pieces(arrays, kernel, "frequency double")
+    return out.select("key.clip_id", "key.ch", F.col("chunk").alias("frame"), (F.col("chunk") * hop / float(sample_rate)).alias("seconds"), "frequency")
 
 
 def mean_pitch(contour: DataFrame) -> DataFrame:

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ripplefield.operators.chunks import CHUNK
+from ripplefield.operators.clipwise import with_clip
+from ripplefield.operators.correlation import lag_sums
+
 CLIP = ["clip_id"]
 CHANNEL = ["clip_id", "ch"]
 
@@ -71,9 +75,7 @@ def statistics(df: DataFrame) -> DataFrame:
 
 def midpoint_sample(df: DataFrame) -> DataFrame:
     """The sample in the middle by position (two middle ones averaged); null for more than one channel."""
-    n = F.max("idx").over(Window.partitionBy("clip_id")) + 1
-    channels = F.max("ch").over(Window.partitionBy("clip_id")) + 1
-    marked = df.select("clip_id", "idx", "v", n.alias("n"), channels.alias("c"))
+    marked = with_clip(df.select("clip_id", "ch", "idx", "v"), n=F.max("idx") + 1, c=F.max("ch") + 1)
     middle = (F.col("idx") == F.floor(F.col("n") / 2)) | ((F.col("n") % 2 == 0) & (F.col("idx") == F.floor(F.col("n") / 2) - 1))
     return marked.groupBy("clip_id").agg(F.avg(F.when(middle & (F.col("c") == 1), F.col("v"))).alias("midpoint"))
 
@@ -106,35 +108,28 @@ def variance(df: DataFrame, compat: bool = False) -> DataFrame:
     return one.select("clip_id", (F.col("s") / F.col("n") / F.col("c")).alias("variance"))
 
 
-def lagged(df: DataFrame, other: DataFrame, max_lag: int) -> DataFrame:
-    """Products of ``df[i]`` and ``other[i + lag]`` for lags 0..max_lag: an equi-join on the shifted index."""
-    shifted = other.select("clip_id", F.col("v").alias("w"), F.explode(F.sequence(F.lit(0), F.lit(max_lag))).alias("lag"), "idx").withColumn("idx", F.col("idx") - F.col("lag")).where("idx >= 0")
-    return df.select("clip_id", "idx", "v").join(shifted, ["clip_id", "idx"])
-
-
-def autocorrelation(df: DataFrame, max_lag: int) -> DataFrame:
+def autocorrelation(df: DataFrame, max_lag: int, chunk: int = CHUNK) -> DataFrame:
     """Unbiased autocorrelation of the first channel: mean product at each lag up to min(max_lag, n - 1)."""
     if max_lag < 1:
         raise ValueError("at least one lag")
     first = df.where("ch = 0")
-    return lagged(first, first, max_lag).groupBy("clip_id", "lag").agg(F.avg(F.col("v") * F.col("w")).alias("r"))
+    return lag_sums(first, first, 0, max_lag, chunk=chunk).select("clip_id", "lag", (F.col("s") / F.col("n")).alias("r"))
 
 
-def cross_correlation(a: DataFrame, b: DataFrame, max_lag: int) -> DataFrame:
+def cross_correlation(a: DataFrame, b: DataFrame, max_lag: int, chunk: int = CHUNK) -> DataFrame:
     """Mean product of ``a[i]`` and ``b[i + lag]`` over their common samples, first channels, lags below both lengths."""
     if max_lag < 1:
         raise ValueError("at least one lag")
     a, b = a.where("ch = 0"), b.where("ch = 0")
-    shorter = a.groupBy("clip_id").agg(F.count("*").alias("n")).join(b.groupBy("clip_id").agg(F.count("*").alias("m")), "clip_id").select("clip_id", F.least("n", "m").alias("most"))
-    r = lagged(a, b, max_lag).groupBy("clip_id", "lag").agg(F.avg(F.col("v") * F.col("w")).alias("r"))
-    return r.join(shorter, "clip_id").where("lag < most").select("clip_id", "lag", "r")
+    key = F.struct("clip_id").alias("key")
+    shorter = a.groupBy(key).agg(F.count("*").alias("n_a")).join(b.groupBy(key).agg(F.count("*").alias("n_b")), "key")
+    r = lag_sums(a, b, 0, max_lag, chunk=chunk).withColumn("key", F.struct("clip_id")).join(shorter, "key")
+    return r.where(F.col("lag") < F.least("n_a", "n_b")).select("clip_id", "lag", (F.col("s") / F.col("n")).alias("r"))
 
 
-def alignment_lag(reference: DataFrame, query: DataFrame, max_lag: int) -> DataFrame:
+def alignment_lag(reference: DataFrame, query: DataFrame, max_lag: int, chunk: int = CHUNK) -> DataFrame:
     """The lag within +-max_lag of greatest correlation sum; ties go to the smaller, then the positive lag."""
-    shift = F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag))).alias("lag")
-    moved = query.where("ch = 0").select("clip_id", F.col("v").alias("w"), "idx", shift).withColumn("idx", F.col("idx") - F.col("lag"))
-    sums = reference.where("ch = 0").join(moved, ["clip_id", "idx"]).groupBy("clip_id", "lag").agg(F.sum(F.col("v") * F.col("w")).alias("s"))
+    sums = lag_sums(reference.where("ch = 0"), query.where("ch = 0"), -max_lag, max_lag, chunk=chunk)
     order = F.struct("s", -F.abs("lag"), "lag")
     return sums.groupBy("clip_id").agg(F.max_by("lag", order).cast("long").alias("lag"))
 
