@@ -30,6 +30,16 @@ CHUNK = 1 << 18
 FAN = 1024
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder and cut off from its lineage."""
+    from ripplefield.streaming.run import shared_folder
+
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint(eager=True)
+
+
 def with_halo(df: DataFrame, chunk: int, before: int, after: int) -> DataFrame:
     """Adds ``chunk`` and ``own``: rows within ``before`` of a chunk's start or ``after`` of its end come again, not owned."""
     if chunk < 1 or before < 0 or after < 0:

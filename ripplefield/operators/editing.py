@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ripplefield.functions import draws
-from ripplefield.operators.chunks import recursive_filter
+from ripplefield.operators.chunks import Piece, cut, map_pieces, recursive_filter
 from ripplefield.operators.clipwise import with_clip
-from ripplefield.operators.kernels import map_channel
+from ripplefield.operators.overlap import overlap_add, synthesis
 
 
 def N() -> Column:
@@ -213,14 +213,28 @@ def random_gain(df: DataFrame, low_db: float, high_db: float, seed: int = 0) ->
     return df.withColumn("v", F.col("v") * F.pow(F.lit(10.0), (low_db + u * (high_db - low_db)) / 20))
 
 
-def pitch_shift(df: DataFrame, semitones: float, n_fft: int = 2048, hop: int = 512, preserve_formants: bool = False) -> DataFrame:
-    """Phase-vocoder shift of every channel; the length stays."""
+def pitch_shift(df: DataFrame, semitones: float, n_fft: int = 2048, hop: int = 512, preserve_formants: bool = False, frames: int = 256) -> DataFrame:
+    """Phase-vocoder shift of every channel; the length stays.
+
+    Phases accumulate by bin: each chunk of frames sums its steps, a running sum over the chunks of every bin gives the
+    phases that a chunk begins with, and frames are then synthesised in parallel and overlapped.
+    """
     if abs(semitones) > 12:
         raise ValueError("at most an octave")
     if abs(semitones) < 1e-6:
         return df
-    ratio = 2 ** (semitones / 12)
-    return map_channel(df, lambda x: vocoder(x, ratio, n_fft, hop, preserve_formants))
+    voice = Vocoder(2 ** (semitones / 12), n_fft, hop, preserve_formants, max(frames, n_fft // hop + 2))
+    moved = df.select("clip_id", "ch", (F.col("idx") + n_fft // 2).alias("idx"), "v")
+    arrays = cut(moved, voice.frames * hop, hop, n_fft)
+    steps = map_pieces(arrays, lambda p: {"s": np.fmod(voice.steps(p).sum(axis=0), 2 * np.pi)}, "s array<double>")
+    by_bin = steps.select("key", "chunk", F.posexplode("s").alias("bin", "s"))
+    so_far = Window.partitionBy("key", "bin").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    starts = by_bin.withColumn("z", F.coalesce(F.sum("s").over(so_far), F.lit(0.0))).groupBy("key", "chunk").agg(F.sort_array(F.collect_list(F.struct("bin", "z"))).alias("z"))
+    met = arrays.join(starts.select("key", "chunk", F.col("z.z").alias("z")), ["key", "chunk"])
+    sums = overlap_add(met, voice.synthesis, voice.window, hop)
+    out = synthesis(sums, 1e-9, n_fft // 2, 0, floor=True)
+    sized = with_clip(out, ("clip_id", "ch"), source=df, n__=F.max("idx") + 1)
+    return sized.where(F.col("idx") < F.col("n__")).drop("n__")
 
 
 def envelope_of(magnitude: np.ndarray) -> np.ndarray:
@@ -230,32 +244,53 @@ def envelope_of(magnitude: np.ndarray) -> np.ndarray:
     return np.convolve(padded, np.ones(w) / w, "valid")
 
 
-def vocoder(x: np.ndarray, ratio: float, n_fft: int, hop: int, formants: bool) -> np.ndarray:
-    """Move the bins of each frame by a ratio with phases accumulated at the new frequencies."""
-    win = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n_fft) / n_fft)
-    padded = np.pad(x, (n_fft // 2, n_fft))
-    count = 1 + max(0, (len(padded) - n_fft) // hop)
-    bins = np.arange(n_fft // 2 + 1)
-    expected = 2 * np.pi * hop * bins / n_fft
-    target = np.round(bins * ratio).astype(int)
-    inside = target < len(bins)
-    last, total = np.zeros(len(bins)), np.zeros(len(bins))
-    out, weight = np.zeros(len(padded)), np.zeros(len(padded))
-    for k in range(count):
-        s = np.fft.rfft(padded[k * hop : k * hop + n_fft] * win)
-        mag, phase = np.abs(s), np.angle(s)
-        drift = np.angle(np.exp(1j * (phase - last - expected)))
-        last = phase
-        moved, speed = np.zeros(len(bins)), np.zeros(len(bins))
-        np.add.at(moved, target[inside], mag[inside])
-        speed[target[inside]] = ((expected + drift) * ratio)[inside]
-        if formants:
-            moved = moved * envelope_of(mag) / np.maximum(envelope_of(moved), 1e-12)
-        total = phase if k == 0 else total + speed
-        out[k * hop : k * hop + n_fft] += np.fft.irfft(moved * np.exp(1j * total), n_fft) * win
-        weight[k * hop : k * hop + n_fft] += win**2
-    y = out / np.maximum(weight, 1e-9)
-    return y[n_fft // 2 : n_fft // 2 + len(x)]
+class Vocoder:
+    """Moves the bins of each frame by a ratio, with phases accumulated at the new frequencies; works on chunks of frames."""
+
+    def __init__(self, ratio: float, n_fft: int, hop: int, formants: bool, frames: int):
+        self.n_fft, self.hop, self.formants, self.frames, self.ratio = n_fft, hop, formants, frames, ratio
+        self.window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n_fft) / n_fft)
+        bins = np.arange(n_fft // 2 + 1)
+        self.expected = 2 * np.pi * hop * bins / n_fft
+        self.target = np.round(bins * ratio).astype(int)
+        self.inside = self.target < len(bins)
+
+    def spectra(self, p: Piece) -> tuple[int, np.ndarray, np.ndarray]:
+        """The first frame's number, the magnitudes of a chunk's frames, and the phases of these and the one before."""
+        number, x = p.row["chunk"] * self.frames, p.arrays["v"]
+        low, at = (number - 1) * self.hop, p.row["first"] - p.row["skip"]
+        end = at + len(x)
+        count = min(self.frames, -(-(end - number * self.hop) // self.hop))
+        padded = np.zeros((count + 1) * self.hop + self.n_fft)
+        inside = min(end, low + len(padded)) - at
+        padded[at - low : at - low + inside] = x[:inside]
+        view = np.lib.stride_tricks.sliding_window_view(padded, self.n_fft)[:: self.hop][: count + 1]
+        s = np.fft.rfft(view * self.window, axis=1)
+        return number, np.abs(s[1:]), np.angle(s)
+
+    def _steps(self, number: int, phase: np.ndarray) -> np.ndarray:
+        drift = np.angle(np.exp(1j * (np.diff(phase, axis=0) - self.expected)))
+        out = np.zeros_like(drift)
+        out[:, self.target[self.inside]] = ((self.expected + drift) * self.ratio)[:, self.inside]
+        if number == 0:
+            out[0] = phase[1]  # the first frame keeps its phases
+        return out
+
+    def steps(self, p: Piece) -> np.ndarray:
+        """What each frame adds to the phases."""
+        number, _, phase = self.spectra(p)
+        return self._steps(number, phase)
+
+    def synthesis(self, p: Piece) -> tuple[int, np.ndarray]:
+        """Frames with moved bins and true phases."""
+        number, magnitude, phase = self.spectra(p)
+        total = np.cumsum(self._steps(number, phase), axis=0) + p.arrays["z"]
+        moved = np.zeros_like(magnitude)
+        for source, target in zip(np.flatnonzero(self.inside), self.target[self.inside], strict=True):
+            moved[:, target] += magnitude[:, source]
+        if self.formants:
+            moved = np.array([m * envelope_of(own) / np.maximum(envelope_of(m), 1e-12) for m, own in zip(moved, magnitude, strict=True)])
+        return number, np.fft.irfft(moved * np.exp(1j * total), self.n_fft, axis=1)
 
 
 def perturb(df: DataFrame, method: str, sample_rate: float = 44100.0, seed: int = 0, **options) -> DataFrame:

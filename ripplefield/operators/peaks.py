@@ -5,10 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ripplefield.operators.chunks import Piece, map_pieces, settled
 from ripplefield.operators.clipwise import with_clip
 from ripplefield.operators.selection import order_statistics
 
@@ -109,28 +109,68 @@ def local_maxima(df: DataFrame) -> Column:
     return (F.col("x") > F.lag("x").over(ORDER())) & (F.col("x") > F.lead("x").over(ORDER()))
 
 
-def keep_apart(df: DataFrame, separation: int | Column) -> DataFrame:
-    """Strongest first, keep candidates at least ``separation`` frames from all kept.
+#: Frames of a tile of suppression, and how many separations beyond it a task looks.
+TILE, REACH = 4096, 4
 
-    Candidates are parted into runs at gaps of ``separation`` or more, which can't touch each other; a run's choice is
-    linear in it but for the sorting.
+
+def _dominant(frame: np.ndarray, x: np.ndarray, kept: np.ndarray, apart: int, seen: tuple[float, float]) -> np.ndarray:
+    """1 for candidates that the greedy choice keeps, 0 for those it drops, -1 for those that depend on what lies beyond ``seen``.
+
+    Strongest first, ties to the earlier: a candidate next to a kept one is dropped; one that sees all its
+    neighbours, none of them stronger and open, is kept.
+    """
+    state = np.where(kept, 1, -1)
+    near, open_ = np.zeros(len(frame), bool), np.zeros(len(frame), bool)
+    low, high = np.searchsorted(frame, frame - apart, "right"), np.searchsorted(frame, frame + apart, "left")
+    for i in np.flatnonzero(kept):
+        near[low[i] : high[i]] = True
+    for i in np.lexsort((frame, -x)):
+        if kept[i]:
+            continue
+        if near[i]:
+            state[i] = 0
+        elif frame[i] - apart + 1 >= seen[0] and frame[i] + apart - 1 <= seen[1] and not open_[low[i] : high[i]].any():
+            state[i] = 1
+            near[low[i] : high[i]] = True
+        else:
+            open_[i] = True
+    return state
+
+
+def _suppression_round(rows: DataFrame, tile: int) -> DataFrame:
+    """``(key, idx, s, x, kept)`` without the candidates that tiles could drop, and with those marked that they could keep."""
+    s, home = F.greatest("s", F.lit(1)), F.floor(F.col("idx") / tile)
+    dealt = rows.withColumn("chunk", F.explode(F.sequence(F.floor((F.col("idx") - REACH * s) / tile), F.floor((F.col("idx") + REACH * s) / tile))))
+    dealt = dealt.withColumn("own", F.col("chunk") == home)
+    met = dealt.groupBy("key", "chunk").agg(F.max("s").alias("s"), F.max("own").alias("any"), F.sort_array(F.collect_list(F.struct("idx", "x", "kept", "own"))).alias("z")).where("any")
+    numbers = lambda c: F.transform("z", lambda e: e[c].cast("double"))
+    met = met.select("key", F.col("chunk").cast("long").alias("chunk"), "s", *(numbers(c).alias(c) for c in ("idx", "x", "kept", "own")))
+
+    def choose(p: Piece) -> dict:
+        at, own, apart = p.arrays["idx"].astype(np.int64), p.arrays["own"] > 0, max(p.row["s"], 0)
+        low, reach = p.row["chunk"] * tile, REACH * max(apart, 1)
+        state = _dominant(at, p.arrays["x"], p.arrays["kept"] > 0, apart, (low - reach, low + tile - 1 + reach))
+        left = own & (state != 0)
+        return {"s": p.row["s"], "idx": at[left], "x": p.arrays["x"][left], "kept": state[left]}
+
+    out = map_pieces(met, choose, "s long, idx array<double>, x array<double>, kept array<double>")
+    out = out.select("key", "s", F.explode(F.arrays_zip("idx", "x", "kept")).alias("z"))
+    return out.select("key", F.col("z.idx").cast("long").alias("idx"), "s", F.col("z.x").alias("x"), (F.col("z.kept") > 0).alias("kept"))
+
+
+def keep_apart(df: DataFrame, separation: int | Column, tile: int = TILE) -> DataFrame:
+    """Strongest first, keep candidates at least ``separation`` frames from all kept; equal ones: the earlier.
+
+    Rounds of local dominance over tiles with a halo give the same choice as the greedy order: a tile decides all
+    that doesn't depend on candidates beyond its halo, and what it leaves open meets what others have decided in the next
+    round.  The strongest open candidate is decided in every round; a clip without any gap runs in many tasks.
     """
     apart = F.lit(separation) if isinstance(separation, int) else separation
-    rows = df.select("clip_id", "frame", "x", apart.cast("long").alias("s__"))
-    far = F.coalesce(F.col("frame") - F.lag("frame").over(ORDER()) >= F.col("s__"), F.lit(True))
-    runs = rows.withColumn("far__", far.cast("long")).withColumn("run__", F.sum("far__").over(ORDER())).drop("far__")
-
-    def each(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame", kind="stable")
-        at, apart = pdf["frame"].to_numpy(), int(pdf["s__"].iloc[0])
-        free, kept = np.ones(len(at), bool), []
-        for i in np.lexsort((at, -pdf["x"].to_numpy())):
-            if free[i]:
-                kept.append(i)
-                free[np.searchsorted(at, at[i] - apart, "right") : np.searchsorted(at, at[i] + apart, "left")] = False
-        return pdf.iloc[sorted(kept)][["clip_id", "frame", "x"]]
-
-    return runs.groupBy("clip_id", "run__").applyInPandas(each, "clip_id long, frame long, x double")
+    rows = df.select(F.struct("clip_id").alias("key"), F.col("frame").cast("long").alias("idx"), apart.cast("long").alias("s"), F.col("x").cast("double").alias("x"), F.lit(False).alias("kept"))
+    while True:
+        rows = settled(_suppression_round(rows, tile))
+        if rows.where("not kept").isEmpty():
+            return rows.select("key.clip_id", F.col("idx").alias("frame"), "x")
 
 
 @dataclass(frozen=True)

@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from ripplefield.operators.elementwise import window_function
 from ripplefield.operators.frames import frame_arrays
+from ripplefield.operators.chunks import Piece
 from ripplefield.operators.kernels import map_channel, pair_channel
+from ripplefield.operators.overlap import BLOCK, frame_blocks, overlap_add, synthesis
 
 SPECTRUM = "clip_id long, ch int, frame long, bin int, freq_hz double, re double, im double"
 KEYS = ("clip_id", "ch", "frame")
@@ -48,7 +50,7 @@ def _transform(arrays: DataFrame, n_fft: int, sample_rate: float, window: list[f
             b = len(freq)
             yield pd.DataFrame({**{c: np.repeat(pdf[c].to_numpy(), b) for c in KEYS}, "bin": np.tile(np.arange(b, dtype=np.int32), len(pdf)), "freq_hz": np.tile(freq, len(pdf)), "re": s.real.ravel(), "im": s.imag.ravel()})
 
-    return arrays.select(*KEYS, "w").mapInPandas(each, SPECTRUM)
+    return arrays.select(*KEYS, "w").mapInPandas(each, SPECTRUM.replace("clip_id long", f"clip_id {arrays.schema['clip_id'].dataType.simpleString()}"))
 
 
 def whole(df: DataFrame) -> DataFrame:
@@ -101,24 +103,17 @@ def stft(df: DataFrame, n_fft: int, hop: int, sample_rate: float, window: str =
     return _transform(arrays, n_fft, sample_rate, window_function(None, window, n_fft, periodic=True))
 
 
-def istft(spec: DataFrame, n_fft: int, hop: int, window: str = "hann", centre: bool = True, length: int | None = None) -> DataFrame:
-    """Overlap-add inverse, divided by the sum of squared windows."""
+def istft(spec: DataFrame, n_fft: int, hop: int, window: str = "hann", centre: bool = True, length: int | None = None, block: int = BLOCK) -> DataFrame:
+    """Overlap-add inverse, divided by the sum of squared windows, over blocks of frames and samples."""
     win = np.asarray(window_function(None, window, n_fft, periodic=True))
 
-    def each(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["frame", "bin"])
-        s = (pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()).reshape(-1, n_fft // 2 + 1)
-        frames = np.fft.irfft(s, n_fft, axis=1) * win
-        out, weight = np.zeros((len(s) - 1) * hop + n_fft), np.zeros((len(s) - 1) * hop + n_fft)
-        for k, f in enumerate(frames):
-            out[k * hop : k * hop + n_fft] += f
-            weight[k * hop : k * hop + n_fft] += win**2
-        y = out / np.where(weight > 1e-10, weight, 1.0)
-        y = y[n_fft // 2 : len(y) - n_fft // 2] if centre else y
-        y = y[:length] if length is not None else y
-        return pd.DataFrame({"clip_id": key[0], "ch": np.int32(key[1]), "idx": np.arange(len(y)), "v": y})
-
-    return spec.groupBy("clip_id", "ch").applyInPandas(each, "clip_id long, ch int, idx long, v double")
+    def frames_of(p: Piece) -> tuple[int, np.ndarray]:
+        s = (p.arrays["re"] + 1j * p.arrays["im"]).reshape(-1, n_fft // 2 + 1)
+        return p.row["first"], np.fft.irfft(s, n_fft, axis=1)
+
+    sums = overlap_add(frame_blocks(spec, hop, block), frames_of, win, hop, block)
+    out = synthesis(sums, 1e-10, n_fft // 2 if centre else 0, n_fft // 2 if centre else 0)
+    return out.where(F.col("idx") < length) if length is not None else out
 
 
 def to_db(value: Column, floor_db: float = -80.0) -> Column:

@@ -158,7 +158,18 @@ R.add("edit_perturb_pitch", lambda s, d: editing.perturb(embedding_clips(s, d),
 # The samples themselves: no column of theirs can be pruned.
 same("edit_perturb_noise_samples", "emb", lambda x: editing.perturb(x, "noise", snr_db=20.0, seed=3), f"v + sqrt(avg(v * v) OVER (PARTITION BY clip_id)) * 0.1 * {draws.gaussian_sql('3, clip_id, ch, idx')}")
 same("edit_perturb_gain_samples", "emb", lambda x: editing.perturb(x, "gain", low_db=-6.0, high_db=6.0), f"v * 10 ** ((-6 + 12 * {draws.uniform_sql('0, clip_id')}) / 20)")
-add("edit_perturb_pitch_samples", "emb", lambda x: editing.perturb(x, "pitch_shift", semitones=2.0, n_fft=32, hop=8), None)
+# Two semitones up: Hann frames of 32 with a hop of 8, phases by bin from a running sum of steps, overlap-add.
+HANN32, UP2 = "(0.5 - 0.5 * cos(2 * pi() * {n} / 32))", "pow(2, 2 / 12.0)"
+PITCH = (
+    f", st AS (SELECT clip_id, f, k, sum(v * {HANN32.format(n='(idx + 16 - 8 * f)')} * cos(2 * pi() * k * (idx + 16 - 8 * f) / 32)) AS re, sum(CASE WHEN k = 0 THEN 0.0 ELSE -v * {HANN32.format(n='(idx + 16 - 8 * f)')} * sin(2 * pi() * k * (idx + 16 - 8 * f) / 32) END) AS im FROM emb JOIN range(10) a(f) ON idx + 16 - 8 * f BETWEEN 0 AND 31, range(17) b(k) GROUP BY ALL), "
+    "ph AS (SELECT clip_id, f, k, sqrt(re * re + im * im) AS m, atan2(im, re) AS p FROM st), "
+    "dr AS (SELECT *, p - lag(p) OVER (PARTITION BY clip_id, k ORDER BY f) - 2 * pi() * 8 * k / 32 AS d FROM ph), "
+    f"mv AS (SELECT clip_id, f, CAST(round(k * {UP2}) AS BIGINT) AS k, m, (2 * pi() * 8 * k / 32 + atan2(sin(d), cos(d))) * {UP2} AS w FROM dr WHERE round(k * {UP2}) < 17), "
+    "mm AS (SELECT ph.clip_id, ph.f, ph.k, coalesce(mv.m, 0) AS m, sum(CASE WHEN ph.f = 0 THEN p ELSE coalesce(w, 0) END) OVER (PARTITION BY ph.clip_id, ph.k ORDER BY ph.f) AS t FROM ph LEFT JOIN mv ON mv.clip_id = ph.clip_id AND mv.f = ph.f AND mv.k = ph.k), "
+    "fr AS (SELECT clip_id, f, n, sum(CASE WHEN k IN (0, 16) THEN 1 ELSE 2 END * m * (cos(t) * cos(2 * pi() * k * n / 32) - CASE WHEN k IN (0, 16) THEN 0 ELSE sin(t) * sin(2 * pi() * k * n / 32) END)) / 32 AS y FROM mm, range(32) r(n) GROUP BY ALL) "
+    f"SELECT clip_id, 0 AS ch, 8 * f + n - 16 AS idx, round(sum(y * {HANN32.format(n='n')}) / greatest(sum({HANN32.format(n='n')} ** 2), 1e-9), 6) + 0.0 AS v FROM fr WHERE 8 * f + n BETWEEN 16 AND 79 GROUP BY clip_id, 8 * f + n"
+)
+add("edit_perturb_pitch_samples", "emb", lambda x: editing.perturb(x, "pitch_shift", semitones=2.0, n_fft=32, hop=8), PITCH, "v")
 R.add("region_semi_join", lambda s, d: table(s, d, "events").join(table(s, d, "customer"), F.col("user_id") == F.col("c_custkey"), "left_semi").groupBy("event_type").agg(F.count("*").alias("n")), "SELECT event_type, count(*) AS n FROM events WHERE EXISTS (SELECT 1 FROM customer WHERE c_custkey = user_id) GROUP BY event_type")
 
 QUERIES, ORACLES = R.QUERIES, R.ORACLES

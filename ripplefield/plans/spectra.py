@@ -263,8 +263,19 @@ add("dyn_curve", lambda s, d: dynamics.compression_curve(embedding_clips(s, d).s
 # --- separation, psychoacoustics and codecs ---------------------------------------------------------------
 
 HP = hpss.HpssConfig(16, 4, 5, 5, 0.3)
-add("hpss_harmonic", lambda s, d: hpss.hpss(embedding_clips(s, d), 64.0, HP)[0], None, "v")
-add("hpss_percussive", lambda s, d: hpss.hpss(embedding_clips(s, d), 64.0, HP)[1], None, "v")
+# Hann frames of 16 with a hop of 4 over the clip padded by 8; medians of five reflected neighbours; masks; overlap-add.
+HANN16 = "(0.5 - 0.5 * cos(2 * pi() * {n} / 16))"
+HPSS = (
+    f"WITH {EMB}, st AS (SELECT clip_id, f, k, sum(v * {HANN16.format(n='(idx + 8 - 4 * f)')} * cos(2 * pi() * k * (idx + 8 - 4 * f) / 16)) AS re, -sum(v * {HANN16.format(n='(idx + 8 - 4 * f)')} * sin(2 * pi() * k * (idx + 8 - 4 * f) / 16)) AS im FROM emb JOIN range(17) a(f) ON idx + 8 - 4 * f BETWEEN 0 AND 15, range(9) b(k) GROUP BY ALL), "
+    "mg AS (SELECT *, sqrt(re * re + im * im) AS m FROM st), o AS (SELECT unnest(range(-2, 3)) AS o), "
+    "hm AS (SELECT a.clip_id, a.f, a.k, median(b.m) AS h FROM mg a, o JOIN mg b ON b.clip_id = a.clip_id AND b.k = a.k AND b.f = 16 - abs(16 - abs(a.f + o.o)) GROUP BY ALL), "
+    "pm AS (SELECT a.clip_id, a.f, a.k, median(b.m) AS p FROM mg a, o JOIN mg b ON b.clip_id = a.clip_id AND b.f = a.f AND b.k = 8 - abs(8 - abs(a.k + o.o)) GROUP BY ALL), "
+    "ma AS (SELECT *, 0.3 * {a} / (h + p + 1e-10) + 0.7 * CASE WHEN {c} THEN 1 ELSE 0 END AS g FROM mg JOIN hm USING (clip_id, f, k) JOIN pm USING (clip_id, f, k)), "
+    "fr AS (SELECT clip_id, f, n, sum(CASE WHEN k IN (0, 8) THEN 1 ELSE 2 END * g * (re * cos(2 * pi() * k * n / 16) - im * sin(2 * pi() * k * n / 16))) / 16 AS y FROM ma, range(16) t(n) GROUP BY ALL) "
+    f"SELECT clip_id, 0 AS ch, 4 * f + n - 8 AS idx, round(sum(y * {HANN16.format(n='n')}) / sum({HANN16.format(n='n')} ** 2), 6) + 0.0 AS v FROM fr WHERE 4 * f + n BETWEEN 8 AND 71 GROUP BY clip_id, 4 * f + n"
+)
+for _part, _name, _a, _c in ((0, "harmonic", "h", "h >= p"), (1, "percussive", "p", "p > h")):
+    add(f"hpss_{_name}", lambda s, d, k=_part: hpss.hpss(embedding_clips(s, d), 64.0, HP)[k], HPSS.replace("{a}", _a).replace("{c}", _c), "v")
 LAYOUT = psycho.band_layout("bark", 6, 8000.0, 33)
 
 

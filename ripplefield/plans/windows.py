@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ripplefield.operators import beats, compare, detect, editing, envelopes, frames, peaks, psycho, spectral, vad
+from ripplefield.operators import beats, compare, detect, editing, envelopes, frames, peaks, psycho, selection, spectral, vad
 from ripplefield.plans.sqlforms import EMB, EV, ST, Registry, r6, rounded
 from ripplefield.sources.tables import embedding_clips, event_clips, stereo_embeddings
 
@@ -108,8 +108,25 @@ for _m, _e in (("delta", "max(x) {w} - 0.2"), ("percentile", "quantile_cont(x, 0
         "threshold",
     )
 add("peak_local_maxima", lambda s, d: series(s, d).withColumn("up", peaks.local_maxima(series(s, d))).where("up").select("clip_id", "frame"), f"WITH {SER}, l AS (SELECT *, lag(x) OVER w AS a, lead(x) OVER w AS b FROM ev WINDOW w AS (PARTITION BY clip_id ORDER BY frame)) SELECT clip_id, frame FROM l WHERE x > a AND x > b")
-add("peak_pick", lambda s, d: peaks.pick_peaks(series(s, d), peaks.PeakConfig(4, threshold=peaks.Threshold("delta", 0.3, window=10))), None, "x")
-add("peak_keep_apart", lambda s, d: peaks.keep_apart(series(s, d), 5), None, "x")
+#: The greedy choice as a fold over candidates, strongest first, ties to the earlier.
+GREEDY = "or_ AS (SELECT clip_id, min(s) AS s, list(struct_pack(f := frame, x := x) ORDER BY x DESC, frame) AS c FROM {src} GROUP BY clip_id), kp AS (SELECT clip_id, unnest(list_reduce(list_transform(c, lambda e: [e]), lambda k, e: CASE WHEN len(list_filter(k, lambda o: abs(o.f - e[1].f) < s)) > 0 THEN k ELSE list_concat(k, e) END)) AS k FROM or_) SELECT clip_id, k.f AS frame, round(k.x, 6) + 0.0 AS x FROM kp"
+PICK = (
+    f"WITH {SER}, pe AS (SELECT clip_id, frame, coalesce(x - 0.97 * lag(x) OVER (PARTITION BY clip_id ORDER BY frame), x) AS x FROM ev), "
+    f"md AS (SELECT clip_id, frame, {MEDIAN.format(w=W.format(k=1))} AS x FROM pe), nm AS (SELECT clip_id, frame, x / max(abs(x)) {P} AS x, count(*) {P} AS n FROM md), "
+    f"th AS (SELECT *, greatest(least(max(x) {W.format(k=5)} - 0.3, 1.0), 0.01) AS t, lag(x) OVER o AS a, lead(x) OVER o AS b FROM nm WINDOW o AS (PARTITION BY clip_id ORDER BY frame)), "
+    "cd AS (SELECT clip_id, frame, x, CASE WHEN 4 >= n / 2 THEN n // 4 ELSE 4 END AS s FROM th WHERE x > a AND x > b AND x > t), "
+)
+add("peak_pick", lambda s, d: peaks.pick_peaks(series(s, d), peaks.PeakConfig(4, threshold=peaks.Threshold("delta", 0.3, window=10))), PICK + GREEDY.format(src="cd"), "x")
+add("peak_keep_apart", lambda s, d: peaks.keep_apart(series(s, d), 5), f"WITH {SER}, sv AS (SELECT *, 5 AS s FROM ev), {GREEDY.format(src='sv')}", "x")
+add("long_keep_apart", lambda s, d: peaks.keep_apart(series(s, d), 5, tile=16), f"WITH {SER}, sv AS (SELECT *, 5 AS s FROM ev), {GREEDY.format(src='sv')}", "x")
+add(
+    "stat_percentiles",
+    lambda s, d: selection.percentiles(ev(s, d), F.col("v"), {"p10": 0.1, "p50": 0.5, "p90": 0.9}),
+    f"WITH {EV}, o AS (SELECT clip_id, list_sort(list(v)) AS l, count(*) AS n FROM ev GROUP BY clip_id) SELECT clip_id, n, " + ", ".join(f"round(l[CAST(floor((n - 1) * {q}::DOUBLE) AS BIGINT) + 1], 6) + 0.0 AS p{int(q * 100)}" for q in (0.1, 0.5, 0.9)) + " FROM o",
+    "p10",
+    "p50",
+    "p90",
+)
 
 # --- regions and levels -----------------------------------------------------------------------------------
 
