@@ -106,21 +106,48 @@ def boxes(data: memoryview, start: int, end: int) -> Iterator[tuple[bytes, int,
         start += size
 
 
-def tree(data: memoryview, start: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int, int]]:
+#: Containers nested deeper than this are torn; real files nest about ten.
+DEEPEST = 64
+#: Offsets and times from here on are torn: sums with table values would leave 64 bits.
+FARTHEST = 1 << 62
+
+
+def tree(data: memoryview) -> Iterator[tuple[tuple[bytes, ...], int, int, int]]:
     """All boxes, outer before inner, with their paths, starts, first content bytes and ends."""
-    for kind, head, a, b in boxes(data, start, len(data) if end is None else end):
+    open_: list[tuple[tuple[bytes, ...], Iterator]] = [((), boxes(data, 0, len(data)))]
+    while open_:
+        path, rest = open_[-1]
+        box = next(rest, None)
+        if box is None:
+            open_.pop()
+            continue
+        kind, head, a, b = box
         yield (*path, kind), head, a, b
         if kind in CONTAINERS:
-            yield from tree(data, a, b, (*path, kind))
+            if len(open_) >= DEEPEST:
+                raise ValueError("nested too deeply")
+            open_.append(((*path, kind), boxes(data, a, b)))
 
 
 def _ints(data: memoryview, at: int, count: int, kind: str) -> np.ndarray:
-    return np.frombuffer(data, kind, count, at).astype(np.int64)
+    raw = np.frombuffer(data, kind, count, at)
+    if kind.endswith("u8") and len(raw) and int(raw.max()) >= FARTHEST:
+        raise ValueError("an offset too far")
+    return raw.astype(np.int64)
+
+
+def _bounded(value: int) -> int:
+    """The value, if it leaves room for sums."""
+    if value >= FARTHEST:
+        raise ValueError("a value too large")
+    return value
 
 
 def _versioned(data: memoryview, at: int) -> tuple[int, int]:
-    """Timescale and duration of a media header."""
-    return struct.unpack_from(">IQ", data, at + 20) if data[at] == 1 else struct.unpack_from(">II", data, at + 12)
+    """Timescale and duration of a media header; a duration of all ones is unknown and reads as 0."""
+    scale, duration = struct.unpack_from(">IQ", data, at + 20) if data[at] == 1 else struct.unpack_from(">II", data, at + 12)
+    unknown = duration == (1 << (64 if data[at] == 1 else 32)) - 1
+    return scale, 0 if unknown else _bounded(duration)
 
 
 def _place(track: Track, chunks: np.ndarray, runs: np.ndarray) -> None:
@@ -154,7 +181,7 @@ class Fragment:
         """``tfhd``: without a stated base, data count from the ``moof``, or go on after the fragment before."""
         flags, pos = struct.unpack_from(">I", data, at)[0] & 0xFFFFFF, at + 8
         if flags & 1:
-            self.base = struct.unpack_from(">Q", data, pos)[0]
+            self.base = _bounded(struct.unpack_from(">Q", data, pos)[0])
             pos += 8
         else:
             self.base = moof if flags & 0x20000 or before is None else before
@@ -195,8 +222,8 @@ class Fragment:
         t.offsets = np.r_[t.offsets, self.at + np.cumsum(sizes) - sizes]
         t.sizes = np.r_[t.sizes, sizes]
         t.sync = np.r_[old, n + np.flatnonzero(~(marks >> 16) & 1)]
-        t.duration += int(deltas.sum())
-        self.at += int(sizes.sum())
+        t.duration = _bounded(t.duration + int(deltas.sum()))
+        self.at = _bounded(self.at + int(sizes.sum()))
 
 
 def describe(data: bytes | None) -> tuple[list[Track], str]:
@@ -225,7 +252,7 @@ def describe(data: bytes | None) -> tuple[list[Track], str]:
                 fragment = Fragment(by_number.get(number, Track()), moof, None, delta, size, flags)
                 fragment.header(view, a, moof, before)
             elif kind == b"tfdt" and fragment:
-                fragment.time = struct.unpack_from(">Q" if view[a] == 1 else ">I", view, a + 4)[0]
+                fragment.time = _bounded(struct.unpack_from(">Q" if view[a] == 1 else ">I", view, a + 4)[0])
             elif kind == b"trun" and fragment:
                 fragment.run(view, a)
             elif t is None:

@@ -196,3 +196,31 @@ def test_empty(spark, tmp_path):
     d = write_tables(spark, str(tmp_path), [])
     for q in ("op2_toxicity", "op3_media_columns", "op5_lm_scoring", "op6_token_counts", "op7_ordinal_quality"):
         assert queries.queries()[q](spark, d).collect() == []
+
+
+def nested(kind, depth):
+    raw = b""
+    for _ in range(depth):
+        raw = box(kind, raw)
+    return raw
+
+
+TORN = {
+    "deep": nested(b"moov", 1200),
+    "duration": box(b"moov", box(b"trak", box(b"mdia", full(b"mdhd", struct.pack(">QQIQ", 0, 0, 600, 2**63), b"\0" * 4, version=1)))),
+    "base": box(b"moof", box(b"traf", full(b"tfhd", struct.pack(">IQ", 1, 2**64 - 5), flags=1), full(b"trun", struct.pack(">I", 3)))),
+    "time": box(b"moof", box(b"traf", full(b"tfhd", struct.pack(">I", 1)), full(b"tfdt", struct.pack(">Q", 2**63), version=1))),
+    "chunk": box(b"moov", box(b"trak", full(b"co64", struct.pack(">IQ", 1, 2**64 - 1)))),
+}
+
+
+@pytest.mark.parametrize("name", TORN)
+def test_values_that_leave_64_bits_are_torn(spark, name):
+    assert media.describe(TORN[name])[1] == "torn: ValueError"
+
+
+def test_unknown_durations_and_deep_files(spark):
+    header = full(b"mdhd", struct.pack(">QQIQ", 0, 0, 600, 2**64 - 1), b"\0" * 4, version=1)
+    tracks, error = media.describe(box(b"moov", box(b"trak", box(b"mdia", header))))
+    assert error == "" and (tracks[0].timescale, tracks[0].duration) == (600, 0)
+    assert media.describe(nested(b"moov", 40))[1] == ""
