@@ -59,15 +59,18 @@ def _beside(cells: DataFrame, table: DataFrame, d: str) -> DataFrame:
     return cells.join(table, F.col(d).eqNullSafe(F.col("key__")), "left").drop("key__")
 
 
-def with_targets(cells: DataFrame, dims: tuple[str, ...], targets: Mapping[str, float | DataFrame]) -> DataFrame:
+def with_targets(cells: DataFrame, targets: Mapping[str, float | DataFrame]) -> DataFrame:
     """Cells with a target share per dimension: a table ``(value, share)``, or a power of the present share.
 
-    The share of a table's value that no cell has can't be met and stays unfilled.
+    The share of a table's value that no cell has can't be met and stays unfilled; a table that names a value twice raises
+    ``ValueError``.
     """
     total = float(cells.agg(F.sum("n")).first()[0] or 0.0)
     for d, a in targets.items():
         if isinstance(a, DataFrame):
             table = a.select(F.col("value").alias("key__"), F.col("share").cast("double").alias(f"t_{d}"))
+            if not table.groupBy("key__").count().where("count > 1").isEmpty():
+                raise ValueError(f"a target for {d} names a value more than once")
         else:
             sums = cells.groupBy(F.col(d).alias("key__")).agg(F.sum("n").alias("have"))
             power = F.when(F.col("have") > 0, F.pow("have", F.lit(float(a)))).otherwise(F.lit(0.0))
@@ -95,11 +98,11 @@ def rake(cells: DataFrame, dims: tuple[str, ...], keep: float, iterations: int)
     return cells
 
 
-def marginal_errors(cells: DataFrame, dims: tuple[str, ...] = DIMENSIONS) -> DataFrame:
-    """Per dimension and value: target share and share reached after raking; their difference tells convergence."""
+def marginal_errors(cells: DataFrame) -> DataFrame:
+    """Per raked dimension and value: target share and share reached after raking; their difference tells convergence."""
     total = float(cells.agg(F.sum("w")).first()[0] or 0.0)
     one = lambda d: cells.groupBy(F.lit(d).alias("dim"), F.col(d).cast("string").alias("value")).agg(F.max(f"t_{d}").alias("target"), F.sum("w").alias("w"))
-    out = reduce(DataFrame.unionByName, (one(d) for d in dims))
+    out = reduce(DataFrame.unionByName, (one(d) for d in DIMENSIONS if f"t_{d}" in cells.columns))
     return out.select("dim", "value", "target", F.try_divide(F.col("w"), F.lit(total)).alias("reached"))
 
 
@@ -113,9 +116,12 @@ def fit(
 ) -> DataFrame:
     """The raked cells ``(source, lang, topic, n, w)`` with their target shares, for ``marginal_errors`` too."""
     targets = targets or {"source": 0.7, "lang": 0.7, "topic": 0.7}
+    if not set(targets) <= set(DIMENSIONS):
+        raise ValueError(f"targets are for {DIMENSIONS}")
+    named = tuple(d for d in DIMENSIONS if d in targets)
     text = text_of(F.col(f"`{text_col}`"))
     slim = docs.select("source", "lang", (topic_of(text) if topic is None else topic).alias("topic"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_tokens"))
-    return rake(with_targets(cut(count_cells(slim, DIMENSIONS, "n_tokens")), DIMENSIONS, targets), DIMENSIONS, keep, iterations)
+    return rake(with_targets(cut(count_cells(slim, DIMENSIONS, "n_tokens")), targets), named, keep, iterations)
 
 
 def mix(
@@ -130,8 +136,8 @@ def mix(
 ) -> tuple[DataFrame, dict[str, str]]:
     """``docs`` with topic, tokens, inclusion probability and the sampling decision.
 
-    ``targets`` names, for ``source``, ``lang`` and ``topic``, a table of shares or a power of the present
-    share (below 1: flatter); ``keep`` is the share of all tokens wanted; ``topic`` is a column that says the
+    ``targets`` names, for ``source``, ``lang`` and ``topic`` or some of them, a table of shares or a power of the
+    present share (below 1: flatter); a dimension without a target is not raked; ``keep`` is the share of all tokens wanted; ``topic`` is a column that says the
     topic (by default ``topic_of`` the text).  Returns the frame and the names of the added columns.
     """
     names = {c: fresh(docs, c) for c in ("topic", "tokens", "probability", "sampled")}

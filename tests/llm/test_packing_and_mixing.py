@@ -7,7 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from ripplefield.llm import encoding, mixing, packing, queries
-from tests.llm.fixtures import AWKWARD, WORD, awkward, real_rows, write_tables
+from tests.llm.fixtures import AWKWARD, SCHEMA, WORD, awkward, real_rows, write_tables
 
 
 @pytest.fixture(scope="module")
@@ -117,3 +117,22 @@ def test_a_topic_column_and_clashing_names(spark):
     out, names = mixing.mix(docs, topic=mixing.F.col("topic"))
     assert out.count() == 100 and {r[0] for r in out.select(names["topic"]).distinct().collect()} == {"a", "b"}
     assert set(docs.columns) <= set(out.columns)
+
+
+def test_targets_that_cannot_be_meant(spark):
+    docs = spark.createDataFrame([(i, "a b c", "en", "ab"[i % 2], 5) for i in range(20)], SCHEMA)
+    twice = spark.createDataFrame([("a", 0.5), ("b", 0.25), ("a", 0.25)], "value string, share double")
+    with pytest.raises(ValueError):
+        mixing.mix(docs, targets={"source": twice})
+    with pytest.raises(ValueError):
+        mixing.mix(docs, targets={"colour": 0.5})
+
+
+def test_some_dimensions_alone(spark):
+    docs = spark.createDataFrame([(i, "a b c", "en" if i % 4 else "fr", "a" if i % 5 else "b", 5) for i in range(400)], SCHEMA)
+    shares = spark.createDataFrame([("a", 0.5), ("b", 0.5)], "value string, share double")
+    cells = mixing.fit(docs, targets={"source": shares}, keep=0.2)
+    reached = {(r.dim, r.value): (r.target, r.reached) for r in mixing.marginal_errors(cells).collect()}
+    assert set(reached) == {("source", "a"), ("source", "b")} and all(abs(t - x) < 1e-9 for t, x in reached.values())
+    rows, names = mixing.mix(docs, targets={"source": shares}, keep=0.2)
+    assert rows.count() == 400 and 20 < rows.where(names["sampled"]).count() < 150
