@@ -80,8 +80,9 @@ def fresh(df: DataFrame, base: str) -> str:
 
 
 def content_hash(df: DataFrame) -> Column:
-    """A hash of all columns of a row; maps, which have no hash, as JSON."""
-    return F.xxhash64(*(F.to_json(f"`{c}`") if "map<" in kind else F.col(f"`{c}`") for c, kind in df.dtypes))
+    """A hash of all columns of a row and of which are null (the hash itself skips nulls); nested values as JSON."""
+    value = lambda c, kind: F.to_json(c, {"ignoreNullFields": "false"}) if "<" in kind else c
+    return F.xxhash64(*(x for c, kind in df.dtypes for x in (F.isnull(F.col(f"`{c}`")), value(F.col(f"`{c}`"), kind))))
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

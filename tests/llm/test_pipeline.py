@@ -120,6 +120,15 @@ def test_near_dedup_tells_rows_apart_by_content_not_by_id(spark, sf):
     assert sorted((str(r.doc_id), r.text.split()[0]) for r in got) == [("1", "aw0"), ("1", "bw0"), ("1", "cw0"), ("7", "dw0"), ("8", "fw0"), ("None", "ew0")]
 
 
+def test_rows_with_shifted_nulls_are_different_rows(spark, sf):
+    """The same value in another column makes another row, though an id occurs twice."""
+    text = " ".join(f"t{i}" for i in range(60))
+    rows = [(0, None, "en", None, None), (1, text, None, None, None), (1, None, text, None, None), (2, "another text", "en", None, None), (3, None, None, "en", None)]
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, SCHEMA), sf).collect()
+    assert sorted((r.doc_id, r.text) for r in got if r.text) == [(1, text), (2, "another text")]
+    assert [r.doc_id for r in got if not r.text] == [0]
+
+
 def test_near_dedup_shuffled_and_broadcast_alike(spark, sf, monkeypatch):
     docs = spark.createDataFrame([(i // 2, *r[1:]) for i, r in enumerate(edited_rows())], SCHEMA).repartition(4)
     want = read(corpus_pipeline.near_dedup(spark, docs, sf))
