@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from ripplefield.operators import codec, container, detect, editing, kernels, spectral
 from ripplefield.plans.spectra import FOLLOW, LONG_CLIP, SP, _section_sql, spec
-from ripplefield.plans.sqlforms import EMB, ST, Registry, rounded
-from ripplefield.sources.tables import embedding_clips, stereo_embeddings
+from ripplefield.plans.sqlforms import EMB, EV, ST, Registry, rounded
+from ripplefield.sources.tables import embedding_clips, event_clips, stereo_embeddings
 from ripplefield.streaming import stateful
 
 R = Registry()
@@ -75,4 +75,52 @@ add("stream_prediction_residual", lambda s, d: _streamed(s, d, lambda x: statefu
 add("stream_prediction_synthesis", lambda s, d: _streamed(s, d, lambda x: stateful.stream_prediction_synthesis(x, TAPS)), _section_sql(np.array([[1.0, 0.0, 0.0, 1.0, -TAPS[0], -TAPS[1]]])), "v")
 add("stream_envelope", lambda s, d: _streamed(s, d, lambda x: stateful.stream_envelope(x, 64.0, 20, 100)), f"{FOLLOW} SELECT clip_id, 0 AS ch, idx, round(e, 6) + 0.0 AS v FROM lv", "v")
 
+
+
+def _wave_round_trip(spark, sf_dir):
+    """Every user's events written as a WAVE file and read back in ranges of 16 frames."""
+    import os
+    import uuid
+
+    from ripplefield.sources import wave
+    from ripplefield.streaming.run import shared_folder
+
+    folder = os.path.join(shared_folder(spark).removeprefix("file://"), f"wave-{uuid.uuid4().hex}")
+    os.makedirs(folder)
+    wave.write_clips(event_clips(spark, sf_dir, 50.0), folder, 8000)
+    rows = wave.read_clips(spark, folder, 16)
+    clip = F.regexp_extract("path", r"clip-(\d+)\.wav$", 1).cast("long")
+    return rows.select(clip.alias("clip_id"), "sample_rate", "idx", "v")
+
+
+add("source_wave_round_trip", _wave_round_trip, f"WITH {EV} SELECT clip_id, 8000 AS sample_rate, idx, round(v, 6) + 0.0 AS v FROM ev", "v")
+
+
+def _table_function(view, make, sql):
+    """A SQL statement over a clip table as a view."""
+
+    def query(spark, sf_dir):
+        from ripplefield.sources.files import register_table_functions
+
+        register_table_functions(spark)
+        make(spark, sf_dir).select("clip_id", "idx", "v").createOrReplaceTempView(view)
+        return spark.sql(sql)
+
+    return query
+
+
+add(
+    "sql_clip_windows",
+    _table_function("rf_events", event_clips, "SELECT * FROM clip_windows(TABLE(SELECT * FROM rf_events), 16, 8)"),
+    f"WITH {EV.replace('- 50.0 AS v', 'AS v')}, f AS (SELECT clip_id, idx // 8 - o AS f, v FROM ev, (SELECT unnest([0, 1]) AS o) WHERE idx // 8 >= o) SELECT clip_id, f AS frame, f * 8 AS start, round(avg(v), 6) + 0.0 AS mean, round(sqrt(avg(v * v)), 6) + 0.0 AS rms FROM f GROUP BY clip_id, f HAVING count(*) = 16",
+    "mean",
+    "rms",
+)
+add(
+    "sql_clip_splits",
+    _table_function("rf_embeddings", embedding_clips, "SELECT * FROM clip_splits(TABLE(SELECT * FROM rf_embeddings), 25)"),
+    f"WITH {EMB} SELECT clip_id, idx // 25 AS segment, count(*) AS samples, round(max(abs(v)), 6) + 0.0 AS peak FROM emb GROUP BY clip_id, idx // 25",
+    "peak",
+)
+
 QUERIES, ORACLES = R.QUERIES, R.ORACLES

@@ -63,8 +63,14 @@ def wave_bytes(samples: np.ndarray, rate: int) -> bytes:
 
 
 def register_table_functions(spark: SparkSession) -> None:
-    """SQL table functions ``tone(frequency, rate, n)`` and ``window_starts(n, size, hop)``."""
-    from pyspark.sql.functions import udtf
+    """SQL table functions: ``tone(frequency, rate, n)``, ``window_starts(n, size, hop)``, and over tables of samples
+    ``clip_windows(TABLE (..), size, hop)`` and ``clip_splits(TABLE (..), size)``.
+
+    The latter two take any table with ``clip_id``, ``idx`` and ``v``; they ask Spark themselves to part it by clip and to order it by
+    index, pass the clip's own type on, and hold one window of samples.
+    """
+    from pyspark.sql.functions import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn, udtf
+    from pyspark.sql.types import DoubleType, LongType, StructType
 
     class Tone:
         def eval(self, frequency: float, rate: int, n: int):
@@ -76,5 +82,58 @@ def register_table_functions(spark: SparkSession) -> None:
             for k, start in enumerate(range(0, n - size + 1, hop)):
                 yield k, start
 
+    def analysed(table: AnalyzeArgument, numbers: list, **columns) -> AnalyzeResult:
+        """A result parted by clip and ordered by sample, with the clip's type carried over."""
+        names = [] if table.dataType is None else table.dataType.names
+        if not table.isTable or not {"clip_id", "idx", "v"} <= set(names):
+            raise ValueError("a table with clip_id, idx and v is needed")
+        if any(n.value is None or n.value < 1 for n in numbers):
+            raise ValueError("sizes must be positive constants")
+        schema = StructType().add("clip_id", table.dataType["clip_id"].dataType)
+        for name, kind in columns.items():
+            schema = schema.add(name, kind)
+        return AnalyzeResult(schema, partitionBy=[PartitioningColumn("clip_id")], orderBy=[OrderingColumn("idx")])
+
+    class ClipWindows:
+        """Full windows of a clip: number, start, mean and root mean square."""
+
+        def __init__(self):
+            self.near, self.n = [], 0
+
+        @staticmethod
+        def analyze(table, size, hop):
+            return analysed(table, [size, hop], frame=LongType(), start=LongType(), mean=DoubleType(), rms=DoubleType())
+
+        def eval(self, row, size: int, hop: int):
+            self.near.append(row["v"])
+            self.n += 1
+            if len(self.near) > size:
+                self.near.pop(0)
+            start = self.n - size
+            if start >= 0 and start % hop == 0:
+                yield row["clip_id"], start // hop, start, sum(self.near) / size, (sum(v * v for v in self.near) / size) ** 0.5
+
+    class ClipSplits:
+        """Consecutive segments of a clip, the last one shorter: number, samples and peak."""
+
+        def __init__(self):
+            self.clip, self.number, self.count, self.peak = None, 0, 0, 0.0
+
+        @staticmethod
+        def analyze(table, size):
+            return analysed(table, [size], segment=LongType(), samples=LongType(), peak=DoubleType())
+
+        def eval(self, row, size: int):
+            self.clip, self.count, self.peak = row["clip_id"], self.count + 1, max(self.peak, abs(row["v"]))
+            if self.count == size:
+                yield self.clip, self.number, self.count, self.peak
+                self.number, self.count, self.peak = self.number + 1, 0, 0.0
+
+        def terminate(self):
+            if self.count:
+                yield self.clip, self.number, self.count, self.peak
+
     spark.udtf.register("tone", udtf(Tone, returnType="idx int, v double"))
     spark.udtf.register("window_starts", udtf(WindowStarts, returnType="frame int, start int"))
+    spark.udtf.register("clip_windows", udtf(ClipWindows))
+    spark.udtf.register("clip_splits", udtf(ClipSplits))
