@@ -70,4 +70,5 @@ def pair_channel(a: DataFrame, b: DataFrame, kernel: Callable[[np.ndarray, np.nd
         return pd.DataFrame({"clip_id": key[0], "ch": np.int32(key[1]), **cols})
 
     keys = ["clip_id", "ch"]
+    b = b.select(*(F.col(c).alias(c) for c in ("clip_id", "ch", "idx", "v")))  # it may derive from the first
     return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(each, f"clip_id long, ch int, {schema}")

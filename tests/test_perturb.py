@@ -2,9 +2,9 @@
 
 import numpy as np
 
-from ripplefield.operators import editing
 from ripplefield.plans import registry
 from ripplefield.sources.tables import embedding_clips
+from tests.test_tiles import vocoder
 
 
 def arrays(df):
@@ -21,4 +21,4 @@ def test_perturbed_samples(spark, sf):
     g = (gain * x).sum(axis=1) / (x * x).sum(axis=1)
     assert np.allclose(gain, g[:, None] * x, atol=2e-6) and len(set(g.round(3))) > 10
     assert 10 ** (-6 / 20) - 1e-4 <= g.min() and g.max() <= 10 ** (6 / 20) + 1e-4
-    assert np.allclose(pitch, [editing.vocoder(c, 2 ** (2 / 12), 32, 8, False) for c in x], atol=2e-6)
+    assert np.allclose(pitch, [vocoder(c, 2 ** (2 / 12), 32, 8, False) for c in x], atol=2e-6)
