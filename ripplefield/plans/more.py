@@ -77,6 +77,34 @@ add("stream_envelope", lambda s, d: _streamed(s, d, lambda x: stateful.stream_en
 
 
 
+def _live_envelope(spark, sf_dir):
+    """The follower of every user's events as a stream; a day of silence ends a clip's state."""
+    from ripplefield.streaming import timed
+    from ripplefield.streaming.run import drain
+
+    path = f"{sf_dir}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    one = "/events.parquet/" not in spark.read.parquet(path).select("_metadata.file_path").first()[0]
+    # a stream's source is a folder: the table's own, or the one that holds its only file
+    live = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet" if one else "*.parquet").parquet(sf_dir if one else path)
+    long = live.select(F.col("user_id").alias("clip_id"), F.col("event_id").alias("idx"), "ts", (F.col("value") - 50).alias("v"))
+    before = spark.conf.get(timed.PROVIDER[0])
+    try:
+        return drain(timed.live_envelope(long, 64.0, 20, 100, 86_400.0))
+    finally:
+        spark.conf.set(timed.PROVIDER[0], before)
+
+
+_C = "CASE WHEN abs(s.v) > CASE WHEN fresh THEN 0 ELSE f.d END THEN exp(-1 / (20 / 1000.0 * 64)) ELSE exp(-1 / (100 / 1000.0 * 64)) END"
+LIVE = (
+    "WITH RECURSIVE s AS (SELECT user_id AS clip_id, event_id, value - 50 AS v, row_number() OVER w AS i, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER w) > 86400000000, true) AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), "
+    "f AS (SELECT clip_id, 0::BIGINT AS i, -1::BIGINT AS event_id, 0::DOUBLE AS d, 0::DOUBLE AS e FROM s WHERE i = 1 UNION ALL "
+    f"SELECT s.clip_id, s.i, s.event_id, abs(s.v), {_C} * CASE WHEN fresh THEN 0 ELSE f.e END + (1 - {_C}) * abs(s.v) FROM f JOIN s ON s.clip_id = f.clip_id AND s.i = f.i + 1) "
+    "SELECT clip_id, event_id AS idx, round(e, 6) + 0.0 AS v FROM f WHERE i > 0"
+)
+add("stream_live_envelope", _live_envelope, LIVE, "v")
+
+
 def _wave_round_trip(spark, sf_dir):
     """Every user's events written as a WAVE file and read back in ranges of 16 frames."""
     import os
