@@ -118,10 +118,18 @@ add("bank_constant_q", lambda s, d: filterbanks.constant_q(embedding_clips(s, d)
 # --- pitch and harmony ------------------------------------------------------------------------------------
 
 add("pitch_difference", lambda s, d: pitch.difference_function(embedding_clips(s, d), 4, 16), f"WITH {EMB} SELECT a.clip_id, CAST(b.idx - a.idx AS INTEGER) AS lag, round(sum((a.v - b.v) ** 2), 6) + 0.0 AS d FROM emb a JOIN emb b ON a.clip_id = b.clip_id AND b.idx - a.idx BETWEEN 4 AND 16 AND a.idx < 48 GROUP BY ALL", "d")
-add("pitch_yin", lambda s, d: pitch.detect_pitch(embedding_clips(s, d), 64.0, "yin", 0.9, 4, 16), None, "frequency")
+#: The normalised difference over lags of a series, and the least of it near the first lag under a threshold.
+YIN = "r AS (SELECT *, sum(d) OVER (PARTITION BY {k} ORDER BY lag) AS run FROM d), m AS (SELECT {k}, lag, CASE WHEN run > 0 THEN d * lag / run ELSE 1 END AS norm FROM r), u AS (SELECT {k}, min(lag) FILTER (WHERE norm < {t}) AS low FROM m GROUP BY {k}), y AS (SELECT {k}, arg_min(lag, struct_pack(n := norm, l := lag)) AS lag FROM m JOIN u USING ({k}) WHERE abs(lag - low) <= 5 GROUP BY {k})"
+#: Frames of 32 with a hop of 16, the last ones shorter, down to half a frame.
+PF = f"WITH {EV}, fa AS (SELECT clip_id, idx // 16 - o AS f, idx - (idx // 16 - o) * 16 AS p, v FROM ev, (SELECT unnest([0, 1]) AS o) WHERE idx // 16 >= o), fr AS (SELECT *, count(*) OVER (PARTITION BY clip_id, f) AS n FROM fa QUALIFY n >= 16)"
+add("pitch_yin", lambda s, d: pitch.detect_pitch(embedding_clips(s, d), 64.0, "yin", 0.9, 4, 16), f"WITH {EMB}, d AS (SELECT a.clip_id, b.idx - a.idx AS lag, sum((a.v - b.v) ** 2) AS d FROM emb a JOIN emb b ON a.clip_id = b.clip_id AND b.idx - a.idx BETWEEN 4 AND 16 WHERE a.idx < 48 GROUP BY ALL), {YIN.format(k='clip_id', t=0.9)} SELECT clip_id, 0 AS ch, round(64.0::DOUBLE / lag, 6) + 0.0 AS frequency FROM (SELECT DISTINCT clip_id FROM emb) LEFT JOIN y USING (clip_id)", "frequency")
 add("pitch_autocorrelation", lambda s, d: pitch.detect_pitch(embedding_clips(s, d), 64.0, "autocorrelation", low=4, high=16), f"WITH {EMB}, c AS (SELECT a.clip_id, b.idx - a.idx AS lag, sum(a.v * b.v) AS s FROM emb a JOIN emb b ON a.clip_id = b.clip_id AND b.idx - a.idx BETWEEN 4 AND 16 GROUP BY ALL) SELECT clip_id, 0 AS ch, round(CASE WHEN max(s) > 0 THEN 64.0 / arg_max(lag, s) END, 6) + 0.0 AS frequency FROM c GROUP BY clip_id", "frequency")
-add("pitch_track", lambda s, d: pitch.track_pitch(event_clips(s, d, 50.0), 32, 16, 1000.0, "autocorrelation", low=50, high=250), None, "frequency")
-add("pitch_mean", lambda s, d: pitch.mean_pitch(pitch.track_pitch(event_clips(s, d, 50.0), 32, 16, 1000.0, "yin", 0.8, 80, 250)), None, "mean_pitch")
+TRACK = f"{PF}, c AS (SELECT a.clip_id, a.f, b.p - a.p AS lag, sum(a.v * b.v) AS s FROM fr a JOIN fr b ON a.clip_id = b.clip_id AND a.f = b.f AND b.p - a.p BETWEEN 4 AND 20 GROUP BY ALL) SELECT clip_id, 0 AS ch, f AS frame, f * 16 / 1000.0::DOUBLE AS seconds, round(CASE WHEN max(s) > 0 THEN 1000.0::DOUBLE / arg_max(lag, struct_pack(s := s, l := -lag)) END, 6) + 0.0 AS frequency FROM c GROUP BY clip_id, f"
+add("pitch_track", lambda s, d: pitch.track_pitch(event_clips(s, d, 50.0), 32, 16, 1000.0, "autocorrelation", low=50, high=250), TRACK, "frequency")
+MEAN_PITCH = f"{PF}, d AS (SELECT a.clip_id, a.f, b.p - a.p AS lag, sum((a.v - b.v) ** 2) AS d FROM fr a JOIN fr b ON a.clip_id = b.clip_id AND a.f = b.f AND b.p - a.p BETWEEN 4 AND 12 WHERE a.n > 24 AND a.p < a.n - 12 GROUP BY ALL), {YIN.format(k='clip_id, f', t=0.8)} SELECT clip_id, 0 AS ch, round(avg(1000.0::DOUBLE / lag), 6) + 0.0 AS mean_pitch FROM (SELECT DISTINCT clip_id FROM fr) LEFT JOIN y USING (clip_id) GROUP BY clip_id"
+add("pitch_mean", lambda s, d: pitch.mean_pitch(pitch.track_pitch(event_clips(s, d, 50.0), 32, 16, 1000.0, "yin", 0.8, 80, 250)), MEAN_PITCH, "mean_pitch")
+VOICED = f"{PF}, d AS (SELECT a.clip_id, a.f, b.p - a.p AS lag, sum((a.v - b.v) ** 2) AS d FROM fr a JOIN fr b ON a.clip_id = b.clip_id AND a.f = b.f AND b.p - a.p BETWEEN 4 AND 12 WHERE a.n > 24 AND a.p < a.n - 12 GROUP BY ALL), {YIN.format(k='clip_id, f', t=0.8)} SELECT clip_id, 0 AS ch, f AS frame, f * 16 / 1000.0::DOUBLE AS seconds, round(1000.0::DOUBLE / lag, 6) + 0.0 AS frequency FROM y"
+add("pitch_voiced_frames", lambda s, d: pitch.voiced_frames(pitch.track_pitch(event_clips(s, d, 50.0), 32, 16, 1000.0, "yin", 0.8, 80, 250)), VOICED, "frequency")
 add("pitch_harmonics", lambda s, d: pitch.harmonic_analysis(spec(s, d), 6.0, 4, 0.1).select("clip_id", "harmonic", "level"), f"{W}, h AS (SELECT clip_id, k, max(p) AS p FROM pw, range(1, 5) t(k) WHERE abs(freq_hz - k * 6) <= 0.1 * k * 6 + 1e-12 GROUP BY ALL) SELECT clip_id, CAST(k AS INTEGER) AS harmonic, round(p / max(p) FILTER (WHERE k = 1) OVER (PARTITION BY clip_id), 6) + 0.0 AS level FROM h", "level")
 add("pitch_hnr", lambda s, d: pitch.harmonic_to_noise(spec(s, d), 6.0, 4, 1.0).select("clip_id", "hnr_db"), f"{W}, h AS (SELECT clip_id, sum(p) FILTER (WHERE round(freq_hz / 6) BETWEEN 1 AND 4 AND abs(freq_hz - round(freq_hz / 6) * 6) <= 1) AS h, sum(p) AS t FROM pw GROUP BY clip_id) SELECT clip_id, round(10 * log10(h / (t - h)), 6) + 0.0 AS hnr_db FROM h", "hnr_db")
 KEYS = ", ".join(f"({t}, '{m}', {(pc)}, {prof[(pc - t) % 12]}::DOUBLE)" for m, prof in (("major", pitch.MAJOR), ("minor", pitch.MINOR)) for t in range(12) for pc in range(12))
