@@ -106,7 +106,7 @@ add("stream_live_envelope", _live_envelope, LIVE, "v")
 
 
 def _wave_round_trip(spark, sf_dir):
-    """Every user's events written as a WAVE file and read back in ranges of 16 frames."""
+    """Every user's events written as a WAVE file and read back in ranges of up to 1,024 frames."""
     import os
     import uuid
 
@@ -116,7 +116,7 @@ def _wave_round_trip(spark, sf_dir):
     folder = os.path.join(shared_folder(spark).removeprefix("file://"), f"wave-{uuid.uuid4().hex}")
     os.makedirs(folder)
     wave.write_clips(event_clips(spark, sf_dir, 50.0), folder, 8000)
-    rows = wave.read_clips(spark, folder, 16)
+    rows = wave.read_clips(spark, folder, 1024)
     clip = F.regexp_extract("path", r"clip-(\d+)\.wav$", 1).cast("long")
     return rows.select(clip.alias("clip_id"), "sample_rate", "idx", "v")
 

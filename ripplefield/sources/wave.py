@@ -83,7 +83,7 @@ def header(path: str) -> Header:
 
 
 @dataclass
-class Range(InputPartition):
+class Range:
     """Frames ``[first, last)`` of a file."""
 
     path: str
@@ -92,6 +92,13 @@ class Range(InputPartition):
     last: int
 
 
+@dataclass
+class Ranges(InputPartition):
+    """What one task reads."""
+
+    parts: list[Range]
+
+
 class WaveReader(DataSourceReader):
     """Plans ranges of frames and decodes them."""
 
@@ -114,16 +121,27 @@ class WaveReader(DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> list[Range]:
-        """Ranges of all files, cut to the wanted frames."""
-        out = []
+    def partitions(self) -> list[Ranges]:
+        """Ranges of all files, cut to the wanted frames; short ones share a partition."""
+        out, size = [], 0
         for path in sorted(glob.glob(os.path.join(self.folder, "**", "*.wav"), recursive=True)):
             head = header(path)
             end = head.frames if self.high is None else min(head.frames, self.high)
-            out += [Range(path, head, a, min(a + self.size, end)) for a in range(max(self.low, 0), end, self.size)]
+            for a in range(max(self.low, 0), end, self.size):
+                part = Range(path, head, a, min(a + self.size, end))
+                if not out or size + part.last - a > self.size:
+                    out.append(Ranges([]))
+                    size = 0
+                out[-1].parts.append(part)
+                size += part.last - a
         return out
 
-    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, ranges: Ranges) -> Iterator[pa.RecordBatch]:
+        """The ranges of a partition, one after the other."""
+        for part in ranges.parts:
+            yield from self._decoded(part)
+
+    def _decoded(self, part: Range) -> Iterator[pa.RecordBatch]:
         """The wanted channels of a range, in batches."""
         h = part.head
         channels = range(h.channels) if self.channel is None else [self.channel] if 0 <= self.channel < h.channels else []
