@@ -107,7 +107,9 @@ A = "(2 * pi() * 5 / 64.0)"
 H = "((1 / (2 * pi() * 5)) / (1 / (2 * pi() * 5) + 1 / 64.0))"
 _recursive("amp_low_pass", lambda x: elementwise.low_pass(x, 5, 64), "v", f"{A} * e.v + (1 - {A}) * r.y")
 _recursive("amp_high_pass", lambda x: elementwise.high_pass(x, 5, 64), "0", f"{H} * (r.y + e.v - r.x)")
-R.add("amp_band_pass", lambda s, d: rounded(elementwise.band_pass(embedding_clips(s, d), 5, 10, 64), "v"))
+# y = a (y' + x - x') from 0, then z = b y + (1 - b) z' from y[0].
+BAND_PASS = f"WITH RECURSIVE {EMB}, c AS (SELECT 1 / (2 * pi() * 5) / (1 / (2 * pi() * 5) + 1 / 64.0::DOUBLE) AS a, 2 * pi() * 10 / 64 AS b), f AS (SELECT clip_id, idx, v AS x, 0::DOUBLE AS y, 0::DOUBLE AS z FROM emb WHERE idx = 0 UNION ALL SELECT f.clip_id, e.idx, e.v, a * (f.y + e.v - f.x), b * a * (f.y + e.v - f.x) + (1 - b) * f.z FROM f JOIN emb e ON e.clip_id = f.clip_id AND e.idx = f.idx + 1, c) SELECT clip_id, 0 AS ch, idx, round(z, 6) + 0.0 AS v FROM f"
+R.add("amp_band_pass", lambda s, d: rounded(elementwise.band_pass(embedding_clips(s, d), 5, 10, 64), "v"), BAND_PASS)
 same("amp_checked_map", "emb", lambda x: elementwise.checked_map(x, lambda v: v + 1, lambda v: F.isnan(v), "not a number"), "v + 1")
 
 # --- channels ---------------------------------------------------------------------------------------------
