@@ -11,8 +11,10 @@ into: a table of fixed size, summed in slices of it by tasks that stream their p
 
 Sets that share a prefix shingle form a bucket.  Every member is first verified against the bucket's leader (of
 the earliest place, so rather an original than its edited copies); after that only pairs across components are
-left, and these are formed and verified in full.  Pairs are dropped unverified only if their sizes or the
-positions of the shared shingle rule the threshold out.
+left, and these are formed and verified in full.  Within a token they meet by bands of size, so that a frequent
+shingle is split by the lengths of its sets.  Pairs are dropped unverified only if their sizes, the positions of
+the shared shingle or their sketches rule the threshold out.  A sketch counts a set's shingles in one byte a
+bucket, four to eight shingles each; the sum of the lesser counts bounds the number of shared shingles from above.
 
 Defined cases: null and empty texts have the empty set and equal each other; texts with fewer words than a
 shingle have their whole word sequence as the one shingle; equal sets share a key and need no pair.
@@ -59,6 +61,21 @@ def key_of(shingles: np.ndarray) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """Shingles in each of a power of two of buckets, as bytes; 255 stands for any number from there on."""
+    buckets = 1 << (max(len(shingles) - 1, 0) // 8).bit_length()
+    at = (shingles >> np.uint64(32)) & np.uint64(buckets - 1)
+    return np.minimum(np.bincount(at.astype(np.int64), minlength=buckets), 255).astype(np.uint8).tobytes()
+
+
+def most_shared(one: bytes, other: bytes) -> int:
+    """A number that two sets' shared shingles can't exceed; the finer sketch is folded to the coarser one."""
+    u, v = (np.frombuffer(z, np.uint8).astype(np.int64) for z in (one, other))
+    n = min(len(u), len(v))
+    u, v = (np.where(z == 255, 1 << 40, z).reshape(-1, n).sum(axis=0) for z in (u, v))
+    return int(np.minimum(u, v).sum())
+
+
 def _ceil(share: Fraction, n: int) -> int:
     return -(-share.numerator * n // share.denominator)
 
@@ -161,6 +178,21 @@ def _candidates(met: DataFrame, x: Column, y: Column, t: Fraction) -> DataFrame:
     return rows.where(F.col("possible") & ((p + q) * (F.col("c") + suffix) >= p * F.col("both"))).select("a", "b")
 
 
+def screened(pairs: DataFrame, sketches: DataFrame, threshold: Fraction) -> DataFrame:
+    """The pairs ``(a, b)`` of keys whose sketches ``(key, n, sketch)`` leave the threshold possible."""
+    p, q = threshold.numerator, threshold.denominator
+    left, right = (sketches.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = zip(*(b.column(c).to_pylist() for c in ("na", "nb", "sa", "sb")), strict=True)
+            keep = [(p + q) * most_shared(u, v) >= p * (m + n) for m, n, u, v in rows]
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb")
+    return joined.mapInArrow(each, "a long, b long")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
     """The pairs ``(a, b)`` of keys whose sets ``(key, shingles)`` reach the threshold."""
     p, q = threshold.numerator, threshold.denominator
@@ -188,6 +220,7 @@ def links(
     texts: DataFrame,
     sets: Callable[[DataFrame], DataFrame],
     guessed: DataFrame | None = None,
+    sketches: DataFrame | None = None,
     width: int = 5,
     threshold: Fraction = Fraction(4, 5),
     cells: int = CELLS,
@@ -195,10 +228,12 @@ def links(
     """Edges ``(a, b)`` between keys; they connect all sets whose similarity reaches the threshold.
 
     ``texts`` has the column ``text``; ``sets`` gives ``(key, shingles)`` of the keys in a frame; ``guessed`` are
-    candidates ``(a, b)`` found by other means.
+    candidates ``(a, b)`` found by other means; ``sketches`` has ``(key, n, sketch)`` of all sets, and spares most of
+    the unlike pairs the verification.
     """
     held = _prefixes(texts, width, threshold, frequency_classes(texts, width, cells)).repartition("token")  # the one exchange of prefixes
     p, q = threshold.numerator, threshold.denominator
+    screen = lambda pairs: pairs if sketches is None else screened(pairs, sketches, threshold)
     rows = held.select("token", "key", F.shiftright("place", 32).alias("n"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).alias("pos"))
     item = F.struct("key", "n", "pos")
     stats = rows.groupBy("token").agg(F.min("key").alias("first"), F.max("key").alias("last"), F.min_by(item, F.struct("pos", "key")).alias("lead"))
@@ -207,7 +242,8 @@ def links(
     if guessed is not None:
         stars = stars.union(guessed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b"))
     stars = cut(stars.distinct())
-    found = cut(verified(stars, sets(ends(stars)), threshold))
+    likely = cut(screen(stars))
+    found = cut(verified(likely, sets(ends(likely)), threshold))
 
     roots = components(found).withColumnRenamed("node", "key")
     parts = met.join(roots, "key", "left").select("token", F.coalesce("root", "key").alias("root"), item.alias("x"))
@@ -215,10 +251,13 @@ def links(
     parts = cut(parts.join(several, "token"))
     # the smaller set of a pair has its first shared shingle at pos <= n - 2t / (1 + t) n
     early = (p + q) * (F.col("x.n") - F.col("x.pos")) >= 2 * p * F.col("x.n")
-    x, y = (parts.where(c).select("token", F.col("root").alias(f"root_{n}"), F.col("x").alias(n)) for n, c in (("x", early), ("y", F.lit(True))))
-    fits = (x["token"] == y["token"]) & (F.col("root_x") != F.col("root_y")) & (F.col("x.n") <= F.col("y.n")) & _possible(F.col("x"), F.col("y"), threshold)
-    across = x.join(y, fits).select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
-    across = cut(across.join(stars, ["a", "b"], "left_anti"))
+    # a little wider than the threshold, so that rounding leaves the larger set in the band of the smaller or the next
+    band = F.floor(F.log(F.greatest(F.col("x.n"), F.lit(1))) / float(np.log(1.001 / float(threshold)))).cast("int")
+    x = parts.where(early).select("token", F.col("root").alias("root_x"), "x", F.explode(F.array(band, band + 1)).alias("band"))
+    y = parts.select("token", F.col("root").alias("root_y"), F.col("x").alias("y"), band.alias("band"))
+    fits = (F.col("root_x") != F.col("root_y")) & (F.col("x.n") <= F.col("y.n")) & _possible(F.col("x"), F.col("y"), threshold)
+    across = x.join(y, ["token", "band"]).where(fits).select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
+    across = cut(screen(cut(across.join(stars, ["a", "b"], "left_anti"))))
     return found.union(verified(across, sets(ends(across)), threshold))
 
 
@@ -230,7 +269,7 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", width: int = 5, thr
         rows = keys(texts, "text", width).join(wanted, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
         return cut(rows.select("key", packed(width)("text").alias("shingles")))
 
-    return components(links(texts, sets, None, width, threshold, cells))
+    return components(links(texts, sets, None, None, width, threshold, cells))
 
 
 def packed(width: int):

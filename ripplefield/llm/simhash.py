@@ -263,18 +263,22 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def set_prints(docs: DataFrame, id_col: str, text_col: str, row_hash: Column, width: int) -> DataFrame:
-    """``(doc_id, row, key, fp)`` of every row: hash of the row, key and fingerprint of its shingle set."""
+    """``(doc_id, row, key, fp, n, sketch)`` of every row: hash of the row; key, fingerprint, size and sketch of its shingle set."""
     rows = docs.select(F.col(id_col).alias("doc_id"), row_hash.alias("row"), F.col(text_col).cast("string").alias("text"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys, fps = np.empty(b.num_rows, np.int64), np.empty(b.num_rows, np.uint64)
+            size, sketches = np.empty(b.num_rows, np.int64), []
             for i, t in enumerate(b.column(2)):
                 s = jaccard.shingle_set(t.as_py(), width)
                 keys[i], fps[i] = jaccard.key_of(s), majority(s[k : k + CHUNK] for k in range(0, len(s), CHUNK))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys), pa.array(fps.view(np.int64))], ["doc_id", "row", "key", "fp"])
+                size[i] = len(s)
+                sketches.append(jaccard.sketch(s))
+            cols = [b.column(0), b.column(1), pa.array(keys), pa.array(fps.view(np.int64)), pa.array(size), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "row", "key", "fp", "n", "sketch"])
 
-    return rows.mapInArrow(each, f"doc_id {dict(rows.dtypes)['doc_id']}, row long, key long, fp long")
+    return rows.mapInArrow(each, f"doc_id {dict(rows.dtypes)['doc_id']}, row long, key long, fp long, n long, sketch binary")
 
 
 def probed(sets: DataFrame, radius: int = 2, bucket: int = 32) -> DataFrame:
@@ -309,16 +313,17 @@ def one_of_each(
     prints = cut(set_prints(named, id_col, text_col, F.col(mark), width))
     copies = cut(prints.groupBy("doc_id", "row", "key", "fp").agg(F.count("*").alias("times")))
     one = cut(copies.groupBy("key", "fp").agg(F.min_by(F.struct("doc_id", "row"), "row").alias("at")))
+    sketches = cut(prints.groupBy("key").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")))
 
     def sets(wanted: DataFrame) -> DataFrame:
         spot = _small(one.join(wanted, "key").select(F.col("key").alias("set_key"), F.col("at.doc_id").alias("doc_id"), F.col("at.row").alias("row"))).alias("spot")
         slim = named.select(F.col(f"`{id_col}`").alias("at_id"), F.col(mark).alias("at_row"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
         met = slim.join(spot, F.col("at_row").eqNullSafe(F.col("spot.row")) & F.col("at_id").eqNullSafe(F.col("spot.doc_id")))
         rows = met.select(F.col("set_key").alias("key"), jaccard.packed(width)("text").alias("shingles"))
-        return cut(rows.groupBy("key").agg(F.first("shingles").alias("shingles")))
+        return rows.groupBy("key").agg(F.first("shingles").alias("shingles"))
 
     texts = docs.select(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    roots = components(jaccard.links(texts, sets, probed(one, radius, bucket), width, threshold)).withColumnRenamed("node", "key")
+    roots = components(jaccard.links(texts, sets, probed(one, radius, bucket), sketches, width, threshold)).withColumnRenamed("node", "key")
     rows = cut(copies.join(roots, "key", "left").select("doc_id", "row", "times", F.coalesce("root", "key").alias("root")))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     best = rows.groupBy("root").agg(F.min(order).alias("best"))

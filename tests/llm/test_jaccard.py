@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -78,3 +79,38 @@ def test_stage_keeps_the_least_id_of_each_component(spark, sf, kind):
     want = {rows[c][0] for c in components([shingles(r[1]) for r in rows])}
     got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, SCHEMA).repartition(3), sf)
     assert sorted(r.doc_id for r in got.collect()) == sorted(want)
+
+
+def test_sketches_bound_shared_shingles_from_above():
+    r = np.random.default_rng(3)
+    for size, shared, other in [(0, 0, 0), (0, 0, 9), (1, 1, 1), (8, 3, 9), (64, 60, 70), (65, 65, 64), (900, 800, 1100), (5000, 10, 4000), (40000, 39000, 39500)]:
+        pool = np.unique(r.integers(0, 1 << 63, size + other + 9).astype(np.uint64))
+        r.shuffle(pool)
+        u, v = pool[:size], pool[max(0, size - shared) : max(0, size - shared) + other]
+        both = len(np.intersect1d(u, v))
+        assert both <= jaccard.most_shared(jaccard.sketch(u), jaccard.sketch(v)) <= min(len(u), len(v))
+    crowd = np.arange(300, dtype=np.uint64)  # one bucket holds more than a byte can count
+    assert len(jaccard.sketch(crowd)) == 64
+    assert jaccard.most_shared(jaccard.sketch(crowd), jaccard.sketch(crowd)) >= 300
+
+
+def test_sketches_rule_unlike_sets_out():
+    r = np.random.default_rng(4)
+    sets = [r.integers(0, 1 << 63, n).astype(np.uint64) for n in (300, 310, 2000, 2100)]
+    for u, v in ((sets[0], sets[1]), (sets[2], sets[3])):
+        assert 9 * jaccard.most_shared(jaccard.sketch(u), jaccard.sketch(v)) < 4 * (len(u) + len(v))
+
+
+def test_texts_of_shared_passages_and_sizes_at_the_border(spark, sf):
+    """Every shingle inside a passage is frequent; besides, pairs whose sizes differ by the threshold itself."""
+    r = random.Random(8)
+    word = lambda: f"p{r.randrange(9000)}"
+    passages = [[word() for _ in range(20)] for _ in range(12)]
+    texts = [[w for p in r.sample(passages, 5) for w in p] for _ in range(150)]
+    for n in (5, 10, 16, 25, 100, 400):  # n and 5n/4 shingles, all of the smaller set shared, in either order
+        base = [word() for _ in range(5 * n // 4 + 4)]
+        texts += [base, base[: n + 4], base[: n + 3]]
+    rows = [(i, " ".join(t), "en", "web", len(" ".join(t))) for i, t in enumerate(texts)]
+    want = set(components([shingles(t) for _, t, *_ in rows]))
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, SCHEMA).repartition(3), sf)
+    assert sorted(x.doc_id for x in got.collect()) == sorted(want)
