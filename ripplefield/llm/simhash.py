@@ -326,8 +326,10 @@ def one_of_each(
     roots = components(jaccard.links(texts, sets, probed(one, radius, bucket), sketches, width, threshold)).withColumnRenamed("node", "key")
     rows = cut(copies.join(roots, "key", "left").select("doc_id", "row", "times", F.coalesce("root", "key").alias("root")))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    best = rows.groupBy("root").agg(F.min(order).alias("best"))
-    judged = rows.join(best, "root").withColumn("stays", F.col("row").eqNullSafe(F.col("best.row")) & F.col("doc_id").eqNullSafe(F.col("best.doc_id")))
+    best = rows.groupBy("root").agg(F.min(order).alias("best")).select(F.col("root").alias("best_root"), F.col("best.doc_id").alias("best_id"), F.col("best.row").alias("best_row"))
+    # joined by the row as well as by its component, so that a large component is many keys
+    won = (F.col("root") == F.col("best_root")) & F.col("row").eqNullSafe(F.col("best_row")) & F.col("doc_id").eqNullSafe(F.col("best_id"))
+    judged = rows.join(best, won, "left").withColumn("stays", F.col("best_root").isNotNull())
     row, own, stays = (fresh(named, c) for c in ("judged_row", "judged_id", "judged_stays"))
     judged = _small(judged.where("not stays or times > 1").select(F.col("row").alias(row), F.col("doc_id").alias(own), F.col("stays").alias(stays)))
     same = F.col(mark).eqNullSafe(F.col(row)) & F.col(f"`{id_col}`").eqNullSafe(F.col(own))
