@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -100,17 +101,30 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, group_rows: int | None = None) -> DataFrame:
     """Cut the lineage by a table in the shared folder.
 
     Unlike a checkpoint, a table read again knows no constraints of the plan that made it; in loops that derive a
-    column from itself these would grow without end.
+    column from itself these would grow without end.  ``group_rows`` is for rows of megabytes: the writer looks at its
+    memory every hundred rows only and the reader takes a row group as one, so groups of fewer rows bound both.
     """
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**({"parquet.block.row.count.limit": str(group_rows)} if group_rows else {})).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> Iterator[None]:
+    """Arrow batches of about ``most`` bytes, for eager work on rows of megabytes; what was set before comes back."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def shared_path(spark: SparkSession, kind: str) -> str:
     """A new folder below the shared one, as a path that drivers and executors can open as files.
 

@@ -10,7 +10,10 @@ Search: shards are independent.  For a query, the block maxima of its terms are
 boundaries; a range of documents whose bound is below the current k-th score is never looked into: only blocks that overlap a
 range that passes are decoded and scored.  Ranges are taken by falling bound in rounds, so the k-th score rises early, and it is carried from
 shard to shard of a task.  Ranges that tie with the k-th score are looked into, so ties go to the least id exactly.
-Every task gives at most k rows a query; a ranked window merges them.
+Every task gives at most k rows a query, which are written; a ranked window merges them.
+
+A shard is one row of some megabytes, so row groups of the tables hold one shard and Arrow batches a few megabytes: a task's
+memory doesn't grow with the shards that it writes or reads.
 
 Score (64-bit integers, ``div`` rounding down): a term's weight is ``floor(1000 ln((2N+2)/(2df+1)))``, its impact in a
 document ``10^9 tf div (1000 tf + 12 m)`` with ``m = 75 + 25 n N div L``.
@@ -34,13 +37,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ripplefield.llm.common import slices, text_of, written
+from ripplefield.llm.common import slices, small_batches, text_of, written
 
 #: Separators become blanks, A-Z lower case; bytes of characters beyond ASCII are parts of terms.
 FOLD = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256)).lower()
 
 #: A shard is closed at so many documents or bytes of text; a block holds at most so many postings.
-SHARD_DOCS, SHARD_BYTES, LONGEST_BLOCK = 8192, 8_000_000, 96
+SHARD_DOCS, SHARD_BYTES, LONGEST_BLOCK = 8192, 4_000_000, 96
 #: Price of a block, as a share of the list's largest impact.
 BLOCK_PRICE = 3.0
 #: A block whose documents lie further apart than this on average is sparse.
@@ -200,7 +203,8 @@ class Index(NamedTuple):
 
 def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_docs: int = SHARD_DOCS, shard_bytes: int = SHARD_BYTES) -> Index:
     """Index of all rows; both tables go to the shared folder."""
-    raw = written(_postings(docs, id_col, text_col, shard_docs, shard_bytes))
+    with small_batches(docs.sparkSession):
+        raw = written(_postings(docs, id_col, text_col, shard_docs, shard_bytes), group_rows=1)
     total = raw.agg(F.sum(F.size("ids")), F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()
     documents, tokens = total[0] or 0, total[1] or 0
 
@@ -217,7 +221,8 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
                 yield pa.RecordBatch.from_arrays(columns, [*row.schema.names, "blocks", "ends", "maxima"])
 
     schema = ", ".join(f"{n} {t}" for n, t in raw.dtypes) + ", blocks binary, ends binary, maxima binary"
-    return Index(written(raw.mapInArrow(block, schema)), documents, tokens)
+    with small_batches(docs.sparkSession):
+        return Index(written(raw.mapInArrow(block, schema), group_rows=1), documents, tokens)
 
 
 _KINDS = {"docs": "<i4", "tfs": "<i4", "blocks": "<i4", "ends": "<i4", "maxima": "<i8"}
@@ -386,4 +391,5 @@ def _search_once(index: Index, rows: list, k: int, kind: str) -> DataFrame:
             q, i, s = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, id_type), pa.array(s, pa.int64())], ["q", "doc", "score"])
 
-    return index.shards.mapInArrow(run, f"q long, doc {kind}, score long")
+    with small_batches(spark):
+        return written(index.shards.mapInArrow(run, f"q long, doc {kind}, score long"))

@@ -110,3 +110,16 @@ def test_blocks_are_skipped():
     scored = lexical.search_shard(lists, query, top)
     sizes = dict(zip(row["terms"], row["sizes"], strict=True))
     assert len(top.rows) == 10 and scored < 0.2 * sum(sizes[t] for t, _ in query)
+
+
+def test_shards_are_written_and_read_one_by_one(spark, sf):
+    import pyarrow.parquet as pq
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    docs = spark.createDataFrame(real_rows(sf)[:40], SCHEMA).coalesce(1)
+    index = lexical.build(docs, shard_docs=4)
+    files = [pq.ParquetFile(f.removeprefix("file:").replace("//", "/")) for f in index.shards.inputFiles()]
+    groups = [f.metadata.row_group(k).num_rows for f in files for k in range(f.num_row_groups)]
+    assert sum(groups) > 5 and max(groups) == 1
+    assert spark.conf.get(name) == before
