@@ -6,14 +6,16 @@ A bank's size is set by its own parameters (bands x bins), never by the data.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ripplefield.operators import spectral
+from ripplefield.operators.kernels import arrays_of, channel_arrays
 
 #: A bank of more rows than this is joined by shuffle instead.
 BROADCAST_ROWS = 1_000_000
@@ -128,22 +130,65 @@ def cqt_kernels(sample_rate: float, f_min: float, bins: int, per_octave: int, lo
     return out
 
 
+#: Samples under the tones that a task looks at in one go.
+CELLS = 1 << 20
+
+
+def tones(x: np.ndarray, kernels: list[tuple[float, np.ndarray]], hop: int, first: int, past: int) -> np.ndarray:
+    """Constant-Q values (clips x frames x bins) of equally long clips (rows of ``x``), for frames ``[first, past)``."""
+    half = max((len(k) for _, k in kernels), default=1) // 2 + 1
+    low, high = first * hop - half, (past - 1) * hop + half
+    near = np.pad(x[:, max(low, 0) : high], ((0, 0), (max(-low, 0), max(high - x.shape[1], 0))))
+    at = np.arange(past - first) * hop + half
+    s = np.empty((len(x), past - first, len(kernels)), complex)
+    for b, (_, k) in enumerate(kernels):
+        v = np.lib.stride_tricks.sliding_window_view(near, len(k), axis=1)[:, at - len(k) // 2] @ np.c_[k.real, k.imag]
+        s[..., b] = v[..., 0] + 1j * v[..., 1]
+    return s
+
+
+def over_tones(df: DataFrame, kernels: list[tuple[float, np.ndarray]], hop: int, emit: Callable[[np.ndarray, int], dict[str, np.ndarray]], schema: str) -> DataFrame:
+    """``(clip_id, ch, frame, *schema)`` by ``emit(values, lead)`` from constant-Q values (clips x frames x bins).
+
+    The values come in blocks of frames; ``lead`` is 1 if the first frame is the one before the block, which ``emit`` leaves out
+    of its arrays (clips x frames x rows of a frame).  Channels of one length in a batch are transformed together.
+    """
+    longest = max((len(k) for _, k in kernels), default=1)
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def blocks(lengths: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
+        for n in np.unique(lengths[lengths > 0]):
+            rows, frames = np.flatnonzero(lengths == n), -(-int(n) // hop)
+            clips, step = max(1, CELLS // (frames * longest)), max(1, CELLS // longest)
+            for r in range(0, len(rows), clips):
+                for a in range(0, frames, step):
+                    yield rows[r : r + clips], a, min(a + step, frames)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            channels = list(arrays_of(batch))
+            for rows, a, e in blocks(np.array([len(x) for x in channels], np.int64)):
+                lead = min(a, 1)
+                found = emit(tones(np.stack([channels[r] for r in rows]).astype(float), kernels, hop, a - lead, e), lead)
+                wide = found[names[0]].shape[2]
+                back = pa.array(np.repeat(rows, (e - a) * wide))
+                frame = np.tile(np.repeat(np.arange(a, e), wide), len(rows))
+                columns = [pa.array(found[n].ravel(), from_pandas=True) for n in names]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(back), batch.column(1).take(back), pa.array(frame), *columns], ["clip_id", "ch", "frame", *names])
+
+    return channel_arrays(df).mapInArrow(each, f"clip_id long, ch int, frame long, {schema}")
+
+
 def constant_q(df: DataFrame, f_min: float, bins: int, hop: int, sample_rate: float, per_octave: int = 12, longest: int | None = None) -> DataFrame:
     """Complex constant-Q transform at every hop, tones centred on it: spectrum form."""
     kernels = cqt_kernels(sample_rate, f_min, bins, per_octave, longest or int(4 * sample_rate / f_min))
+    freq = np.array([f for f, _ in kernels])
+
+    def spectrum(s: np.ndarray, lead: int) -> dict[str, np.ndarray]:
+        s = s[:, lead:]
+        return {"bin": np.broadcast_to(np.arange(len(freq), dtype=np.int32), s.shape), "freq_hz": np.broadcast_to(freq, s.shape), "re": s.real, "im": s.imag}
 
-    def each(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("idx")["v"].to_numpy(float)
-        frames = np.arange(0, len(x), hop)
-        half = max(len(k) for _, k in kernels) // 2 + 1
-        padded = np.pad(x, half)
-        s = np.empty((len(frames), len(kernels)), complex)
-        for b, (_, k) in enumerate(kernels):
-            s[:, b] = np.lib.stride_tricks.sliding_window_view(padded, len(k))[frames + half - len(k) // 2] @ k
-        n = len(kernels)
-        return pd.DataFrame({"clip_id": key[0], "ch": np.int32(key[1]), "frame": np.repeat(np.arange(len(frames)), n), "bin": np.tile(np.arange(n, dtype=np.int32), len(frames)), "freq_hz": np.tile([f for f, _ in kernels], len(frames)), "re": s.real.ravel(), "im": s.imag.ravel()})
-
-    return df.groupBy("clip_id", "ch").applyInPandas(each, spectral.SPECTRUM)
+    return over_tones(df, kernels, hop, spectrum, "bin int, freq_hz double, re double, im double")
 
 
 def cqt_spectrogram(df: DataFrame, f_min: float, bins: int, hop: int, sample_rate: float, scale: str = "power", **options) -> DataFrame:
