@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ripplefield.operators import peaks, spectral
-from ripplefield.operators.filterbanks import constant_q
+from ripplefield.operators.chunks import settled
+from ripplefield.operators.filterbanks import cqt_kernels, over_tones
 
 
 def BIN() -> Window:
@@ -45,8 +48,8 @@ energy_odf = flux
 
 def adaptive_zero(series: DataFrame, median_length: int, multiplier: float) -> DataFrame:
     """Zero where a value lies below the local median times a factor."""
-    med = peaks.median_filter(series, median_length).withColumnRenamed("x", "m")
-    return series.join(med, ["clip_id", "frame"]).select("clip_id", "frame", F.when(F.col("x") < F.col("m") * multiplier, F.lit(0.0)).otherwise(F.col("x")).alias("x"))
+    med = peaks.median_filter(series.withColumn("own", F.col("x")), median_length)
+    return med.select("clip_id", "frame", F.when(F.col("own") < F.col("x") * multiplier, F.lit(0.0)).otherwise(F.col("own")).alias("x"))
 
 
 def princarg(angle: Column) -> Column:
@@ -96,10 +99,50 @@ def effective_window(sample_rate: float, f_min: float) -> int:
     return max(1, int(4 * sample_rate / f_min))
 
 
+def _over_frames(df: DataFrame, sample_rate: float, c: OnsetConfig, terms: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """``(clip_id, frame, x)``: sums over bins and channels of ``terms(before, now, freq)`` of constant-Q values; 0 in the first frame.
+
+    A frame meets the one before it in the task that transforms the channel, so one number a frame is shuffled; a term
+    that is no number counts 0.
+    """
+    kernels = cqt_kernels(sample_rate, c.f_min, c.bins, 12, effective_window(sample_rate, c.f_min))
+    freq = np.array([f for f, _ in kernels])
+
+    def emit(s: np.ndarray, lead: int) -> dict[str, np.ndarray]:
+        t = terms(s[:, :-1], s[:, 1:], freq)
+        x = np.where(np.isnan(t), 0.0, t).sum(axis=2, keepdims=True)
+        return {"x": x if lead else np.concatenate([np.zeros((len(s), 1, 1)), x], axis=1)}
+
+    return over_tones(df, kernels, c.hop, emit, "x double").groupBy("clip_id", "frame").agg(F.sum("x").alias("x"))
+
+
+def _flux_terms(method: str) -> Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    """What ``flux`` sums over bins."""
+    if method in ("energy", "rectified"):
+        return lambda a, b, _: np.maximum(np.abs(b) - np.abs(a), 0)
+    if method == "magnitude":
+        return lambda a, b, _: np.abs(np.abs(b) - np.abs(a))
+    if method == "complex":
+        return lambda a, b, _: np.abs(b - a)
+    raise ValueError(f"method must be one of {METHODS}")
+
+
+def _complex_terms(hop: int, sample_rate: float, magnitude_weight: float = 0.7, phase_weight: float = 0.3, rectify: bool = True) -> Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    """What ``complex_odf`` sums over bins."""
+
+    def terms(a: np.ndarray, b: np.ndarray, freq: np.ndarray) -> np.ndarray:
+        d = np.abs(b) - np.abs(a)
+        phase = lambda s: np.arctan2(s.imag + 0.0, s.real + 0.0)  # noqa: E731  (no negative zeros)
+        w = np.mod(phase(b) - phase(a) - 2 * np.pi * freq * hop / sample_rate + np.pi, 2 * np.pi)
+        p = np.where(w == 0, np.pi, np.abs(w - np.pi))
+        return magnitude_weight * (np.maximum(d, 0) if rectify else np.abs(d)) + phase_weight * p
+
+    return terms
+
+
 def onset_detection_function(df: DataFrame, sample_rate: float, c: OnsetConfig = OnsetConfig()) -> DataFrame:
     """Positive flux of the constant-Q magnitudes, zeroed below the local median."""
-    spec = constant_q(df, c.f_min, c.bins, c.hop, sample_rate, longest=effective_window(sample_rate, c.f_min))
-    return adaptive_zero(flux(spec, "energy"), c.median, c.multiplier)
+    return adaptive_zero(_over_frames(df, sample_rate, c, _flux_terms("energy")), c.median, c.multiplier)
 
 
 def _seconds(picked: DataFrame, hop: int, sample_rate: float) -> DataFrame:
@@ -108,16 +151,16 @@ def _seconds(picked: DataFrame, hop: int, sample_rate: float) -> DataFrame:
 
 def detect_onsets(df: DataFrame, sample_rate: float, c: OnsetConfig = OnsetConfig()) -> DataFrame:
     """Times of the picked peaks of the detection function."""
-    return _seconds(peaks.pick_peaks(onset_detection_function(df, sample_rate, c), c.picker), c.hop, sample_rate)
+    return _seconds(peaks.pick_peaks(settled(onset_detection_function(df, sample_rate, c)), c.picker), c.hop, sample_rate)
 
 
 def detect_onsets_flux(df: DataFrame, sample_rate: float, method: str = "energy", compression: float = 100.0, c: OnsetConfig = OnsetConfig()) -> DataFrame:
     """Flux, rectified and compressed, then picked."""
-    spec = constant_q(df, c.f_min, c.bins, c.hop, sample_rate, longest=effective_window(sample_rate, c.f_min))
-    return _seconds(peaks.pick_peaks(peaks.log_compress(peaks.rectify(flux(spec, method)), compression), c.picker), c.hop, sample_rate)
+    series = settled(_over_frames(df, sample_rate, c, _flux_terms(method)))  # the picker reads it several times
+    return _seconds(peaks.pick_peaks(peaks.log_compress(peaks.rectify(series), compression), c.picker), c.hop, sample_rate)
 
 
-def detect_onsets_complex(df: DataFrame, sample_rate: float, c: OnsetConfig = OnsetConfig(), **weights) -> DataFrame:
+def detect_onsets_complex(df: DataFrame, sample_rate: float, c: OnsetConfig = OnsetConfig(), compression: float | None = 100.0, **weights) -> DataFrame:
     """Complex detection function, then picked."""
-    spec = constant_q(df, c.f_min, c.bins, c.hop, sample_rate, longest=effective_window(sample_rate, c.f_min))
-    return _seconds(peaks.pick_peaks(complex_odf(spec, c.hop, sample_rate, **weights), c.picker), c.hop, sample_rate)
+    series = settled(_over_frames(df, sample_rate, c, _complex_terms(c.hop, sample_rate, **weights)))
+    return _seconds(peaks.pick_peaks(peaks.log_compress(series, compression) if compression else series, c.picker), c.hop, sample_rate)
