@@ -46,9 +46,15 @@ def biquad(x: np.ndarray, b: tuple, a: tuple, state: np.ndarray | None = None) -
             states[k] = z
             z = jump @ z + d
         out[:whole] = (blocks @ response.T + states @ from_state.T).ravel()
-    for k in range(whole, len(x)):
-        out[k] = b0 * x[k] + z[0]
-        z = step @ z + gain * x[k]
+    if whole < len(x):  # plain numbers: small matrix products cost more than their arithmetic
+        (s00, s01), (s10, s11) = step.tolist()
+        (z0, z1), (g0, g1) = z.tolist(), gain.tolist()
+        rest = []
+        for v in np.asarray(x[whole:], float).tolist():
+            rest.append(b0 * v + z0)
+            z0, z1 = s00 * z0 + s01 * z1 + g0 * v, s10 * z0 + s11 * z1 + g1 * v
+        out[whole:] = rest
+        z = np.array([z0, z1])
     return out, z
 
 

@@ -63,3 +63,8 @@ def test_pairs_keep_clips_without_an_id(spark, sf):
     got = spectral.convolve(df, df).where("clip_id is null").orderBy("idx").collect()
     x = np.array([r.v for r in df.where("clip_id is null").orderBy("idx").collect()])
     np.testing.assert_allclose([r.v for r in got], np.convolve(x, x), atol=1e-12)
+
+
+@pytest.mark.parametrize("name", ["codec_perceptual_clips", "codec_frames_auto_clips"])
+def test_codecs_have_no_group_for_each_clip(spark, sf, name):
+    assert "GroupsInPandas" not in plan_of(queries()[name](spark, sf))
