@@ -39,6 +39,8 @@ NAME = "ripple_wave"
 SCHEMA = "path string, sample_rate int, ch int, idx long, v double"
 #: Frames of a partition, and of a batch within it.
 RANGE, BATCH = 1 << 22, 1 << 16
+#: Short ranges share partitions so that a read has about this many, unless they would exceed ``RANGE`` frames.
+PARTITIONS = 256
 #: Sample types by (format tag, bits).
 KINDS = {(1, 8): "u1", (1, 16): "<i2", (1, 24): "24", (1, 32): "<i4", (3, 32): "<f4", (3, 64): "<f8"}
 
@@ -123,17 +125,19 @@ class WaveReader(DataSourceReader):
 
     def partitions(self) -> list[Ranges]:
         """Ranges of all files, cut to the wanted frames; short ones share a partition."""
-        out, size = [], 0
+        parts = []
         for path in sorted(glob.glob(os.path.join(self.folder, "**", "*.wav"), recursive=True)):
             head = header(path)
             end = head.frames if self.high is None else min(head.frames, self.high)
-            for a in range(max(self.low, 0), end, self.size):
-                part = Range(path, head, a, min(a + self.size, end))
-                if not out or size + part.last - a > self.size:
-                    out.append(Ranges([]))
-                    size = 0
-                out[-1].parts.append(part)
-                size += part.last - a
+            parts += [Range(path, head, a, min(a + self.size, end)) for a in range(max(self.low, 0), end, self.size)]
+        frames = [p.last - p.first for p in parts]
+        most, out, size = max(self.size, min(RANGE, -(-sum(frames) // PARTITIONS))), [], 0
+        for part, n in zip(parts, frames, strict=True):
+            if not out or size + n > most:
+                out.append(Ranges([]))
+                size = 0
+            out[-1].parts.append(part)
+            size += n
         return out
 
     def read(self, ranges: Ranges) -> Iterator[pa.RecordBatch]:

@@ -62,3 +62,13 @@ def test_table_functions_refuse_other_tables(spark):
             spark.sql(sql).collect()
     got = spark.sql("SELECT * FROM clip_splits(TABLE(SELECT 'x' AS clip_id, id AS idx, cast(id AS double) AS v FROM range(5)), 3) ORDER BY segment").collect()
     assert [tuple(r) for r in got] == [("x", 0, 3, 2.0), ("x", 1, 2, 4.0)]
+
+
+def test_many_short_files_share_partitions(tmp_path):
+    for k in range(600):
+        (tmp_path / f"{k:03}.wav").write_bytes(files.wave_bytes(np.full((50, 1), k), 8000))
+    reader = wave.WaveReader(str(tmp_path), 16)
+    found = reader.partitions()
+    assert len(found) <= 300 and all(p.last - p.first <= 16 for r in found for p in r.parts)
+    rows = [x for r in found for b in reader.read(r) for x in zip(b.column(0).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)]
+    assert sorted(rows) == [(str(tmp_path / f"{k:03}.wav"), i, float(k)) for k in range(600) for i in range(50)]
