@@ -14,6 +14,8 @@ The key is a struct of clip and channel: equal on nulls, and of any type of id.
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Callable, Iterator
 from typing import Any, NamedTuple
 
@@ -85,6 +87,13 @@ def step_matrix(sections: np.ndarray) -> np.ndarray:
     return out
 
 
+@functools.lru_cache(maxsize=1024)
+def power_of(step: bytes, n: int) -> np.ndarray:
+    """A power of a square matrix, given as its bytes; most chunks are of one length."""
+    m = np.frombuffer(step)
+    return np.linalg.matrix_power(m.reshape(math.isqrt(len(m)), -1), n)
+
+
 def cut(df: DataFrame, chunk: int, before: int = 0, after: int = 1, values: tuple[str, ...] = ("v",)) -> DataFrame:
     """``(key, chunk, first, skip, own, *values)``: the ordered samples of each chunk with its halo, as arrays.
 
@@ -246,7 +255,7 @@ def filter_rule(sections: np.ndarray, start: Callable[[float], np.ndarray] | Non
         return start(p.own()[0]).reshape(-1, 2) if start and p.row["skip"] == 0 else np.zeros((dim // 2, 2))
 
     def drive(p: Piece) -> tuple[np.ndarray, np.ndarray]:
-        return np.linalg.matrix_power(step, p.row["own"]), cascade(p.own(), sections, begin(p, None))[1]
+        return power_of(step.tobytes(), p.row["own"]), cascade(p.own(), sections, begin(p, None))[1]
 
     return Recurrence(dim, drive, lambda p, z: {"v": cascade(p.own(), sections, begin(p, z))[0], "first": p.row["first"]})
 
@@ -275,7 +284,7 @@ def zero_phase(df: DataFrame, sections: np.ndarray, reach: int, chunk: int = CHU
 
     def drive(p: Piece):
         x = extended(p)[0]
-        return np.linalg.matrix_power(step, len(x)), cascade(x, sections)[1]
+        return power_of(step.tobytes(), len(x)), cascade(x, sections)[1]
 
     def forward(p: Piece, z) -> dict:
         x, left, right = extended(p)
@@ -283,13 +292,13 @@ def zero_phase(df: DataFrame, sections: np.ndarray, reach: int, chunk: int = CHU
 
     def drive_back(p: Piece):
         y = p.arrays["y"]
-        return np.linalg.matrix_power(step, len(y)), cascade(y[::-1], sections)[1]
+        return power_of(step.tobytes(), len(y)), cascade(y[::-1], sections)[1]
 
     def backward(p: Piece, z) -> dict:
         y = cascade(p.arrays["y"][::-1], sections, states(z))[0][::-1]
         return {"v": y[p.row["left"] : len(y) - p.row["right"]], "first": p.row["first"]}
 
-    there = scan(cut(df, chunk, reach, reach + 1), Recurrence(dim, drive, forward), "y array<double>, first long, left long, right long, begins boolean", _is_last())
+    there = settled(scan(cut(df, chunk, reach, reach + 1), Recurrence(dim, drive, forward), "y array<double>, first long, left long, right long, begins boolean", _is_last()))  # the way back reads it twice
     back = there.withColumn("chunk", -F.col("chunk"))
     return long_form(scan(back, Recurrence(dim, drive_back, backward), "v array<double>, first long", F.col("begins")), "v")
 
